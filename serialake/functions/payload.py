@@ -12,6 +12,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 # Where an embedded payload may sit, in order; the last one is the fallback literal.
@@ -38,7 +39,7 @@ def _inflate(literal: str | None) -> str | None:
     return None
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def inflate_first(candidates: pd.Series) -> pd.Series:
     """First candidate that is base64 of zlib or raw deflate data; null when none is."""
     return candidates.map(lambda row: next((t for t in map(_inflate, row) if t), None) if row is not None else None)
@@ -62,7 +63,7 @@ def embedded_payload(script: Column) -> Column:
     return inflate_first(F.when(F.size(candidates) > 0, candidates))
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def unescape_all(text: pd.Series) -> pd.Series:
     """C28, complete entity set (the built-in ``text.unescape`` covers the common ones)."""
     return text.map(html_lib.unescape, na_action="ignore")
@@ -116,7 +117,7 @@ class _NoiseFilter(HTMLParser):
 def remove_noise(html: Column, class_words: tuple[str, ...] = ("ads", "notice", "box-notice")) -> Column:
     """B10, tree-aware: drop code, comments and every subtree whose class holds a flagged word."""
 
-    @pandas_udf("string")
+    @pandas_udf(T.StringType())
     def run(pages: pd.Series) -> pd.Series:
         def one(page: str) -> str:
             parser = _NoiseFilter(class_words)

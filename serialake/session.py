@@ -24,7 +24,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     builder = (
         SparkSession.builder.master(f"local[{cores}]").appName("serialake")
         .config("spark.driver.memory", memory)
-        .config("spark.ui.enabled", "false")
+        .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
     for key, value in COMMON.items():
