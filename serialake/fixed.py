@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
 # --- fixed values: line patterns of the default blacklist (regular expressions, case-insensitive) ---
 BLACKLIST_PATTERNS = [
@@ -110,6 +111,7 @@ PLAIN_PUNCTUATION = {
 }
 
 
+@lru_cache(maxsize=1)
 def decomposable_letters() -> dict[str, str]:
     """Every Latin letter whose canonical decomposition is one ASCII letter plus marks (a rule, not a list)."""
     table = {}

@@ -46,17 +46,23 @@ def _translate(col: Column, table: dict[str, str]) -> Column:
 def fold_accents(col: Col) -> Column:
     """Remove combining marks and map accented letters to their base; other characters stay."""
     table = fixed.decomposable_letters() | fixed.STROKE_LETTERS
-    return F.regexp_replace(_translate(_c(col), table), r"\p{M}+", "")
+    col = _c(col)
+    folded = F.regexp_replace(_translate(col, table), r"\p{M}+", "")
+    # Plain ASCII has nothing to fold: as many bytes as characters.
+    return F.when(F.octet_length(col) == F.length(col), col).otherwise(folded)
 
 
 def to_ascii(col: Col) -> Column:
     """Latin-script transliteration; characters without a mapping vanish."""
     one_to_one = {k: v for k, v in fixed.PLAIN_PUNCTUATION.items() if len(v) == 1}
     many = fixed.DIGRAPH_LETTERS | {k: v for k, v in fixed.PLAIN_PUNCTUATION.items() if len(v) > 1}
-    out = _translate(fold_accents(col), fixed.SPECIAL_LETTERS | one_to_one)
+    col = _c(col)
+    table = fixed.decomposable_letters() | fixed.STROKE_LETTERS | fixed.SPECIAL_LETTERS | one_to_one
+    out = _translate(col, table)
     for char, plain in many.items():
         out = F.replace(out, F.lit(char), F.lit(plain))
-    return F.regexp_replace(out, r"[^\x00-\x7F]+", "")
+    out = F.regexp_replace(out, r"[^\x00-\x7F]+", "")
+    return F.when(F.octet_length(col) == F.length(col), col).otherwise(out)
 
 
 def slug(col: Col) -> Column:

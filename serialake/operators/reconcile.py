@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from serialake.functions import text
+from serialake.materialise import checkpointed
 from serialake.operators.ordering import keep_first, keep_top
 
 # Above this many candidate pairs a (work, title) group is counted by blocks instead of by joining.
@@ -81,33 +82,30 @@ def numbering_offsets(canonical: DataFrame, listed: DataFrame, saved: DataFrame,
     """
     canon = _keyed(canonical, work).distinct()
     rows = _keyed(listed, work).groupBy(work, "__key", "__num").agg(F.count("*").alias("__m"))
-    canon_size = canon.groupBy(work, "__key").agg(F.count("*").alias("__nc"))
-    sized = rows.groupBy(work, "__key").agg(F.count("*").alias("__nl"), F.sum("__m").alias("__rows")).join(canon_size, [work, "__key"])
-    matched = sized.groupBy(work).agg(F.sum("__rows").alias("match_count"))
-    # The group sizes are one row per title, far smaller than the parts; they route each group.
-    heavy = sized.where(F.col("__nc") * F.col("__nl") > PAIR_LIMIT).select(work, "__key")
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    # One row per title with its group sizes: they route each group and give the totals in closed form.
+    sides = canon.select(work, "__key", one.alias("nc"), zero.alias("nl"), zero.alias("rows")) \
+                 .unionByName(rows.select(work, "__key", zero.alias("nc"), one.alias("nl"), F.col("__m").alias("rows")))
+    sizes = sides.groupBy(work, "__key").agg(F.sum("nc").alias("nc"), F.sum("nl").alias("nl"), F.sum("rows").alias("rows")).where("nc > 0")
+    heavy = sizes.where(F.col("nc") * F.col("nl") > PAIR_LIMIT).select(work, "__key")
     light = canon.join(heavy, [work, "__key"], "left_anti").join(rows.withColumnRenamed("__num", "__lnum"), [work, "__key"]) \
                  .select(work, (F.col("__num") - F.col("__lnum")).alias("__offset"), F.col("__m").alias("__n"))
     packed = _heavy_offsets(canon.join(heavy, [work, "__key"], "left_semi"), rows.join(heavy, [work, "__key"], "left_semi"), work)
     counts = light.unionByName(packed).groupBy(work, "__offset").agg(F.sum("__n").alias("__n"))
-    totals = counts.groupBy(work).agg(F.sum("__n").alias("total"))
-    order = [F.col("__n").desc(), F.abs("__offset"), F.col("__offset")]
-    top = keep_top(counts, key=[work], order=order, k=2)
+    top = keep_top(counts, key=[work], order=[F.col("__n").desc(), F.abs("__offset"), F.col("__offset")], k=2)
     rank = F.struct((-F.col("__n")).alias("n"), F.abs("__offset").alias("a"), F.col("__offset").alias("o"))
     best = top.groupBy(work).agg(F.min(rank).alias("b"), F.max(rank).alias("s"))
     best = best.select(work, F.col("b.o").alias("offset"), (-F.col("b.n")).alias("best"),
                        F.when(F.col("s.o") != F.col("b.o"), -F.col("s.n")).otherwise(0).alias("second"))
-    has_saved = saved.select(work).distinct().withColumn("__saved", F.lit(True))
-    works = canon.select(work).distinct()
-    joined = works.join(best.join(totals, work).join(matched, work), work, "left").join(has_saved, work, "left")
-    anything = F.coalesce("__saved", F.lit(False))
+    per_work = sizes.select(work, F.col("rows").alias("match_count"), (F.col("nc") * F.col("rows")).alias("total"), F.lit(True).alias("canon"), F.lit(False).alias("saved")) \
+        .unionByName(saved.select(work, zero.alias("match_count"), zero.alias("total"), F.lit(False).alias("canon"), F.lit(True).alias("saved"))) \
+        .groupBy(work).agg(F.sum("match_count").alias("match_count"), F.sum("total").alias("total"), F.max("canon").alias("canon"), F.max("saved").alias("anything"))
+    joined = per_work.where("canon").join(best, work, "left")
     confident = ((F.col("best") >= 3) | (F.col("best") / F.col("total") >= 0.6) | (F.col("match_count") <= 2)) \
         & ~((F.col("offset") != 0) & (F.col("second") > 0) & (F.col("best") - F.col("second") <= 1))
-    zero = F.lit(0).cast("bigint")
     return joined.select(
-        work, F.coalesce("offset", zero).alias("offset"), F.coalesce("best", zero).alias("best"),
-        F.coalesce("second", zero).cast("bigint").alias("second"), F.coalesce("total", zero).alias("total"),
-        F.coalesce("match_count", zero).alias("match_count"), (anything & ~F.coalesce(confident, F.lit(False))).alias("skip"))
+        work, F.coalesce("offset", zero).alias("offset"), F.coalesce("best", zero).alias("best"), F.coalesce("second", zero).cast("bigint").alias("second"),
+        "total", "match_count", (F.col("anything") & ~F.coalesce((F.col("total") > 0) & confident, F.lit(False))).alias("skip"))
 
 
 def align_listed(listed: DataFrame, offsets: DataFrame, *, work: str = "work") -> DataFrame:
@@ -129,7 +127,8 @@ def missing_parts(canonical: DataFrame, listed: DataFrame, saved: DataFrame, dea
     Facts about a number (saved, dead, offered) share one table, as do facts about a url, so each
     canonical row meets three joins in all: by number, by file name, by url.
     """
-    offsets = numbering_offsets(canonical, listed, saved, work=work) if offsets is None else offsets
+    # One row per work, needed twice (skipped works, aligned numbers): computed once and stored.
+    offsets = checkpointed(numbering_offsets(canonical, listed, saved, work=work)) if offsets is None else offsets
     skipped = offsets.where("skip").select(work)
     base = canonical.join(skipped, work, "left_anti").withColumn("__num", F.greatest(F.lit(1).cast("bigint"), part_number()))
     base = base.withColumn("__file", F.coalesce("file", text.part_file_name(F.coalesce("title", F.lit("")), "__num")))
