@@ -33,12 +33,12 @@ def _(t):
 _FILE_SQL = f"printf('%04d', turn + 1) || '_' || coalesce(nullif({SLUG.format(FIRST_LINE)}, ''), 'untitled')"
 
 
-@q("a2_part_files", f"""select cast(conv_id as varchar) as work, file || '.txt' as file, turn + 1 as index, {STRIP_PREFIX.format("substr(file, 6)")} as title, text from (
+@q("a2_part_files", f"""select cast(conv_id as varchar) as work, file || '.txt' as file, turn + 1 as index, {STRIP_PREFIX.format("substr(file, 6)")} as title, text || chr(10) as text from (
     select conv_id, turn, text, printf('%04d', turn + 1) || '_part-' || role || '-' || turn as file from conversations)""")
 def _(t):
     root = runs.work_folder(t.spark, "parts")
     name = F.concat(F.format_string("%04d", F.col("turn") + 1), F.lit("_part-"), "role", F.lit("-"), F.col("turn").cast("string"), F.lit(".txt"))
-    t.conversations.select(F.col("conv_id").alias("work"), name.alias("file"), "text").write.partitionBy("work", "file").option("lineSep", "").text(root)
+    t.conversations.select(F.col("conv_id").alias("work"), name.alias("file"), "text").write.partitionBy("work", "file").text(root)
     return tree.read_parts(t.spark, root, pattern=r"work=([^/]+)/file=([^/]+)/").select("work", "file", "index", "title", "text")
 
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from serialake import fixed
-from serialake.functions.text import Col, _c, uni_trim
+from serialake.functions.text import Col, _c, let, uni_trim
 
 _META = re.compile(r"[\\.^$*+?{}\[\]|()]")
 
@@ -30,56 +31,67 @@ def split_rules(patterns: Sequence[str]) -> tuple[list[str], list[str]]:
     return regexes, literals
 
 
-def _literal_alternation(literals: Sequence[str]) -> str:
-    """One case-sensitive alternation, factored by first character so a position fails fast."""
-    by_first: dict[str, list[str]] = {}
-    for word in dict.fromkeys(literals):
-        by_first.setdefault(word[0], []).append(re.escape(word[1:]).replace("\\-", "-"))
-    return "|".join(f"{re.escape(first)}(?:{'|'.join(rest)})" for first, rest in by_first.items())
+def _any(tests: Sequence[Column]) -> Column:
+    return reduce(lambda a, b: a | b, tests) if tests else F.lit(False)
 
 
-def matches_any(line: Col, patterns: Sequence[str]) -> Column:
+def _expression(regexes: Sequence[str]) -> str:
+    """One case-insensitive alternation; anchored rules share one ``^`` so they fail fast elsewhere."""
+    anchored = [p[1:] for p in regexes if p.startswith("^")]
+    free = [p for p in regexes if not p.startswith("^")]
+    parts = ([f"^(?:{'|'.join(f'(?:{p})' for p in anchored)})"] if anchored else []) + [f"(?:{p})" for p in free]
+    return "(?iu)(?U)" + "|".join(parts)
+
+
+def matches_any(line: Col, patterns: Sequence[str], lowered: Column | None = None) -> Column:
     """True when any rule is found somewhere in the line, case-insensitively.
 
-    Literals are searched in the lower-cased line; the rest keep their own syntax under ``(?iu)``.
+    Literals are plain substring searches in the lower-cased line, an order of magnitude cheaper
+    than a long alternation; the rest keep their own syntax under ``(?iu)``.
     """
     line = _c(line)
     regexes, literals = split_rules(patterns)
-    tests = []
-    if literals:
-        tests.append(F.lower(line).rlike(_literal_alternation(literals)))
+    low = F.lower(line) if lowered is None else lowered
+    tests = [low.contains(word) for word in dict.fromkeys(literals)]
     if regexes:
-        tests.append(line.rlike("(?iu)(?U)" + "|".join(f"(?:{p})" for p in regexes)))
-    if not tests:
-        return F.lit(False)
-    return tests[0] if len(tests) == 1 else tests[0] | tests[1]
+        tests.append(line.rlike(_expression(regexes)))
+    return _any(tests)
+
 
+def filter_lines(text: Col, patterns: Sequence[str] = tuple(fixed.BLACKLIST_PATTERNS)) -> Column:
+    """Kept, trimmed lines joined with newlines.
 
-def keep_line(line: Column, patterns: Sequence[str]) -> Column:
-    """D1 on one trimmed line: not blank, no rule found, and long enough or properly ended."""
+    A line goes when it is blank, when a rule is found in it, or when it is short and not properly
+    ended. Each line is trimmed and lower-cased once.
+    """
     endings = "".join(re.escape(e) for e in fixed.SHORT_LINE_ENDINGS)
-    return (
-        (line != "")
-        & ~matches_any(line, patterns)
-        & ((F.length(line) >= fixed.SHORT_LINE_LENGTH) | line.rlike(f"[{endings}]$"))
-    )
+    prepared = F.transform(split_lines(text), lambda raw: uni_trim(raw))
+    prepared = F.transform(prepared, lambda line: F.struct(line.alias("line"), F.lower(line).alias("low")))
 
+    def keep(item: Column) -> Column:
+        line = item["line"]
+        return ((line != "") & ~matches_any(line, patterns, item["low"])
+                & ((F.length(line) >= fixed.SHORT_LINE_LENGTH) | line.rlike(f"[{endings}]$")))
 
-def filter_lines(text: Col, patterns: Sequence[str] = tuple(fixed.BLACKLIST_PATTERNS)) -> Column:
-    """Kept, trimmed lines joined with newlines."""
-    trimmed = F.transform(split_lines(text), uni_trim)
-    return F.array_join(F.filter(trimmed, lambda line: keep_line(line, patterns)), "\n")
+    return F.array_join(F.transform(F.filter(prepared, keep), lambda item: item["line"]), "\n")
 
 
 def drop_leading_headers(text: Col, prefixes: Sequence[str] = tuple(fixed.HEADER_PREFIXES)) -> Column:
     """D3: blank lines go everywhere; header lines go until the first other line."""
-    header = "(?iu)^(?:" + "|".join(re.escape(p).replace("\\ ", " ") for p in prefixes) + ")"
-    # The state is (body seen, kept text): headers only go while no body line was seen.
+    longest = max(len(p) for p in prefixes)
     filled = F.filter(split_lines(text), lambda line: uni_trim(line) != "")
-    flags = F.transform(filled, lambda line: F.when(uni_trim(line).rlike(header), F.lit("h")).otherwise(F.lit("b")))
-    headers_on_top = F.length(F.regexp_extract(F.array_join(flags, ""), "^h*", 0))
-    body = F.slice(filled, headers_on_top + F.lit(1), F.greatest(F.size(filled) - headers_on_top, F.lit(0)))
-    return uni_trim(F.array_join(body, "\n"))
+
+    def is_header(line: Column) -> Column:
+        start = F.lower(F.left(uni_trim(line), F.lit(longest)))
+        return _any([start.startswith(p.lower()) for p in prefixes])
+
+    def from_first_body(all_lines: Column) -> Column:
+        # Position 0 means that every line is a header; the slice then starts behind the end.
+        first = F.array_position(F.transform(all_lines, is_header), False).cast("int")
+        start = F.coalesce(F.nullif(first, F.lit(0)), F.size(all_lines) + 1)
+        return F.array_join(F.slice(all_lines, start, F.size(all_lines)), "\n")
+
+    return uni_trim(let(filled, from_first_body))
 
 
 def is_block_page(html: Col) -> Column:

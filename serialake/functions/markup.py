@@ -66,8 +66,8 @@ def fragment_to_text(html: Col) -> Column:
 
 
 def text_blocks(html: Col) -> Column:
-    """As ``fragment_to_text`` but no blank lines at all."""
-    return F.regexp_replace(fragment_to_text(strip_code(html)), r"\n{2,}", "\n")
+    """As ``fragment_to_text`` but no blank lines at all (code is expected to be out already)."""
+    return F.regexp_replace(fragment_to_text(html), r"\n{2,}", "\n")
 
 
 def page_title(html: Col) -> Column:

@@ -6,6 +6,8 @@ Regular expressions run on the JVM: ``(?U)`` gives ``\\s``/``\\w`` their Unicode
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,9 +20,18 @@ def _c(col: Col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, where it is used several times around lambdas."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+# Every character that counts as white space.
+WHITE_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def uni_trim(col: Col) -> Column:
-    """Strip any Unicode white space at both ends (``trim`` strips spaces only)."""
-    return F.regexp_replace(_c(col), r"(?U)^\s+|\s+$", "")
+    """Strip any Unicode white space at both ends (plain ``trim`` strips spaces only)."""
+    return F.btrim(_c(col), F.lit(WHITE_SPACE))
 
 
 def collapse_space(col: Col) -> Column:

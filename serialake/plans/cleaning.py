@@ -14,7 +14,7 @@ from serialake.rules import Rule
 
 
 def clean_text(fragment: Column, patterns: Sequence[str] = tuple(fixed.BLACKLIST_PATTERNS)) -> Column:
-    """Container markup to clean text: code out, one block per line, rule lines and leading headers out."""
+    """Container markup without code to clean text: one block per line, rule lines and leading headers out."""
     return lines.drop_leading_headers(lines.filter_lines(markup.text_blocks(fragment), patterns))
 
 

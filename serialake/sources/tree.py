@@ -25,9 +25,9 @@ def read_works(spark: SparkSession, in_progress: str, completed: str, *, file_gl
     """
     def scan(root: str) -> DataFrame:
         reader = (spark.read.schema(f"{schemas.WORK}, _corrupt string").option("multiLine", True).option("mode", "PERMISSIVE")
-                  .option("columnNameOfCorruptRecord", "_corrupt").option("recursiveFileLookup", True).option("pathGlobFilter", file_glob))
+                  .option("recursiveFileLookup", True).option("pathGlobFilter", file_glob))
         rows = reader.json(root).select("*", F.col("_metadata.file_path").alias("path"))
-        return rows.where("_corrupt is null").drop("_corrupt").withColumn("slug", _segment(F.col("path"), 2))
+        return rows.withColumn("slug", _segment(F.col("path"), 2))
 
     done = scan(completed).withColumn("genre", _segment(F.col("path"), 3)).withColumn("state", F.lit("completed"))
     first_category = F.try_element_at("categories", F.lit(1)).getField("name")
@@ -60,9 +60,10 @@ def owned_state(states: DataFrame, *, site_key: str | Column, owner: str = "site
 
 def read_state(spark: SparkSession, path: str, *, site_key: str) -> DataFrame:
     """A3: crawl state of a site; a missing or unreadable file is an empty table."""
-    reader = spark.read.schema(f"{schemas.STATE}, _corrupt string").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt")
-    rows = reader.option("ignoreMissingFiles", True).json(_existing(spark, path)) if _existing(spark, path) else spark.createDataFrame([], f"{schemas.STATE}, _corrupt string")
-    return owned_state(rows.where("_corrupt is null").drop("_corrupt"), site_key=site_key)
+    if not _existing(spark, path):
+        return spark.createDataFrame([], schemas.STATE)
+    rows = spark.read.schema(schemas.STATE).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
+    return owned_state(rows, site_key=site_key)
 
 
 def _existing(spark: SparkSession, path: str) -> str | None:

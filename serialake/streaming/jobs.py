@@ -90,9 +90,13 @@ def retry_results(jobs: DataFrame, pages: DataFrame, *, category: Column | None
     landed = pages.select(F.col("url").alias("chapter_url"), "html")
     joined = valid.join(landed, "chapter_url", "left")
     body = markup.fragment_to_text(F.coalesce(markup.container(markup.strip_code("html")), markup.strip_code("html")))
-    outcome = (F.when(F.coalesce("html", F.lit("")) == "", "not_landed").when(lines.is_block_page("html"), "anti_bot").when(body == "", "empty").otherwise("ok"))
-    stored = text.stored_body("chapter_url", "story_title", F.lit("") if category is None else category, "chapter_title", body)
-    return joined.select("filename", "chapter_url", "chapter_title", "story_title", "site", outcome.alias("outcome"), F.when(outcome == "ok", stored).alias("text"))
+    keep = ["filename", "chapter_url", "chapter_title", "story_title", "site"]
+    # Steps, so that each expensive expression is evaluated once per row.
+    read = joined.select(*keep, (F.lit("") if category is None else category).alias("__category"), (F.coalesce("html", F.lit("")) == "").alias("__absent"),
+                         lines.is_block_page("html").alias("__blocked"), body.alias("__body"))
+    outcome = F.when(F.col("__absent"), "not_landed").when(F.col("__blocked"), "anti_bot").when(F.col("__body") == "", "empty").otherwise("ok")
+    stored = text.stored_body("chapter_url", "story_title", "__category", "chapter_title", "__body")
+    return read.select("*", outcome.alias("outcome")).select(*keep, "outcome", F.when(F.col("outcome") == "ok", stored).alias("text"))
 
 
 def retry_sink(store: str, label_path: str):
