@@ -13,7 +13,8 @@ from serialake.operators import filters, stats
 catalog = Catalog()
 q = catalog.query
 
-NOW = F.lit("1999-01-01 00:00:00").cast("timestamp")
+def now():
+    return F.lit("1999-01-01 00:00:00").cast("timestamp")
 
 
 @q("d4_effective_limit", """select l_orderkey, l_partkey, l_linenumber, l_shipdate, lim from (
@@ -116,7 +117,7 @@ def _(t):
 def _(t):
     counts = stats.part_counts(t.lineitem, work="l_orderkey", saved=F.col("l_returnflag") == "A", dead=F.col("l_returnflag") == "R")
     works = t.orders.join(counts, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    test = filters.is_abandoned(saved="saved", dead="dead", total=F.lit(30), updated_at=F.col("o_orderdate").cast("timestamp"), now=NOW)
+    test = filters.is_abandoned(saved="saved", dead="dead", total=F.lit(30), updated_at=F.col("o_orderdate").cast("timestamp"), now=now())
     return works.where(test).select("o_orderkey")
 
 

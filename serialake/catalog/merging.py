@@ -12,8 +12,13 @@ from serialake.operators import merging
 catalog = Catalog()
 q = catalog.query
 
-T0 = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
-T1 = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
+
+def t0():
+    return F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+
+
+def t1():
+    return F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
 
 
 @q("e9_upsert", """select c_custkey, case when seg = 'BUILDING' or nm = '' then c_name else nm end as name, case when bal is null then c_acctbal else bal end as balance, created_at, updated_at, changed from (
@@ -22,11 +27,11 @@ T1 = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
       case when c_mktsegment = 'BUILDING' then timestamp '2024-01-01' else timestamp '2024-02-01' end as updated_at,
       c_mktsegment <> 'BUILDING' and (c_acctbal >= 0 or c_nationkey < 10) as changed from customer)""")
 def _(t):
-    stored = t.customer.select("c_custkey", F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), T0.alias("created_at"), T0.alias("updated_at"))
+    stored = t.customer.select("c_custkey", F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), t0().alias("created_at"), t0().alias("updated_at"))
     incoming = t.customer.where("c_mktsegment <> 'BUILDING'").select(
         "c_custkey", F.when(F.col("c_acctbal") < 0, "").otherwise(F.upper("c_name")).alias("name"),
         F.when(F.col("c_nationkey") < 10, F.col("c_acctbal") + 1).alias("balance"))
-    return merging.upsert(stored, incoming, key=["c_custkey"], truthy=["name"], not_null=["balance"], now=T1)
+    return merging.upsert(stored, incoming, key=["c_custkey"], truthy=["name"], not_null=["balance"], now=t1())
 
 
 @q("e10_append_category", """select n_nationkey, array_to_string(list_sort([lower(n_name), lower(r_name)] || case when n_regionkey > 2 then ['home'] else [] end), ',') as names
@@ -113,9 +118,9 @@ def _(t):
     case when c_mktsegment = 'BUILDING' then timestamp '2024-02-01' else timestamp '2024-01-01' end as time from customer where c_acctbal < 5000 or c_mktsegment = 'BUILDING'""")
 def _(t):
     rows = t.customer.select(F.lower("c_name").alias("slug"), F.concat(F.lit("/c/"), "c_custkey").alias("url"), F.col("c_name").alias("title"), "c_acctbal", "c_mktsegment")
-    registry = rows.where("c_acctbal < 5000").select("slug", "url", "title", F.lit("old").alias("reason"), T0.alias("time"))
+    registry = rows.where("c_acctbal < 5000").select("slug", "url", "title", F.lit("old").alias("reason"), t0().alias("time"))
     marks = rows.where("c_mktsegment = 'BUILDING'").withColumn("reason", F.lit("again"))
-    return merging.mark_skipped(registry, marks, time=T1)
+    return merging.mark_skipped(registry, marks, time=t1())
 
 
 @q("i5_clear_skips", """select c_custkey, c_mktsegment <> 'BUILDING' as skip_crawl, case when c_mktsegment <> 'BUILDING' then 'why' end as skip_reason,

@@ -7,14 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Tables whose queries spend their time in expressions, with their row key.
+_TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
+
+
 class Tables:
-    """Lazy access to the tables of one data directory."""
+    """Lazy access to the tables of one data directory.
+
+    A text table that arrives in fewer splits than there are cores (one small file) is spread by its
+    key, so that expressions run in parallel; a table with enough splits is read as it is.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        cores = self.spark.sparkContext.defaultParallelism
+        if name in _TEXT_TABLES and table.rdd.getNumPartitions() < cores:
+            return table.repartition(cores, _TEXT_TABLES[name])
+        return table
 
 
 class Catalog:

@@ -7,6 +7,8 @@ or (work, file), so the parts of one very large work spread over all partitions.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -33,8 +35,9 @@ def saved_number(file: str = "file") -> Column:
 
 
 def _keyed(parts: DataFrame, work: str) -> DataFrame:
-    out = parts.select(work, text.match_key("title").alias("__key"), part_number().alias("__num"))
-    return out.where(F.col("__key") != "")
+    # ``let`` keeps the long key expression out of the generated code of the filter it also lands in.
+    key = text.let(F.coalesce("title", F.lit("")), text.match_key)
+    return parts.select(work, key.alias("__key"), part_number().alias("__num")).where(F.col("__key") != "")
 
 
 def _heavy_offsets(canon: DataFrame, listed: DataFrame, work: str) -> DataFrame:
@@ -124,43 +127,41 @@ def missing_parts(canonical: DataFrame, listed: DataFrame, saved: DataFrame, dea
                   offsets: DataFrame | None = None) -> DataFrame:
     """Canonical parts that are not stored, not dead and still offered by the source.
 
-    Facts about a number (saved, dead, offered) share one table, as do facts about a url, so each
-    canonical row meets three joins in all: by number, by file name, by url.
+    Facts about a number (saved, dead, offered, found under its file name) share one table, as do
+    facts about a url, so a canonical row meets two joins in all.
     """
     # One row per work, needed twice (skipped works, aligned numbers): computed once and stored.
     offsets = checkpointed(numbering_offsets(canonical, listed, saved, work=work)) if offsets is None else offsets
     skipped = offsets.where("skip").select(work)
     base = canonical.join(skipped, work, "left_anti").withColumn("__num", F.greatest(F.lit(1).cast("bigint"), part_number()))
     base = base.withColumn("__file", F.coalesce("file", text.part_file_name(F.coalesce("title", F.lit("")), "__num")))
-    yes, no = F.lit(True), F.lit(False)
+    # A stored non-empty file under the expected name ends the search for its number, for this row and all after it.
+    files = saved.where(F.col("size") > 0).select(work, F.col("file").alias("__file")).distinct()
+    hits = base.select(work, "__file", "__num", "pos").join(files, [work, "__file"], "left_semi")
+    yes, no, never = F.lit(True), F.lit(False), F.lit(None).cast("bigint")
 
-    def facts(df: DataFrame, key: Column, name: str, s: Column, d: Column, o: Column) -> DataFrame:
-        return df.select(work, key.alias(name), s.alias("s"), d.alias("d"), o.alias("o"))
+    def facts(df: DataFrame, key: Column, name: str, s: Column, d: Column, o: Column, hit: Column = never) -> DataFrame:
+        return df.select(work, key.alias(name), s.alias("s"), d.alias("d"), o.alias("o"), hit.cast("bigint").alias("h"))
 
     def gathered(parts: list[DataFrame], name: str) -> DataFrame:
-        union = parts[0]
-        for part in parts[1:]:
-            union = union.unionByName(part)
-        return union.where(F.col(name).isNotNull()).groupBy(work, name).agg(
-            F.max("s").alias(f"{name}_saved"), F.max("d").alias(f"{name}_dead"), F.max("o").alias(f"{name}_offered"))
+        return reduce(DataFrame.unionByName, parts).where(F.col(name).isNotNull()).groupBy(work, name).agg(
+            F.max("s").alias(f"{name}_saved"), F.max("d").alias(f"{name}_dead"), F.max("o").alias(f"{name}_offered"), F.min("h").alias(f"{name}_hit"))
 
     aligned = align_listed(listed, offsets, work=work)
     by_number = gathered([facts(saved, saved_number(), "__num", yes, no, no),
                           facts(dead, F.col("index").cast("bigint"), "__num", no, yes, no),
-                          facts(aligned, F.col("aligned"), "__num", no, no, yes)], "__num")
+                          facts(aligned, F.col("aligned"), "__num", no, no, yes),
+                          facts(hits, F.col("__num"), "__num", no, no, no, F.col("pos"))], "__num")
     by_url = gathered([facts(dead, F.nullif("url", F.lit("")), "__url", no, yes, no),
                        facts(listed, F.nullif("url", F.lit("")), "__url", no, no, yes)], "__url")
-    files = saved.where(F.col("size") > 0).select(work, F.col("file").alias("__file")).distinct().withColumn("__stored", yes)
 
     def flag(name: str) -> Column:
         return F.coalesce(F.col(name), no)
 
-    open_rows = base.join(by_number, [work, "__num"], "left").where(~flag("__num_saved")).join(files, [work, "__file"], "left")
-    # A stored file marks its number as saved for the rows after it.
-    hits = open_rows.where(flag("__stored")).groupBy(work, "__num").agg(F.min("pos").alias("__hit"))
-    left = open_rows.where(~flag("__stored")).join(hits, [work, "__num"], "left").where(F.col("__hit").isNull() | (F.col("pos") < F.col("__hit")))
-    judged = left.withColumn("__url", F.nullif("url", F.lit(""))).join(by_url, [work, "__url"], "left")
-    wanted = judged.where(~flag("__num_dead") & ~flag("__url_dead") & (flag("__url_offered") | flag("__num_offered")))
+    open_rows = base.join(by_number, [work, "__num"], "left").where(
+        ~flag("__num_saved") & ~flag("__num_dead") & (F.col("__num_hit").isNull() | (F.col("pos") < F.col("__num_hit"))))
+    judged = open_rows.withColumn("__url", F.nullif("url", F.lit(""))).join(by_url, [work, "__url"], "left")
+    wanted = judged.where(~flag("__url_dead") & (flag("__url_offered") | flag("__num_offered")))
     return wanted.select(work, F.col("pos").alias("idx"), F.col("__num").alias("index"), "title", "url", F.col("__file").alias("file"))
 
 
