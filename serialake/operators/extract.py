@@ -181,10 +181,12 @@ def part_ranges(df: DataFrame, *, labels: Column, keep: Sequence[str]) -> DataFr
 
 def sorted_ranges(col: Column) -> Column:
     """B12, second step: normalise an array of (from, to) structs, swap reversed ends, sort."""
-    fixed_ends = F.transform(col, lambda r: F.struct(
-        F.least(r["from"].try_cast("bigint"), F.coalesce(r["to"].try_cast("bigint"), r["from"].try_cast("bigint"))).alias("from"),
-        F.greatest(r["from"].try_cast("bigint"), F.coalesce(r["to"].try_cast("bigint"), r["from"].try_cast("bigint"))).alias("to")))
-    return F.array_sort(F.filter(fixed_ends, lambda r: r["from"].isNotNull()))
+    def ordered(r: Column) -> Column:
+        start = r["from"].try_cast("bigint")
+        end = F.coalesce(r["to"].try_cast("bigint"), start)
+        return F.when(start.isNotNull(), F.struct(F.least(start, end).alias("from"), F.greatest(start, end).alias("to")))
+
+    return F.array_sort(F.array_compact(F.transform(col, ordered)))
 
 
 def live_profiles(pages: DataFrame, profiles: DataFrame, *, now: Column, url: str = "url") -> DataFrame:

@@ -24,10 +24,9 @@ def read_works(spark: SparkSession, in_progress: str, completed: str, *, file_gl
     category, else ``Unknown``. The same folder name in both roots counts once, as completed.
     """
     def scan(root: str) -> DataFrame:
-        reader = (spark.read.schema(f"{schemas.WORK}, _corrupt string").option("multiLine", True).option("mode", "PERMISSIVE")
-                  .option("recursiveFileLookup", True).option("pathGlobFilter", file_glob))
-        rows = reader.json(root).select("*", F.col("_metadata.file_path").alias("path"))
-        return rows.withColumn("slug", _segment(F.col("path"), 2))
+        files = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", file_glob).text(root, wholetext=True)
+                 .select("value", F.col("_metadata.file_path").alias("path")))
+        return _readable_objects(files, schemas.WORK).withColumn("slug", _segment(F.col("path"), 2))
 
     done = scan(completed).withColumn("genre", _segment(F.col("path"), 3)).withColumn("state", F.lit("completed"))
     first_category = F.try_element_at("categories", F.lit(1)).getField("name")
@@ -35,14 +34,23 @@ def read_works(spark: SparkSession, in_progress: str, completed: str, *, file_gl
     return done.unionByName(running.join(done.select("slug"), "slug", "left_anti").select(done.columns))
 
 
+def _readable_objects(files: DataFrame, schema: str) -> DataFrame:
+    """Whole files to typed rows; a file that is not one JSON object gives none."""
+    parsed = files.withColumn("o", F.from_json("value", f"{schema}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}))
+    others = [c for c in files.columns if c != "value"]
+    return parsed.where("o is not null and o._corrupt is null").select(*others, "o.*").drop("_corrupt")
+
+
 def read_parts(spark: SparkSession, root: str, *, file_glob: str = "*.txt", pattern: str = r"([^/]+)/([^/]+\.txt)$") -> DataFrame:
     """A2: stored parts: (work, file, index, title, size_bytes, text).
 
     ``pattern`` finds folder and file name in the path. The number is the leading digits of the name,
     else the place in name order is left to the caller (null); the title has its number removed.
+    Spark's file sources never list empty files, so an empty part counts as not stored.
     """
-    files = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", file_glob).text(root, wholetext=True)
-             .select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size_bytes")))
+    # The binary source reads contents only when the query asks for them.
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", file_glob).load(root)
+             .select(F.decode("content", "UTF-8").alias("value"), "path", F.col("length").alias("size_bytes")))
     name = F.url_decode(F.replace(F.regexp_extract("path", pattern, 2), F.lit("+"), F.lit("%2B")))
     stem = F.regexp_replace(name, r"\.txt$", "")
     raw_title = F.coalesce(F.nullif(F.regexp_extract(stem, r"^[0-9]{4}[_.](.*)$", 1), F.lit("")), stem)
@@ -62,8 +70,7 @@ def read_state(spark: SparkSession, path: str, *, site_key: str) -> DataFrame:
     """A3: crawl state of a site; a missing or unreadable file is an empty table."""
     if not _existing(spark, path):
         return spark.createDataFrame([], schemas.STATE)
-    rows = spark.read.schema(schemas.STATE).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
-    return owned_state(rows, site_key=site_key)
+    return owned_state(_readable_objects(spark.read.text(path, wholetext=True), schemas.STATE), site_key=site_key)
 
 
 def _existing(spark: SparkSession, path: str) -> str | None:

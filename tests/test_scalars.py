@@ -141,8 +141,7 @@ def test_payload(spark):
     raw = zlib.compressobj(wbits=-zlib.MAX_WBITS)
     deflated = base64.b64encode(raw.compress(body.encode()) + raw.flush()).decode()
     scripts = [f"var base64 = '{packed}';", f"<i data-base64=\"{packed[:20]}\n{packed[20:]}\">", f'x = "{"A" * 200}"; y = `{deflated}`', "nothing", None]
-    assert values(spark, scripts, payload.embedded_payload(F.col("v"))) == [body, body, body, None, None] or \
-        values(spark, scripts[1:], payload.embedded_payload(F.col("v")))[0] == body
+    assert values(spark, scripts, payload.embedded_payload(F.col("v"))) == [body, body, body, None, None]
 
 
 def test_rating_and_identifiers(spark):
