@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from serialake.functions import text, urls
 from serialake.functions.text import uni_trim
+from serialake.materialise import checkpointed
 from serialake.operators.ordering import keep_first
 from serialake.operators.running import position
 
@@ -86,13 +87,14 @@ def merge_sources(sources: DataFrame, sites: DataFrame, *, work: str = "work") -
     new, stored url, current url). The host decides the site; rows of unknown hosts go. A repeated
     source keeps its first place and its lowest priority.
     """
-    cleaned = sources.withColumn("url", uni_trim("url")).where("url <> ''")
+    cleaned = sources.where(F.coalesce("url", F.lit("")) != "").withColumn("url", uni_trim("url"))
     sited = urls.with_site_key(cleaned, sites, url="url", site_col="__site").where("__site is not null")
     merged = sited.groupBy(work, "url", F.col("__site").alias("site_key")).agg(
         F.min(F.struct("origin", "pos")).alias("first"), F.min("priority").cast("double").alias("priority"))
     keyed = merged.select(work, "url", "site_key", "priority", F.coalesce("priority", F.lit(DEFAULT_PRIORITY)).alias("__p"),
                           F.col("first.origin").alias("__o"), F.col("first.pos").alias("__i"))
-    placed = position(keyed, key=[work], order=["__p", "__o", "__i", "url"], name="place")
+    # The merged list is far smaller than its origins and is read several times for its places.
+    placed = position(checkpointed(keyed), key=[work], order=["__p", "__o", "__i", "url"], name="place")
     return placed.select(work, "place", "url", "site_key", "priority")
 
 

@@ -35,10 +35,10 @@ def keep_largest(df: DataFrame, *, key: Sequence[str], size: Column, name: str,
 def _fresh_walk(items: DataFrame, group: str, page: str, pos: str, url: str) -> tuple[DataFrame, DataFrame]:
     """(first occurrence of every url, last page of the unbroken run 1..p that each brought a new url)."""
     first = keep_first(items, key=[group, url], order=[page, pos])
-    fresh = first.groupBy(group, page).agg(F.count("*").alias("__fresh"))
-    # Pages 1..p all brought something exactly when p filled pages lie at or below p.
-    filled = running_sums(fresh, key=[group], order=[page], measures={"__filled": F.lit(1)})
-    last = filled.where(F.col("__filled") == F.col(page)).groupBy(group).agg(F.max(page).cast("bigint").alias("__last"))
+    fresh = first.select(group, F.col(page).cast("bigint").alias("__page")).distinct()
+    # The run ends before the first page that follows a filled one (or page 1) without being filled itself.
+    following = fresh.select(group, F.col("__page") + 1).union(fresh.select(group).distinct().select(group, F.lit(1).cast("bigint"))).toDF(group, "__page")
+    last = following.join(fresh, [group, "__page"], "left_anti").groupBy(group).agg((F.min("__page") - 1).alias("__last")).where("__last > 0")
     return first, last
 
 

@@ -35,9 +35,10 @@ def saved_number(file: str = "file") -> Column:
 
 
 def _keyed(parts: DataFrame, work: str) -> DataFrame:
-    # ``let`` keeps the long key expression out of the generated code of the filter it also lands in.
-    key = text.let(F.coalesce("title", F.lit("")), text.match_key)
-    return parts.select(work, key.alias("__key"), part_number().alias("__num")).where(F.col("__key") != "")
+    # Exploding the filtered one-element array drops blank keys and evaluates the long key expression
+    # once; a plain filter would be pushed down and evaluate it a second time.
+    keys = F.filter(F.transform(F.array(F.coalesce("title", F.lit(""))), text.match_key), lambda k: k != "")
+    return parts.select(work, F.explode(keys).alias("__key"), part_number().alias("__num"))
 
 
 def _heavy_offsets(canon: DataFrame, listed: DataFrame, work: str) -> DataFrame:

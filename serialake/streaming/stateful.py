@@ -1,8 +1,8 @@
 """Stateful streams: failure machine, ban, alert and debounce (J4-J7), with batch twins where windows can say it.
 
-The counting machine spreads a hot key first: a state per (key, salt) passes on at most ``cap``
-rows ever, so the state per key sees at most ``cap * SALTS`` rows. The order-dependent machines take
-one micro-batch of a key at a time; its size is what the source's trigger limit allows.
+The counting machine combines before its shuffle: of every Arrow batch only the earliest ``cap``
+rows per key travel, so a hot key cannot flood the task that holds its state. The order-dependent
+machines take one micro-batch of a key at a time; its size is what the source's trigger limit allows.
 """
 
 from __future__ import annotations
@@ -18,8 +18,6 @@ from pyspark.sql.window import Window as W
 
 from serialake.operators.ordering import keep_top
 
-SALTS = 16
-
 
 def _earliest(rows: Iterator[pd.DataFrame], time: str, n: int) -> list:
     """The ``n`` smallest times, merged while the chunks pass by."""
@@ -35,26 +33,6 @@ def _sorted_times(rows: Iterator[pd.DataFrame], time: str) -> list:
     return sorted(pd.concat(chunks)) if chunks else []
 
 
-class PassFirst(StatefulProcessor):
-    """Pass at most ``cap`` rows per key, ever (the earliest ones of each micro-batch)."""
-
-    def __init__(self, key: str, time: str, cap: int):
-        self.key, self.time, self.cap = key, time, cap
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.count = handle.getValueState("count", T.StructType([T.StructField("n", T.LongType())]))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        seen = self.count.get()[0] if self.count.exists() else 0
-        passed = _earliest(rows, self.time, self.cap - seen) if seen < self.cap else []
-        if passed:
-            self.count.update((seen + len(passed),))
-            yield pd.DataFrame({self.key: key[0], self.time: passed})
-
-    def close(self) -> None:
-        pass
-
-
 class CapReached(StatefulProcessor):
     """Count rows per key and emit one row when the cap is reached, never again."""
 
@@ -77,17 +55,21 @@ class CapReached(StatefulProcessor):
         pass
 
 
-def dead_keys(failures: DataFrame, *, key: str, time: str, cap: int, salts: int = SALTS) -> DataFrame:
+def _earliest_per_batch(key: str, time: str, cap: int):
+    """Arrow-batch combiner: nothing beyond the earliest ``cap`` rows of a key can matter to the cap-th one."""
+    def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.sort_values(time, kind="stable").groupby(key, sort=False).head(cap)
+    return combine
+
+
+def dead_keys(failures: DataFrame, *, key: str, time: str, cap: int) -> DataFrame:
     """Stream of failures to one DEAD row per key, at its cap-th failure. Input holds failures only."""
-    stamp = F.col(time).cast("timestamp").alias(time)
     key_field, time_field = T.StructField(key, failures.schema[key].dataType), T.StructField(time, T.TimestampType())
-    stamped = failures.select(key, stamp)
-    if salts > 1:
-        salted = stamped.withColumn("__salt", F.pmod(F.xxhash64(time), F.lit(salts)).cast("int"))
-        stamped = salted.groupBy(key, "__salt").transformWithStateInPandas(
-            statefulProcessor=PassFirst(key, time, cap), outputStructType=T.StructType([key_field, time_field]), outputMode="Append", timeMode="None")
+    stamped = failures.select(key, F.col(time).cast("timestamp").alias(time))
+    combined = stamped.mapInPandas(_earliest_per_batch(key, time, cap), T.StructType([key_field, time_field]))
     schema = T.StructType([key_field, time_field, T.StructField("failures", T.LongType())])
-    return stamped.groupBy(key).transformWithStateInPandas(
+    return combined.groupBy(key).transformWithStateInPandas(
         statefulProcessor=CapReached(key, time, cap), outputStructType=schema, outputMode="Append", timeMode="None")
 
 
