@@ -127,10 +127,17 @@ def _(t):
     return stateful.trailing_counts(failures, time="ts", seconds=6 * 3600).select("event_id", "recent")
 
 
-@q("j6_ban_alerts_stream")
+_STILL_RECENT = "list_filter(w.recent, lambda x: epoch_us(e.ts) - epoch_us(x) < 21600000000)"
+
+
+@q("j6_ban_alerts_stream", f"""with recursive e as (select ts, row_number() over (order by ts, event_id) as rn from events where event_type = 'error'),
+    walk as (select 0::bigint as rn, []::timestamp[] as recent, null::timestamp as ts, 0::bigint as n union all
+      select e.rn, case when len({_STILL_RECENT}) >= 9 then []::timestamp[] else list_append({_STILL_RECENT}, e.ts) end, e.ts, (len({_STILL_RECENT}) + 1)::bigint
+      from walk w join e on e.rn = w.rn + 1) select 'all' as pool, ts, n as bans from walk where n >= 10""")
 def _(t):
     bans = event_stream(t).where("event_type = 'error'").withColumn("pool", F.lit("all"))
-    return runs.run_available(stateful.ban_alerts(bans, pool="pool", time="ts", seconds=6 * 3600, threshold=10), name="j6")
+    alerts = runs.run_available(stateful.ban_alerts(bans, pool="pool", time="ts", seconds=6 * 3600, threshold=10), name="j6")
+    return alerts.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @q("j7_debounce_stream", """with recursive e as (select user_id, ts, row_number() over (partition by user_id order by ts) as rn from events),
@@ -142,7 +149,7 @@ def _(t):
     return runs.run_available(passed, name="j7").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-@q("j8_suppress_repeats_stream")
+@q("j8_suppress_repeats_stream", "select distinct user_id from events")
 def _(t):
     stamped = event_stream(t).withColumn("ts", F.col("ts").cast("timestamp"))
     return runs.run_available(jobs.suppress_repeats(stamped, key="user_id", time="ts", ttl="40 days").select("user_id"), name="j8")

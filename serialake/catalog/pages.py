@@ -50,11 +50,12 @@ def _(t):
     return extract.listing_link(t.pages, required=["e"], weights=[("href", "th", 3), ("text", "e", 2), ("href", "i|o", -1)])
 
 
-@q("b3_listing_rows")
+@q("b3_listing_rows", rf"""select page_id, name as title, {ORIGIN} || href as url, null::varchar as latest_part, null::varchar as author from (
+    select *, row_number() over (partition by page_id, href order by pos) as rn from {LINKS_SQL}) where rn = 1""")
 def _(t):
     # Each page's navigation entries play the work rows.
-    found = [r for r in rules.listing_rules(["nav ul li"], ["a.name[href]", "a[href]"], ["a[href]"], ["span.author"])]
-    return extract.listing_rows(t.pages, found)
+    found = rules.listing_rules(["nav ul li"], ["a.name[href]", "a[href]"], ["a[href]"], ["span.author"])
+    return extract.listing_rows(t.pages, found).select("page_id", "title", "url", "latest_part", "author")
 
 
 @q("b4_page_count", r"""select lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) as host,
@@ -204,9 +205,11 @@ def _(t):
     return t.pages.select("page_id", markup.decode_utf8(F.encode("html", "UTF-8")).alias("html"))
 
 
-@q("b18_trim_to_bytes")
+@q("b18_trim_to_bytes", r"""select page_id, left(body, n) as html, strlen(left(body, n))::bigint as bytes from (
+    select page_id, body, list_max(list_filter(range(0, 2001), lambda i: strlen(left(body, i)) <= 2000)) as n from (
+      select page_id, regexp_extract(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>|<svg\b.*?</svg\s*>', '', 'g'), '(?is)(<body\b.*?(?:</body\s*>|$))', 1) as body from pages))""")
 def _(t):
-    return t.pages.select("page_id", markup.trim_to_bytes("html", 2000).alias("html")).select("page_id", "html", F.octet_length("html").alias("bytes"))
+    return t.pages.select("page_id", markup.trim_to_bytes("html", 2000).alias("html")).select("page_id", "html", F.octet_length("html").cast("bigint").alias("bytes"))
 
 
 @q("b19_latest_parts", rf"""select page_id, name as title, {ORIGIN} || href as url from {LINKS_SQL}""")

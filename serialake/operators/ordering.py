@@ -93,7 +93,7 @@ def even_batches(df: DataFrame, *, batches: int, order: Sequence[str], key: Sequ
         totals = df.groupBy(*key).agg(F.count("*").alias("__n"))
         placed = placed.join(totals, list(key))
     else:
-        placed = placed.crossJoin(df.agg(F.count("*").alias("__n")))  # one row, one number
+        placed = placed.withColumn("__n", F.lit(df.count()))  # one number
     small, extra = F.floor(F.col("__n") / batches), F.col("__n") % batches
     boundary = extra * (small + 1)
     number = F.when(F.col("__p") < boundary, F.floor(F.col("__p") / (small + 1)))\
