@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 SAMPLE_PER_RANGE = 16
+MAX_RANGES = 2000  # bounds the driver's sample (32,000 rows) and the size of the expression
 
 
 def _literal(row, schema) -> Column:
@@ -29,7 +30,7 @@ def range_of(df: DataFrame, order: Sequence[str], ranges: int | None = None) ->
     sample (``ranges * 16`` rows on the driver), so the same table is always cut the same way and a
     hot key is cut inside the key, by the columns that follow it.
     """
-    ranges = ranges or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranges = ranges or min(MAX_RANGES, max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     tuple_ = F.struct(*[F.col(c).alias(f"f{i}") for i, c in enumerate(order)])
     sampled = (df.select(tuple_.alias("t")).orderBy(F.xxhash64("t")).limit(ranges * SAMPLE_PER_RANGE)
                  .orderBy("t").select("t.*"))
