@@ -79,8 +79,8 @@ def discounts(table: DataFrame) -> tuple[float, float, float]:
 
 
 def fit(trusted: DataFrame, *, text_column: str = "text", order: int = ORDER) -> DataFrame:
-    """(gram, p, gamma): interpolated probability of the gram's last character after the rest, and the weight that the gram as a context
-    leaves to shorter ones (null: never a context). The empty gram holds the probability of an unseen character.
+    """(gram, p, gamma): interpolated probability of the gram's last character after the rest (null: a context seen at the beginning of
+    texts only), and the weight that the gram as a context leaves to shorter ones (null: never a context). The empty gram holds the probability of an unseen character.
 
     Null texts count as empty. No text at all gives a model in which every character is equally unlikely.
     """
@@ -107,7 +107,7 @@ def fit(trusted: DataFrame, *, text_column: str = "text", order: int = ORDER) ->
     for size in range(0, order + 1):
         gamma = gammas.get(size)
         base = trusted.sparkSession.createDataFrame([("", 1.0 / letters)], "gram string, p double") if size == 0 else parts[size - 1]
-        part = base.join(gamma, "gram", "left").select("gram", "p", "gamma") if gamma is not None else base.select("gram", "p", F.lit(None).cast("double").alias("gamma"))
+        part = base.join(gamma, "gram", "full").select("gram", "p", "gamma") if gamma is not None else base.select("gram", "p", F.lit(None).cast("double").alias("gamma"))
         out = part if out is None else out.unionByName(part)
     return checkpointed(out)
 
@@ -194,18 +194,17 @@ def load(model: DataFrame, order: int = ORDER, shard_size: int = SHARD) -> list[
     for size in range(order - 1, -1, -1):
         part = rows.where(F.col("size") == size).toArrow()
         grams = part.column("gram").to_pylist()
-        keys, gamma = _gram_keys(grams, size), part.column("gamma").combine_chunks()
-        context = np.asarray(gamma.is_valid())
+        keys, gamma, p = _gram_keys(grams, size), part.column("gamma").combine_chunks(), part.column("p").combine_chunks()
+        context, seen = np.asarray(gamma.is_valid()), np.asarray(p.is_valid())
         if size:
-            low[size] = (Table(keys, log(part.column("p"))), Table(keys[context], log(gamma.fill_null(1.0))[context]))
+            low[size] = (Table(keys[seen], log(p.fill_null(1.0))[seen]), Table(keys[context], log(gamma.fill_null(1.0))[context]))
         else:
-            unseen = float(log(part.column("p"))[0] + log(gamma.fill_null(1.0))[0])
+            unseen = float(log(p)[0] + log(gamma.fill_null(1.0))[0])
     top = rows.where(F.col("size") == order)
     shards = max(1, -(-top.count() // shard_size))
     out = []
-    part = top.select("gram", "p")
     for shard in range(shards):
-        found = part.toArrow() if shard == 0 or shards > 1 else None
+        found = top.select("gram", "p").toArrow()
         keys, values = _gram_keys(found.column("gram").to_pylist(), order), log(found.column("p"))
         own = keys % np.uint64(shards) == shard
         out.append(Model(low, Table(keys[own], values[own]), order, unseen, shard, shards))
