@@ -149,10 +149,13 @@ def _(t):
     return runs.run_available(passed, name="j7").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-@q("j8_suppress_repeats_stream", "select distinct user_id from events")
+@q("j8_suppress_repeats_stream", """with recursive e as (select user_id, ts, row_number() over (partition by user_id order by ts) as rn from events),
+    walk as (select user_id, rn, ts, ts as last, true as passed from e where rn = 1
+      union all select e.user_id, e.rn, e.ts, case when e.ts >= w.last + interval 30 hours then e.ts else w.last end, e.ts >= w.last + interval 30 hours
+      from walk w join e on e.user_id = w.user_id and e.rn = w.rn + 1) select user_id, ts from walk where passed""")
 def _(t):
-    stamped = event_stream(t).withColumn("ts", F.col("ts").cast("timestamp"))
-    return runs.run_available(jobs.suppress_repeats(stamped, key="user_id", time="ts", ttl="40 days").select("user_id"), name="j8")
+    passed = jobs.suppress_repeats(event_stream(t), key="user_id", time="ts", seconds=30 * 3600)
+    return runs.run_available(passed, name="j8").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @q("j9_notify_once", "select distinct user_id from events where event_type = 'error'")
@@ -165,13 +168,13 @@ def _(t):
     return runs.run_available(jobs.notify_once(event_stream(t).where("event_type = 'error'").select("user_id"), title="user_id"), name="j9")
 
 
-@q("j11_due_retries", """select user_id, attempt, last_failure, delay, last_failure + to_seconds(delay) as next_retry_at from (
-      select user_id, count(*) as attempt, max(ts) as last_failure, cast(least(3600, 5 * power(2, count(*))) as bigint) as delay from events where event_type = 'error'
-      and user_id not in (select user_id from events where event_type = 'purchase' and value > 90) group by 1)
-    where attempt <= 12 and last_failure + to_seconds(delay) <= timestamp '2024-01-30'""")
+@q("j11_due_retries", """with done as (select user_id, max(ts) as done from events where event_type = 'purchase' and value > 90 group by 1),
+    f as (select user_id, count(*) as attempt, max(ts) as last_failure from events left join done using (user_id) where event_type = 'error' and (done is null or ts > done) group by 1),
+    d as (select *, ((attempt - 1) % 5 + 1)::bigint as round, case when (attempt - 1) % 5 + 1 = 5 then 1800 else cast(least(3600, 5 * power(2, (attempt - 1) % 5 + 1)) as bigint) end as delay from f)
+    select user_id, attempt, last_failure, round, delay::bigint as delay, last_failure + to_seconds(delay) as next_retry_at from d where last_failure + to_seconds(delay) <= timestamp '2024-01-30'""")
 def _(t):
     done = t.events.where("event_type = 'purchase' and value > 90")
-    return jobs.due_retries(t.events.where("event_type = 'error'"), done, key="user_id", time="ts", now=F.lit("2024-01-30").cast("timestamp_ntz"), rounds=12, ceiling=3600)
+    return jobs.due_retries(t.events.where("event_type = 'error'"), done, key="user_id", time="ts", now=F.lit("2024-01-30").cast("timestamp_ntz"), ceiling=3600)
 
 
 def retry_stream_jobs(events: DataFrame) -> DataFrame:

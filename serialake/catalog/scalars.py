@@ -14,8 +14,8 @@ q = catalog.query
 
 # --- SQL snippets shared by the twins -------------------------------------------------------
 FOLD = "replace(replace(strip_accents({0}), 'đ', 'd'), 'Đ', 'D')"
-ASCII = r"regexp_replace(replace(replace(" + FOLD + r", 'ß', 'ss'), chr(160), ' '), '[^\x00-\x7F]', '', 'g')"
-SLUG = (r"regexp_replace(regexp_replace(regexp_replace(lower(" + ASCII + r"), '[^\w\s-]', '', 'g'), "
+ASCII = r"regexp_replace(replace(replace(" + FOLD + r", 'ß', 'ss'), chr(160), ' '), '[^\x00-\x7F\pL\pN]', '', 'g')"
+SLUG = (r"regexp_replace(regexp_replace(regexp_replace(lower(" + ASCII + r"), '[^\pL\pN_\s-]', '', 'g'), "
         r"'\s+', '-', 'g'), '^[-_]+|[-_]+$', '', 'g')")
 TITLE_TAG = r"regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"
 UNESCAPE = ("replace(replace(replace(replace(replace(replace(replace(replace({0}, '&nbsp;', chr(160)), '&lt;', '<'), "
@@ -30,12 +30,12 @@ TITLES_SQL = f"""(select doc_id, case lang
     when 'de' then 'Chương ' || doc_id || ' - ' || {FIRST_LINE}
     else {FIRST_LINE} end as title from documents)"""
 PART_NUMBER = (
-    r"coalesce(try_cast(nullif(regexp_extract(" + FOLD + r", '(?i)(?:chuong|chapter|chap|ch)\s*[:\-]?\s*([0-9]{{1,5}})', 1), '') as bigint), "
-    r"try_cast(nullif(regexp_extract(" + FOLD + r", '^\s*([0-9]{{1,5}})[.\-\s]', 1), '') as bigint))")
+    r"coalesce(try_cast(nullif(regexp_extract(" + FOLD + r", '(?i)(?:chuong|chapter|chap|ch)\s*[:\-]?\s*([0-9]+)', 1), '') as bigint), "
+    r"try_cast(nullif(regexp_extract(" + FOLD + r", '^\s*([0-9]+)[.\-\s]', 1), '') as bigint))")
 STRIP_PREFIX = (
     r"trim(substr({0}, length(coalesce(nullif(regexp_extract(" + FOLD + r", '(?i)^(?:chuong|chapter|chap|ch)\s*[0-9]+\s*[:\-.)]?\s*'), ''), "
     r"regexp_extract(" + FOLD + r", '^\s*[0-9]+\s*[:\-.)]?\s*'))) + 1))")
-MATCH_KEY = r"trim(regexp_replace(lower(" + ASCII.format(STRIP_PREFIX) + r"), '[^a-z0-9]+', ' ', 'g'))"
+MATCH_KEY = r"trim(regexp_replace(lower(" + ASCII.format(STRIP_PREFIX) + r"), '[^\pL\pN]+', ' ', 'g'))"
 
 
 def titles(t: Tables) -> DataFrame:
@@ -94,6 +94,17 @@ def _(t):
     return titles(t).select("doc_id", text.match_key("title").alias("key"))
 
 
+OTHER_SCRIPTS = ("aeionst", "αειоν中文")  # titles of other scripts, made from the given ones
+SCRIPT_TITLE = f"translate({FIRST_LINE}, '{OTHER_SCRIPTS[0]}', '{OTHER_SCRIPTS[1]}')"
+
+
+@q("c8_titles_of_other_scripts", f"""select doc_id, {SLUG.format('title')} as slug, {MATCH_KEY.format('title')} as key,
+    printf('%04d', doc_id) || '_' || coalesce(nullif({SLUG.format('title')}, ''), 'untitled') || '.txt' as file from (select doc_id, {SCRIPT_TITLE} as title from documents)""")
+def _(t):
+    title = F.translate(F.substring_index("text", "\n", 1), *OTHER_SCRIPTS)
+    return t.documents.select("doc_id", text.slug(title).alias("slug"), text.match_key(title).alias("key"), text.part_file_name(title, F.col("doc_id")).alias("file"))
+
+
 @q("c9_part_sort_key", f"""select page_id, coalesce(try_cast(nullif(regexp_extract(link, '(?i)(?:chuong|chapter)[^0-9]*([0-9]+)', 1), '') as bigint),
         try_cast(nullif(regexp_extract(title, '(?i)(?:ch(?:u|ư)ơng|chapter)\\s*([0-9]+)', 1), '') as bigint), 0) as number, link as url
     from (select page_id, {PAGE_TITLE} as title, replace(url, '/en/', '/chapter-') as link from pages)""")

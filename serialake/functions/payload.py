@@ -24,18 +24,30 @@ PAYLOAD_PATTERNS = [
 PAYLOAD_FALLBACK = r"""(?s)(["'`])([A-Za-z0-9+/=\s]{80,})\1"""
 
 
+# A page body larger than this is no page: the row fails loudly instead of filling the worker's memory.
+MOST_INFLATED = 256 << 20
+
+
 def _inflate(literal: str | None) -> str | None:
-    if not literal:
-        return None
+    """Text of a base64 literal of zlib or raw deflate data, None where it is neither.
+
+    The container shows in the first two bytes: a zlib header is a multiple of 31 with method 8, anything else is raw deflate. Data that
+    only looks like zlib gets a second try as raw deflate.
+    """
     try:
-        data = base64.b64decode(re.sub(r"\s+", "", literal))
+        packed = base64.b64decode("".join((literal or "").split()))
     except (binascii.Error, ValueError):
         return None
-    for wbits in (zlib.MAX_WBITS, -zlib.MAX_WBITS):
+    headed = len(packed) > 1 and packed[0] & 15 == 8 and int.from_bytes(packed[:2], "big") % 31 == 0
+    for window in ([15, -15] if headed else [-15]):
+        stream = zlib.decompressobj(window)
         try:
-            return zlib.decompress(data, wbits).decode("utf-8", errors="ignore") or None
+            plain = stream.decompress(packed, MOST_INFLATED)
         except zlib.error:
             continue
+        if stream.unconsumed_tail:
+            raise ValueError(f"payload inflates to more than {MOST_INFLATED} bytes")
+        return plain.decode("utf-8", errors="ignore") or None if stream.eof else None
     return None
 
 

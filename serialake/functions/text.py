@@ -64,7 +64,7 @@ def fold_accents(col: Col) -> Column:
 
 
 def to_ascii(col: Col) -> Column:
-    """Latin-script transliteration; characters without a mapping vanish."""
+    """Latin-script transliteration; letters and digits of other scripts stay, other characters without a mapping vanish."""
     one_to_one = {k: v for k, v in fixed.PLAIN_PUNCTUATION.items() if len(v) == 1}
     many = fixed.DIGRAPH_LETTERS | {k: v for k, v in fixed.PLAIN_PUNCTUATION.items() if len(v) > 1}
     col = _c(col)
@@ -72,13 +72,13 @@ def to_ascii(col: Col) -> Column:
     out = _translate(col, table)
     for char, plain in many.items():
         out = F.replace(out, F.lit(char), F.lit(plain))
-    out = F.regexp_replace(out, r"[^\x00-\x7F]+", "")
+    out = F.regexp_replace(out, r"[^\x00-\x7F\p{L}\p{N}]+", "")
     return F.when(F.octet_length(col) == F.length(col), col).otherwise(out)
 
 
 def slug(col: Col) -> Column:
-    """C4: ASCII, lower case, punctuation removed, white space to ``-``, ends stripped of ``-_``."""
-    kept = F.regexp_replace(F.lower(to_ascii(col)), r"[^\w\s-]", "")
+    """C4: Latin letters as ASCII, lower case, punctuation removed, white space to ``-``, ends stripped of ``-_``."""
+    kept = F.regexp_replace(F.lower(to_ascii(col)), r"[^\p{L}\p{N}_\s-]", "")
     dashed = F.regexp_replace(kept, r"\s+", "-")
     return F.coalesce(F.regexp_replace(dashed, r"^[-_]+|[-_]+$", ""), F.lit(""))
 
@@ -92,11 +92,11 @@ def _int_group(col: Column, pattern: str, group: int = 1) -> Column:
 
 
 def part_number(col: Col) -> Column:
-    """Number after a part word anywhere in the title, else a leading number; else null."""
+    """Number after a part word anywhere in the title, else a leading number; null if there is none or it exceeds a bigint."""
     folded = fold_accents(col)
     return F.coalesce(
-        _int_group(folded, rf"(?i){_PART_WORD}(?U)\s*(?-U)[:\-]?(?U)\s*(?-U)([0-9]{{1,5}})"),
-        _int_group(folded, r"^(?U)\s*(?-U)([0-9]{1,5})[.\-\s ]"),
+        _int_group(folded, rf"(?i){_PART_WORD}(?U)\s*(?-U)[:\-]?(?U)\s*(?-U)([0-9]+)"),
+        _int_group(folded, r"^(?U)\s*(?-U)([0-9]+)[.\-\s ]"),
     )
 
 
@@ -117,9 +117,9 @@ def part_file_name(title: Col, number: Col) -> Column:
 
 
 def match_key(col: Col) -> Column:
-    """Title without number prefix, ASCII, lower case, other characters collapsed to spaces."""
+    """Title without number prefix, Latin letters as ASCII, lower case, all but letters and digits collapsed to spaces."""
     plain = F.lower(to_ascii(strip_part_number(col)))
-    return F.trim(F.regexp_replace(plain, r"[^a-z0-9]+", " "))
+    return F.trim(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " "))
 
 
 def part_sort_key(url: Col, title: Col) -> Column:

@@ -53,12 +53,11 @@ def until_saturated(items: DataFrame, *, group: str, page: str, pos: str, url: s
 
 
 def pages_walked(items: DataFrame, *, group: str, page: str, pos: str, url: str, announced: DataFrame | None = None,
-                 total: str = "total_pages", max_pages: int | None = None, ceiling: int = 50) -> DataFrame:
+                 total: str = "total_pages", max_pages: int | None = None) -> DataFrame:
     """Per group the useful pages, the pages read and the total to report.
 
-    The page that stops the walk is read as well, unless the window ends first. The window is
-    ``max_pages`` if given, else the announced total or ``ceiling``, whichever is larger (a window
-    that grows in steps reaches the same end).
+    The page that stops the walk is read as well, unless ``max_pages``, where given, ends the walk first. The
+    useful pages are those that ``until_saturated`` returns under the same limit.
     """
     _, last = _fresh_walk(items, group, page, pos, url)
     if announced is not None:
@@ -66,9 +65,9 @@ def pages_walked(items: DataFrame, *, group: str, page: str, pos: str, url: str,
     else:
         last = last.withColumn("__total", F.lit(0).cast("bigint"))
     announced_total = F.coalesce("__total", F.lit(0).cast("bigint"))
-    window = F.lit(max_pages) if max_pages is not None else F.greatest(announced_total, F.lit(ceiling).cast("bigint"))
-    useful = F.least("__last", window.cast("bigint"))
-    return last.select(group, useful.alias("useful_pages"), F.least(F.col("__last") + 1, window.cast("bigint")).alias("pages_read"),
+    window = F.lit(max_pages).cast("bigint")  # least() ignores a null window
+    useful = F.least("__last", window)
+    return last.select(group, useful.alias("useful_pages"), F.least(F.col("__last") + 1, window).alias("pages_read"),
                        F.greatest(announced_total, useful).alias("total_pages"))
 
 
@@ -107,11 +106,11 @@ def fixed_batches(df: DataFrame, *, size: int, order: Sequence[str], key: Sequen
     return placed.select(*df.columns, (F.floor(F.col("__p") / size) + 1).cast("bigint").alias(name))
 
 
-def request_ranges(df: DataFrame, *, total: str, size: int = 100, limit: int = 50) -> DataFrame:
-    """Consecutive (from, to) ranges of ``size``, at most ``limit``, clipped to ``total`` (unknown total: all of them)."""
-    last = F.when(F.coalesce(total, F.lit(0)) > 0, F.least(F.col(total), F.lit(size * limit))).otherwise(F.lit(size * limit)).cast("bigint")
-    out = df.withColumn("from", F.explode(F.sequence(F.lit(1).cast("bigint"), last, F.lit(size).cast("bigint"))))
-    return out.withColumn("to", F.least(F.col("from") + (size - 1), last))
+def request_ranges(df: DataFrame, *, total: str, size: int = 100) -> DataFrame:
+    """Consecutive (from, to) ranges of ``size`` up to ``total``; a row without a positive total stays, with null bounds."""
+    last = F.when(F.col(total) > 0, F.col(total).cast("bigint"))
+    out = df.withColumn("from", F.explode_outer(F.sequence(F.lit(1).cast("bigint"), last, F.lit(size).cast("bigint"))))
+    return out.withColumn("to", F.when(F.col("from").isNotNull(), F.least(F.col("from") + (size - 1), last)))
 
 
 def longest(df: DataFrame, *, size: str, tie: Sequence[str], n: int = 10) -> DataFrame:

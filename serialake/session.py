@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+
 from pyspark.sql import SparkSession
 
 # Settings that matter at any scale. Partition counts are left to the cluster: AQE coalesces
@@ -31,6 +34,8 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
         # Small local data: keep the cores busy instead of merging everything into one partition.
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     )
+    # A local session has one machine; a cluster names a folder that every executor reaches.
+    builder = builder.config("spark.checkpoint.dir", os.environ.get("SPARK_CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="serialake-checkpoint-"))
     for key, value in COMMON.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()

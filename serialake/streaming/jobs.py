@@ -12,6 +12,7 @@ from serialake import fixed, schemas
 from serialake.functions import lines, markup, text
 from serialake.operators import filters, merging
 from serialake.operators.ordering import keep_first
+from serialake.streaming import stateful
 
 
 def parse_jobs(messages: DataFrame, *, value: str = "value") -> DataFrame:
@@ -61,9 +62,12 @@ def repair_requests(warnings: DataFrame, works: DataFrame, *, title: str = "stor
     return matched.withColumn("rejected", reason)
 
 
-def suppress_repeats(rows: DataFrame, *, key: str, time: str, ttl: str = "300 seconds") -> DataFrame:
-    """A repeat of the key within the time to live is dropped (streams; state expires with the watermark)."""
-    return rows.withWatermark(time, ttl).dropDuplicatesWithinWatermark([key])
+def suppress_repeats(rows: DataFrame, *, key: str, time: str, seconds: float = 300) -> DataFrame:
+    """A repeat of the key less than ``seconds`` after the last row that passed is dropped; later ones pass again (streams).
+
+    The state of a key is one timestamp, so the result does not depend on how the stream is cut into batches.
+    """
+    return stateful.debounce(rows, key=key, time=time, seconds=seconds)
 
 
 def notify_once(rows: DataFrame, *, title: str) -> DataFrame:
@@ -71,13 +75,19 @@ def notify_once(rows: DataFrame, *, title: str) -> DataFrame:
     return rows.where(F.coalesce(F.col(title).cast("string"), F.lit("")) != "").dropDuplicates([title])
 
 
-def due_retries(failures: DataFrame, succeeded: DataFrame, *, key: str, time: str, now: Column, rounds: int = 5, base: int = 5, ceiling: int = 60) -> DataFrame:
-    """Keys still failed whose next attempt is due: attempt number, delay and time of the next try."""
-    open_keys = failures.groupBy(key).agg(F.count("*").alias("attempt"), F.max(time).alias("last_failure")) \
-                        .join(succeeded.select(key), key, "left_anti")
-    delay = text.backoff_seconds("attempt", base, ceiling)
-    planned = open_keys.withColumn("delay", delay).withColumn("next_retry_at", F.col("last_failure") + F.make_dt_interval(secs=delay))
-    return planned.where((F.col("next_retry_at") <= now) & (F.col("attempt") <= rounds))
+def due_retries(failures: DataFrame, succeeded: DataFrame, *, key: str, time: str, now: Column, rounds: int = 5, base: int = 5, ceiling: int = 60,
+                sleep: int = 1800) -> DataFrame:
+    """Keys that failed since their last success and whose next attempt is due: attempt number, round, delay, time of the next try.
+
+    No key is given up: after every ``rounds`` attempts the delay is the long ``sleep`` and the rounds begin again.
+    """
+    done = succeeded.groupBy(F.col(key).alias("__key")).agg(F.max(time).alias("__done"))
+    since = failures.join(done, F.col(key) == F.col("__key"), "left").where(F.col("__done").isNull() | (F.col(time) > F.col("__done")))
+    open_keys = since.groupBy(key).agg(F.count("*").alias("attempt"), F.max(time).alias("last_failure"))
+    step = F.pmod(F.col("attempt") - 1, F.lit(rounds)) + 1
+    delay = F.when(step == rounds, F.lit(sleep).cast("bigint")).otherwise(text.backoff_seconds(step, base, ceiling))
+    planned = open_keys.withColumn("round", step.cast("bigint")).withColumn("delay", delay)
+    return planned.withColumn("next_retry_at", F.col("last_failure") + F.make_dt_interval(secs=F.col("delay"))).where(F.col("next_retry_at") <= now)
 
 
 def retry_results(jobs: DataFrame, pages: DataFrame, *, category: Column | None = None) -> DataFrame:

@@ -59,7 +59,7 @@ def test_paging_stops_when_nothing_new(spark):
     assert [r["url"] for r in ordering.until_saturated(repeat, **walk).collect()] == ["a"]
     assert [tuple(r) for r in ordering.pages_walked(repeat, **walk).collect()] == [("g", 1, 2, 1)]
     long = paged(spark, [("g", p, 0, f"u{p}") for p in range(1, 61)])
-    assert [tuple(r) for r in ordering.pages_walked(long, **walk).collect()] == [("g", 50, 50, 50)]
+    assert [tuple(r) for r in ordering.pages_walked(long, **walk).collect()] == [("g", 60, 61, 60)]
     total = spark.createDataFrame([("g", 80)], "g string, total_pages int")
     assert [tuple(r) for r in ordering.pages_walked(long, announced=total, **walk).collect()] == [("g", 60, 61, 80)]
 
@@ -85,7 +85,9 @@ def test_request_ranges(spark):
     df = spark.createDataFrame([(280,), (0,)], "total int")
     rows = ordering.request_ranges(df, total="total").collect()
     assert [(r["from"], r["to"]) for r in rows if r["total"] == 280] == [(1, 100), (101, 200), (201, 280)]
-    assert len([r for r in rows if r["total"] == 0]) == 50
+    assert [(r["from"], r["to"]) for r in rows if r["total"] == 0] == [(None, None)]
+    many = ordering.request_ranges(spark.createDataFrame([(12_000,)], "total int"), total="total").collect()
+    assert len(many) == 120 and (many[-1]["from"], many[-1]["to"]) == (11_901, 12_000)
 
 
 def test_keep_largest_renames(spark):

@@ -170,3 +170,10 @@ def test_rule_split():
     regexes, literals = lines.split_rules(["^a", "B c", "x.y"])
     assert (regexes, literals) == (["^a", "x.y"], ["b c"])
     assert len(fixed.JOB_REQUIRED_FIELDS) == 8
+
+
+def test_titles_of_other_scripts_stay(spark):
+    titles = ["Chapter 1: 第一章", "Глава Первая", "Élan ΩΜΕΓΑ 2!"]
+    assert values(spark, titles, text.match_key("v")) == ["第一章", "глава первая", "elan ωμεγα 2"]
+    assert values(spark, titles[1:], text.slug("v")) == ["глава-первая", "elan-ωμεγα-2"]
+    assert values(spark, ["Chapter 123456: x", "Chapter 99999999999999999999"], text.part_number("v")) == [123456, None]

@@ -116,6 +116,22 @@ def test_repeats_within_ttl(spark, tmp_path):
     assert sorted(r["k"] for r in got) == ["k", "z"]
 
 
+def test_repeats_pass_again_after_ttl(spark, tmp_path):
+    rows = [("k", at(0)), ("k", at(200)), ("k", at(1000)), ("k", at(1200)), ("k", at(5000))]
+    for n, batches in enumerate(([rows], [rows[:1], rows[1:4], rows[4:]])):
+        source = stream(spark, tmp_path / f"s{n}", batches, "k string, ts timestamp")
+        got = runs.run_available(jobs.suppress_repeats(source, key="k", time="ts", seconds=300), name="t").collect()
+        assert sorted(r["ts"] for r in got) == [at(0), at(1000), at(5000)]
+
+
+def test_retries_never_give_up(spark):
+    rows = [("often", at(i)) for i in range(20)] + [("again", at(0)), ("again", at(9000)), ("fixed", at(0))]
+    failures = spark.createDataFrame(rows, "k string, ts timestamp")
+    done = spark.createDataFrame([("again", at(10)), ("fixed", at(10))], "k string, ts timestamp")
+    due = jobs.due_retries(failures, done, key="k", time="ts", now=F.lit(at(90_000)).cast("timestamp")).collect()
+    assert {r["k"]: (r["attempt"], r["round"], r["delay"]) for r in due} == {"often": (20, 5, 1800), "again": (1, 1, 10)}
+
+
 def test_retry_sink_is_idempotent(spark, tmp_path):
     store, labels = str(tmp_path / "store"), str(tmp_path / "labels")
     write = jobs.retry_sink(store, labels)
