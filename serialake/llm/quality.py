@@ -57,7 +57,7 @@ def _offsets(starts: np.ndarray, total: int) -> np.ndarray:
 def gram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
     """(gram, n) of all character grams of one order; ``texts`` has one column, text."""
     def count(batches):
-        for batch in slices(batches, "text", 4_000_000):
+        for batch in slices(batches, "text", 1_500_000):
             codes, starts = _codes(batch.column(0).to_pylist())
             ends = np.flatnonzero(_offsets(starts, len(codes)) >= order - 1)
             _, first, n = np.unique(_keys(codes, order)[ends], return_index=True, return_counts=True)
@@ -222,7 +222,7 @@ def perplexities(df: DataFrame, models: list[Model], *, id_column: str = "doc_id
         sent = df.sparkSession.sparkContext.broadcast(model)
 
         def score(batches, sent=sent):
-            for batch in slices(batches, "text", 4_000_000):
+            for batch in slices(batches, "text", 1_500_000):
                 logs, chars = sent.value.log_sums(batch.column(batch.num_columns - 1).to_pylist())
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(logs), pa.array(chars, pa.int64())], names)
 
