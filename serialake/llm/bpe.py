@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 
 from serialake.llm.common import col, slices
 
-REMEMBERED = 300_000  # words a task keeps between slices; then it starts anew
+REMEMBERED = 120_000  # words a task keeps between slices; then it starts anew
+SLICE = 2_000_000     # bytes of text encoded at once
 _NONE = -1
 
 
@@ -152,6 +153,7 @@ class Encoder:
 
     def _forget(self) -> None:
         self.words, self.length, self.start, self.ids = _Words(), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.merges.pairs.clear()
 
     @staticmethod
     def _gather(values: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -189,7 +191,7 @@ def encode_texts(df: DataFrame, *, ranks_path: str, pattern: str, id_column: str
 
     def run(batches):
         encoder = Encoder(*sent.value)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             ids = encoder.encode(batch.column(1).to_pylist())
             names, made = ["doc_id", "n_tokens"], [batch.column(0), pa.array([len(i) for i in ids], pa.int64())]
             if with_ids:
