@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from serialake.llm.common import checkpointed, col, others, word_count
+from serialake.llm.common import checkpointed, col, others, small_side, word_count
 
 ROWS_PER_CELL = 4096
 MOST_SOURCES = 1_000_000  # plan rows on the driver; more raise an error, none are dropped
@@ -68,7 +68,7 @@ def _cuts(rows: DataFrame, weights: Sequence[float], most: float) -> DataFrame:
         plan.append((r["m_source"], words, target, epochs, budget, 64 - bits))
     planned = spark.createDataFrame(plan, _PLAN)
     same = F.col("m_source").eqNullSafe(F.col("p_source"))
-    celled = (rows.join(planned.select(F.col("m_source").alias("p_source"), "m_budget", "m_shift"), same)
+    celled = (rows.join(small_side(planned.select(F.col("m_source").alias("p_source"), "m_budget", "m_shift")), same)
               .select("m_source", "m_budget", "m_size", "m_key", F.expr("shiftright(m_key, m_shift)").alias("m_cell")))
     sums = celled.groupBy("m_source", "m_budget", "m_cell").agg(F.sum("m_size").alias("words"))
     upto = F.sum("words").over(W.partitionBy("m_source").orderBy("m_cell").rowsBetween(W.unboundedPreceding, 0))
@@ -105,7 +105,7 @@ def mix_sources(df: DataFrame, *, id_column: str = "doc_id", text_column: str =
 
 def _applied(df: DataFrame, keyed: DataFrame, cuts: DataFrame, new: Sequence[str]) -> DataFrame:
     renamed = cuts.select(F.col("m_source").alias("c_source"), "source_size", "target", "m_epochs", F.col("m_key").alias("c_key"), "m_words")
-    joined = keyed.join(renamed, F.col("m_source").eqNullSafe(F.col("c_source")), "left")
+    joined = keyed.join(small_side(renamed), F.col("m_source").eqNullSafe(F.col("c_source")), "left")
     before, here = F.coalesce(F.col("m_key") < F.col("c_key"), F.lit(False)), F.coalesce(F.col("m_key") == F.col("c_key"), F.lit(False))
     epochs = F.col("m_epochs") + before.cast("int")
     words = F.when(here, F.least("m_words", "m_size")).otherwise(F.lit(0)).cast("bigint")
