@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 
 from serialake.llm.common import col, slices
 
-REMEMBERED = 120_000  # words a task keeps between slices; then it starts anew
-SLICE = 2_000_000     # bytes of text encoded at once
+REMEMBERED = 200_000  # words a task keeps between slices; then it starts anew
+SLICE = 3_000_000     # bytes of text encoded at once
 _NONE = -1
 
 
