@@ -26,7 +26,7 @@ from serialake.llm.common import checkpointed, col, others, slices, small_side
 ORDER = 4
 SHARD = 2_000_000
 QUANTILE = 0.99
-MARGIN = 1.25     # a threshold stands this factor above the quantile
+MARGIN = 1.4      # a threshold stands this factor above the quantile
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
