@@ -14,7 +14,7 @@ A document stays if its perplexity is at most its language's threshold: a quanti
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -184,11 +184,40 @@ class Model:
         return np.add.reduceat(out, starts) if len(starts) else np.zeros(0), lengths
 
 
-def load(model: DataFrame, order: int = ORDER, shard_size: int = SHARD) -> list[Model]:
-    """The model in shards; lower orders (a small part of it) are in each."""
-    def log(values) -> np.ndarray:
-        return np.log(np.maximum(np.asarray(values, np.float64), 1e-300)).astype(np.float32)
+def _log(values) -> np.ndarray:
+    return np.log(np.maximum(np.asarray(values, np.float64), 1e-300)).astype(np.float32)
+
+
+class Shards:
+    """A model's shards, one at a time: the driver never holds more than the lower orders and the shard it sends."""
+
+    def __init__(self, top: DataFrame, low: dict[int, tuple[Table, Table]], order: int, unseen: float, count: int):
+        self.top, self.low, self.order, self.unseen, self.count = top, low, order, unseen, count
+
+    def __len__(self) -> int:
+        return self.count
+
+    def __iter__(self) -> Iterator[Model]:
+        for shard in range(self.count):
+            found = self._grams(shard).toArrow()
+            keys = _gram_keys(found.column("gram").to_pylist(), self.order)
+            yield Model(self.low, Table(keys, _log(found.column("p"))), self.order, self.unseen, shard, self.count)
+
+    def _grams(self, shard: int) -> DataFrame:
+        order, count = self.order, self.count
+        if count == 1:
+            return self.top
 
+        def own(batches):
+            for batch in batches:
+                keys = _gram_keys(batch.column(0).to_pylist(), order)
+                yield batch.filter(pa.array(keys % np.uint64(count) == shard))
+
+        return self.top.mapInArrow(own, "gram string, p double")
+
+
+def load(model: DataFrame, order: int = ORDER, shard_size: int = SHARD) -> Shards:
+    """The model in shards; lower orders (a small part of it) are in each."""
     rows = model.withColumn("size", F.length("gram"))
     low, unseen = {}, 0.0
     for size in range(order - 1, -1, -1):
@@ -197,21 +226,14 @@ def load(model: DataFrame, order: int = ORDER, shard_size: int = SHARD) -> list[
         keys, gamma, p = _gram_keys(grams, size), part.column("gamma").combine_chunks(), part.column("p").combine_chunks()
         context, seen = np.asarray(gamma.is_valid()), np.asarray(p.is_valid())
         if size:
-            low[size] = (Table(keys[seen], log(p.fill_null(1.0))[seen]), Table(keys[context], log(gamma.fill_null(1.0))[context]))
+            low[size] = (Table(keys[seen], _log(p.fill_null(1.0))[seen]), Table(keys[context], _log(gamma.fill_null(1.0))[context]))
         else:
-            unseen = float(log(p)[0] + log(gamma.fill_null(1.0))[0])
-    top = rows.where(F.col("size") == order)
-    shards = max(1, -(-top.count() // shard_size))
-    out = []
-    for shard in range(shards):
-        found = top.select("gram", "p").toArrow()
-        keys, values = _gram_keys(found.column("gram").to_pylist(), order), log(found.column("p"))
-        own = keys % np.uint64(shards) == shard
-        out.append(Model(low, Table(keys[own], values[own]), order, unseen, shard, shards))
-    return out
-
-
-def perplexities(df: DataFrame, models: list[Model], *, id_column: str = "doc_id", text_column: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+            unseen = float(_log(p)[0] + _log(gamma.fill_null(1.0))[0])
+    top = rows.where(F.col("size") == order).select("gram", "p")
+    return Shards(top, low, order, unseen, max(1, -(-top.count() // shard_size)))
+
+
+def perplexities(df: DataFrame, models: Shards, *, id_column: str = "doc_id", text_column: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text_hash, the columns ``keep``, and perplexity of every whole text (null texts score as empty)."""
     text = col(text_column).cast("string")
     narrow = df.select(col(id_column).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_hash"), *[col(c) for c in keep], text.alias("text"))
