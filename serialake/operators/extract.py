@@ -29,7 +29,7 @@ def link_inventory(pages: DataFrame, rules: Sequence[Rule], *, page_id: str = "p
                          nodes.find_elements(F.col(html), rules).alias("found"))
     named = F.filter("found", lambda e: (text.genre_name(e["text"]) != "") & (F.coalesce(e["href"], F.lit("")) != ""))
     rows = found.select(page_id, "__base", nodes.best_rank(named).alias("won")) \
-                .select(page_id, "__base", F.posexplode("won").alias("pos", "e"))
+                .select(page_id, "__base", F.posexplode_outer("won").alias("pos", "e")).where("e is not null")
     links = rows.select(page_id, "pos", text.genre_name("e.text").alias("name"), urls.absolute_url("__base", "e.href").alias("url"))
     unique = keep_first(links.withColumn("__key", F.lower("url")), key=[page_id, "__key"], order=["pos"])
     return unique.drop("__key")
@@ -148,7 +148,7 @@ def part_list(pages: DataFrame, rules: Sequence[Rule], *, page_id: str = "page_i
         numbers = F.filter(F.transform("items", lambda p: text.label_number(p["title"])), lambda n: n.isNotNull())
         backwards = (F.size(numbers) < 2) | (F.try_element_at(numbers, F.lit(1)) > F.try_element_at(numbers, F.lit(-1)))
         items = items.withColumn("items", F.when(backwards, F.reverse("items")).otherwise(F.col("items")))
-    rows = items.select(page_id, F.posexplode("items").alias("pos", "p")).select(page_id, "pos", "p.title", "p.url")
+    rows = items.select(page_id, F.posexplode_outer("items").alias("pos", "p")).where("p is not null").select(page_id, "pos", "p.title", "p.url")
     return keep_first(rows, key=[page_id, "url"], order=["pos"])
 
 
@@ -221,12 +221,12 @@ def next_page_url(url: Column, pattern: Column, next_href: Column, page: int = 2
 
 
 def latest_parts(pages: DataFrame, rules: Sequence[Rule], *, phrase: str, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Part links of the first section whose heading contains ``phrase`` and that has any."""
-    found = pages.select(page_id, F.col(url).alias("__base"), F.explode(nodes.find_elements(F.col(html), rules)).alias("e")) \
-                 .select(page_id, "__base", "e.*")
-    sections = found.groupBy(page_id, "scope").agg(
-        F.bool_or((F.col("field") == "heading") & (F.col("nth") == 0) & F.lower(_inline(F.col("text"))).contains(phrase.lower())).alias("wanted"),
-        F.count_if(F.col("field") == "part").alias("parts"))
-    chosen = sections.where("wanted and parts > 0").groupBy(page_id).agg(F.min("scope").alias("scope"))
-    rows = found.where("field = 'part' and href <> '' and text <> ''").join(chosen, [page_id, "scope"], "left_semi")
-    return rows.select(page_id, "pos", _inline(F.col("text")).alias("title"), urls.absolute_url("__base", "href").alias("url"))
+    """Part links of the first section whose heading contains ``phrase`` and that has any, chosen inside the page's own array."""
+    found = pages.select(page_id, F.col(url).alias("__base"), nodes.find_elements(F.col(html), rules).alias("found"))
+    headed = F.filter("found", lambda e: (e["field"] == "heading") & (e["nth"] == 0) & F.lower(_inline(e["text"])).contains(phrase.lower()))
+    filled = F.filter("found", lambda e: e["field"] == "part")
+    scope = lambda e: e["scope"]
+    chosen = found.withColumn("first", F.array_min(F.array_intersect(F.transform(headed, scope), F.transform(filled, scope))))
+    parts = F.filter("found", lambda e: (e["field"] == "part") & (e["scope"] == F.col("first")) & (e["href"] != "") & (e["text"] != ""))
+    rows = chosen.select(page_id, "__base", F.explode_outer(parts).alias("e")).where("e is not null")
+    return rows.select(page_id, "e.pos", _inline(F.col("e.text")).alias("title"), urls.absolute_url("__base", "e.href").alias("url"))
