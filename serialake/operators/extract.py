@@ -63,18 +63,20 @@ def listing_link(pages: DataFrame, *, required: Sequence[str], weights: Sequence
 
 
 def listing_rows(pages: DataFrame, rules: Sequence[Rule], *, page_id: str = "page_id", url: str = "url", html: str = "html",
-                 part_token: str = "/chuong-") -> DataFrame:
+                 part_token: str = "/chuong-", attribute_first: bool = False) -> DataFrame:
     """Works listed on a page: title link, latest part, author; one row per work url, in page order.
 
     Per container and alternative only the first element counts; the title is the first that is not
     a part link, the latest part the first that is. The first container alternative with rows wins.
+    A title is the link's text, or its title attribute where the text is empty; with ``attribute_first`` (layouts that cut the
+    text short) the attribute wins.
     """
     found = pages.select(page_id, F.col(url).alias("__base"), F.explode(nodes.find_elements(F.col(html), rules)).alias("e"))
     first = found.where("e.nth = 0").select(page_id, "__base", "e.*")
     is_part = F.lower(F.coalesce("href", F.lit(""))).contains(part_token)
     kind = F.col("field")
-    # A title attribute, where present, is only used by layouts that leave the link text empty.
-    label = F.coalesce(F.nullif(_inline(F.col("text")), F.lit("")), _inline(F.col("title")))
+    names = [F.nullif(_inline(F.col(c)), F.lit("")) for c in (("title", "text") if attribute_first else ("text", "title"))]
+    label = F.coalesce(*names, F.lit(""))
     item = F.struct("rank", "pos", label.alias("text"), "href")
     works = first.groupBy(page_id, "__base", "container_rank", "scope").agg(
         F.min(F.when((kind == "title") & ~is_part, item)).alias("t"),

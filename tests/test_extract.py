@@ -46,6 +46,13 @@ def test_listing_falls_back_to_any_work_link(spark):
     assert [(r["title"], r["url"]) for r in rows] == [("Work a", "https://h.example/doc-truyen/a")]
 
 
+
+def test_listing_title_attribute_of_cut_texts(spark):
+    html = "<div class='popular-item-wrap'><h5 class='widget-title'><a href='/a' title='Full long name'>Full lo...</a></h5></div>"
+    titles = [extract.listing_rows(pages(spark, html), rules.READER_LISTING, attribute_first=first).first()["title"] for first in (True, False)]
+    assert titles == ["Full long name", "Full lo..."]
+
+
 def test_part_list_with_unquoted_links(spark):
     html = "".join(f"<li class='wp-manga-chapter '>\n<a href=https://h.example/t/chuong-{n}/>Chương {n} &nbsp;Tên</a>\n</li>" for n in (1, 2, 3))
     rows = extract.part_list(pages(spark, html), rules.READER_PARTS, detect_newest_first=True).orderBy("pos").collect()
