@@ -58,11 +58,18 @@ def _(t):
     return extract.listing_rows(t.pages, found).select("page_id", "title", "url", "latest_part", "author")
 
 
-@q("b4_page_count", r"""select lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) as host,
-    max(greatest(1, coalesce(try_cast(nullif(regexp_extract(url, 'page=([0-9]+)', 1), '') as bigint), 1))) as page_count from pages group by 1""")
-def _(t):
-    links = F.concat(F.lit("<a href='"), "url", F.lit("'>next</a><a data-page=1>1</a>"))
-    return t.pages.groupBy(urls.host("url").alias("host")).agg(F.max(markup.page_count(links)).alias("page_count"))
+@q("b4_page_count", r"""select page_id, greatest(1, page_id % 11, page_id % 17, page_id % 13,
+    coalesce(list_max(list_transform(regexp_extract_all(html || 'href="' || url, 'href="[^"]*?\bpage=([0-9]+)', 1), lambda x: cast(x as bigint))), 1)) as page_count from pages""")
+def _(t):
+    # Each page gets a select, a pagination list and data-page marks of its own, and larger numbers in places that do not count.
+    def number(base: int, divisor: int):
+        return (F.col("page_id") % divisor + base).cast("string")
+
+    html = F.concat(
+        "html", F.lit('<p><a href="/archive">'), number(2000, 30), F.lit('</a><option value="'), number(3000, 9), F.lit('">x</option><i data-page="'), number(4000, 5), F.lit('x"></i></p>'),
+        F.lit('<select name="p"><option value="'), number(0, 11), F.lit('" selected>x</option></select>'),
+        F.lit('<ul class="list pagination"><li><a class="page-link" href="'), "url", F.lit('"> '), number(0, 17), F.lit(' </a></li></ul><i data-page="'), number(0, 13), F.lit('"></i>'))
+    return t.pages.select("page_id", markup.page_count(html).alias("page_count"))
 
 
 PAGE_DETAIL = [Rule("title", "article h1"), Rule("title", "title", 1), Rule("description", "article p"), Rule("category", "nav li a[href]")]

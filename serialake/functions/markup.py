@@ -112,16 +112,22 @@ def anchors(html: Col) -> Column:
 
 
 def page_count(html: Col) -> Column:
-    """Largest page number announced by links, options, ``data-page``, digit-only anchors or paths."""
+    """Largest page number announced by links and paths, by the options of a ``select``, by ``data-page``, or by
+    digit-only anchors of ``ul.pagination``; at least 1. Numbers elsewhere (a year link, a stray option) do not count.
+    """
     html = F.coalesce(_c(html), F.lit(""))
+    inside = {name: F.array_join(F.regexp_extract_all(html, F.lit(p), F.lit(1)), "\n") for name, p in {
+        "select": r"(?is)<select\b[^>]*>(.*?)(?:</select\s*>|\z)",
+        "pagination": r"""(?is)<ul\b[^>]*(?<![\w-])class\s*=\s*["']?(?:[^"'>]*\s)?pagination(?=[\s"'>])[^>]*>(.*?)(?:</ul\s*>|\z)""",
+    }.items()}
     numbers = [
-        F.regexp_extract_all(html, F.lit(p), F.lit(1))
-        for p in (
-            r"""(?i)href\s*=\s*["']?[^"'>]*?\bpage=([0-9]+)""",
-            r"""(?i)<option\b[^>]*\bvalue\s*=\s*["']?([0-9]+)["'\s>]""",
-            r"""(?i)\bdata-page\s*=\s*["']?([0-9]+)""",
-            r"""(?i)<a\b[^>]*>\s*([0-9]+)\s*</a""",
-            r"""(?i)href\s*=\s*["']?[^"'>]*?/(?:trang-|page/)([0-9]+)""",
+        F.regexp_extract_all(part, F.lit(p), F.lit(group))
+        for part, p, group in (
+            (html, r"""(?i)href\s*=\s*["']?[^"'>]*?\bpage=([0-9]+)""", 1),
+            (html, r"""(?i)href\s*=\s*["']?[^"'>]*?/(?:trang-|page/)([0-9]+)""", 1),
+            (html, r"""(?i)(?<![\w-])data-page\s*=\s*(["']?)([0-9]+)\1(?=[\s/>])""", 2),
+            (inside["select"], r"""(?i)<option\b[^>]*(?<![\w-])value\s*=\s*(["']?)([0-9]+)\1(?=[\s/>])""", 2),
+            (inside["pagination"], r"""(?i)<a\b[^>]*>\s*([0-9]+)\s*</a""", 1),
         )
     ]
     found = F.transform(F.concat(*numbers), lambda s: s.try_cast("bigint"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 SAMPLE_PER_RANGE = 16
+HASH_PLACES = 1 << 40
 MAX_RANGES = 2000  # bounds the driver's sample (32,000 rows) and the size of the expression
 
 
@@ -28,12 +29,16 @@ def range_of(df: DataFrame, order: Sequence[str], ranges: int | None = None) ->
 
     Cut points are the quantiles of the rows with the smallest hashes: a fixed-size, repeatable
     sample (``ranges * 16`` rows on the driver), so the same table is always cut the same way and a
-    hot key is cut inside the key, by the columns that follow it.
+    hot key is cut inside the key, by the columns that follow it. Rows above a hash threshold set by the
+    row count leave first, so all tasks together hand on about twice the sample, however many they are.
     """
     ranges = ranges or min(MAX_RANGES, max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     tuple_ = F.struct(*[F.col(c).alias(f"f{i}") for i, c in enumerate(order)])
-    sampled = (df.select(tuple_.alias("t")).orderBy(F.xxhash64("t")).limit(ranges * SAMPLE_PER_RANGE)
-                 .orderBy("t").select("t.*"))
+    wanted, keys = ranges * SAMPLE_PER_RANGE, df.select(tuple_.alias("t"))
+    share = min(1.0, 2 * wanted / max(1, df.count()))
+    place = F.pmod(F.xxhash64("t"), F.lit(HASH_PLACES))
+    sampled = (keys.where(place < int(share * HASH_PLACES)).orderBy(place, "t").limit(wanted)
+                   .orderBy("t").select("t.*"))
     rows = sampled.collect()
     cuts = [rows[i] for i in range(SAMPLE_PER_RANGE, len(rows), SAMPLE_PER_RANGE)]
     cuts = [c for i, c in enumerate(cuts) if i == 0 or c != cuts[i - 1]]

@@ -155,10 +155,18 @@ def test_rating_and_identifiers(spark):
 
 
 def test_page_count(spark):
-    html = '<a href="?page=3">x</a><option value="5">5</option><li data-page="4"></li><a> 6 </a><a href="/trang-7/">n</a>'
+    html = '<a href="?page=3">x</a><select><option value="5">5</option></select><li data-page="4"></li><a> 6 </a><a href="/trang-7/">n</a>'
     assert values(spark, [html, "", None], markup.page_count("v")) == [7, 1, 1]
 
 
+def test_page_count_ignores_numbers_elsewhere(spark):
+    pages = ['<ul class="pagination"><li><a href="#">2</a></li><li><a href="#">3</a></li></ul><a href="/y">2024</a>',
+             '<option value="9">9</option><select><option value="4 x">4</option><option data-value="8" value=\'2\'>2</option></select>',
+             '<i data-page="12x"></i><i data-page=5></i><i x-data-page="7"></i>',
+             '<ul class="my-pagination"><li><a>6</a></li></ul><UL CLASS="a pagination b"><li><a>2</a>']
+    assert values(spark, pages, markup.page_count("v")) == [3, 2, 5, 2]
+
+
 def test_trim_to_bytes(spark):
     html = "<html><body>" + "é" * 10 + "<svg>x</svg></body></html>"
     got = values(spark, [html], markup.trim_to_bytes("v", 11))
