@@ -9,10 +9,17 @@ The trees are dealt by a shuffle, not broadcast: a broadcast of all trees would
 driver. Copies collapse before the deal (distinct fingerprints), so a hot group of copies is one member. A shard reports
 its links as stars, member to the smallest member it reaches inside the shard, never as pairs. The stars are joined to
 components by label propagation with pointer jumping, cut by checkpoints.
+
+``near_duplicates`` follows another rule: two texts are near copies if their sets of five-word shingles overlap by 0.8 (Jaccard) or more.
+Such texts differ in about 10 of 64 bits, too far for the trees, so candidates come from a SimHash of 512 bits: each of many tables
+deals the texts to buckets by some of the bits, members of a bucket whose first 128 bits are near are candidates, and every candidate
+is checked by its exact overlap before it links anything. Bits of a bucket grow with log2 of the number of texts (chance neighbours
+stay few) and tables grow with them, so that ``RECALL`` of the pairs at 0.8 meet, and more of those above.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import repeat
 
 import numpy as np
@@ -22,27 +29,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from serialake.llm.common import checkpointed, col, others, slices
+from serialake.llm.common import checkpointed, col, others, slices, small_side
 
 RADIUS = 3
 BLOCKS, BLOCK_BITS, PIECES, PIECE_BITS = 4, 16, 4, 12
 SEED = 42
 
+SIMILARITY, WIDTH = 0.8, 5    # the general rule for near copies
+RECALL = 0.99                 # share of pairs at SIMILARITY that meet in a bucket
+LANES = 8                     # 64-bit words of a wide fingerprint
+NEAR = 32                     # of its first 128 bits; pairs at 0.8 differ in 19 on average, one in 1,500 in more than 32
+
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
 # -- fingerprints ----------------------------------------------------------------------------------------------------
 
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """XXH64 of each word shingle in order; empty without words."""
+    words = (text or "").encode("utf-8").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    shingles = map(b" ".join, zip(*[words[i:] for i in range(width)])) if len(words) >= width else [b" ".join(words)]
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64)
+
+
 def fingerprint(text: str | None, width: int = 3) -> int:
     """SimHash of the text's word shingles, repeats included: XXH64 with seed 42, a bit set if set in over half of them.
 
     Words are runs of anything but ASCII white space, A-Z lower-cased. Fewer words than a shingle: their whole sequence; none: 0.
     """
-    words = (text or "").encode("utf-8").lower().split()
-    if not words:
+    hashes = shingle_hashes(text, width)
+    if not len(hashes):
         return 0
-    shingles = map(b" ".join, zip(*[words[i:] for i in range(width)])) if len(words) >= width else [b" ".join(words)]
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64)
     lanes = hashes.view(np.uint8).reshape(-1, 8)
     counts = np.concatenate([np.bincount(lanes[:, b], minlength=256) @ _BYTE_BITS for b in range(8)])
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
@@ -194,7 +213,7 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
-def near_duplicates(df: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", width: int = 3) -> DataFrame:
+def bit_duplicates(df: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", width: int = 3) -> DataFrame:
     """doc_id, text_hash, fp (bigint), root (smallest fp of the component) and component_id (smallest doc_id reachable over links
     of at most 3 differing bits), one row per row.
 
@@ -211,10 +230,133 @@ def near_duplicates(df: DataFrame, *, id_column: str = "doc_id", text_column: st
     return rows.join(ids, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
-def keep_one(df: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", width: int = 3) -> DataFrame:
+# -- near copies by overlap ------------------------------------------------------------------------------------------
+
+def wide_fingerprint(distinct: np.ndarray) -> bytes:
+    """SimHash of 64 x ``LANES`` bits of a set of shingle hashes: each hash is mixed into one 64-bit word per lane."""
+    counts = np.zeros((8 * LANES, 256))
+    for begin in range(0, len(distinct), 20_000):
+        mixed = distinct[begin:begin + 20_000, None] + np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
+        lanes = (mixed ^ (mixed >> np.uint64(31))).view(np.uint8) + np.arange(8 * LANES) * 256
+        counts += np.bincount(lanes.ravel(), minlength=counts.size).reshape(counts.shape)
+    return np.packbits(counts @ _BYTE_BITS * 2 > len(distinct), bitorder="little").tobytes()
+
+
+def tables(texts: int, similarity: float = SIMILARITY, recall: float = RECALL) -> np.ndarray:
+    """(table, bit) positions that name a bucket: log2 of the texts as bits, and as many tables as ``recall`` at ``similarity`` takes."""
+    bits = max(8, math.ceil(math.log2(max(2, texts))))
+    same = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi  # sets of one size; others of this overlap agree in more bits
+    count = math.ceil(math.log(1 - recall) / math.log(1 - same ** bits))
+    rng = np.random.default_rng(SEED)
+    return np.array([rng.choice(64 * LANES, bits, replace=False) for _ in range(count)])
+
+
+def _shingle_sets(df: DataFrame, id_column: str, text_column: str, width: int) -> DataFrame:
+    """doc_id, text_hash, set_hash of every row, and bits: the wide fingerprint (null without words)."""
+    def run(batches):
+        for batch in slices(batches, "text"):
+            sets = [np.unique(shingle_hashes(t, width)) for t in batch.column(2).to_pylist()]
+            digests = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64)
+            bits = pa.array([wide_fingerprint(s) if len(s) else None for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests.view(np.int64)), bits], ["doc_id", "text_hash", "set_hash", "bits"])
+
+    text = col(text_column).cast("string")
+    narrow = df.select(col(id_column).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return narrow.mapInArrow(run, "doc_id bigint, text_hash bigint, set_hash bigint, bits binary")
+
+
+def _candidates(members: DataFrame, places: np.ndarray, stars: bool) -> DataFrame:
+    """(a, b), b < a: near members (set_hash, bits, root) of a bucket that have unlike roots; ``stars``: only those with the bucket's smallest member."""
+    weights = np.int64(1) << np.arange(places.shape[1], dtype=np.int64)
+
+    def deal(batches):
+        for batch in slices(batches, "bits", 32_000):
+            raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            bits, first = np.unpackbits(raw, axis=1, bitorder="little"), raw[:, :16].copy().view(np.int64)
+            for table, at in enumerate(places):
+                keys = (bits[:, at] @ weights) * len(places) + table
+                yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column(0), batch.column(2), pa.array(first[:, 0]), pa.array(first[:, 1])], ["bucket", "a", "root", "x", "y"])
+
+    def meet(batches):
+        held = np.zeros((5, 0), np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                held = np.concatenate([held, [np.asarray(c, dtype=np.int64) for c in batch.columns]], axis=1)
+                cut = int(np.searchsorted(held[0], held[0, -1]))  # the last bucket may go on in the next batch
+                yield from pairs(held[:, :cut])
+                held = held[:, cut:]
+        yield from pairs(held)
+
+    def pairs(rows):
+        bucket, a, root, x, y = rows
+        first, at = np.searchsorted(bucket, bucket), np.arange(len(bucket))
+        step = 1
+        while len(at):
+            other = first[at] if stars else at - step
+            inside = other >= first[at]
+            at, other = at[inside], other[inside]
+            unlike = (root[at] != root[other]) & (np.bitwise_count((x[at] ^ x[other]).view(np.uint64)).astype(np.int64) + np.bitwise_count((y[at] ^ y[other]).view(np.uint64)) <= NEAR)
+            if unlike.any():
+                yield pa.RecordBatch.from_arrays([pa.array(a[at[unlike]]), pa.array(a[other[unlike]])], ["a", "b"])
+            if stars:
+                return
+            step += 1
+
+    dealt = members.select("set_hash", "bits", "root").where("bits is not null").mapInArrow(deal, "bucket bigint, a bigint, root bigint, x bigint, y bigint")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket", "a").mapInArrow(meet, "a bigint, b bigint").distinct()
+
+
+def _overlapping(pairs: DataFrame, members: DataFrame, df: DataFrame, text_column: str, width: int, similarity: float) -> DataFrame:
+    """The ``pairs`` (a, b) of set hashes whose shingle sets overlap by ``similarity`` or more, exactly."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("set_hash")).distinct()
+    hashes = small_side(checkpointed(members.join(asked, "set_hash", "left_semi").select(F.col("text_hash").alias("t_hash")).distinct()))
+
+    def spell(batches):
+        seen: set[int] = set()
+        for batch in slices(batches, "text"):
+            sets = [np.unique(shingle_hashes(t, width)) for t in batch.column(0).to_pylist()]
+            own = {xxhash.xxh64_intdigest(s.tobytes(), SEED): s for s in sets}
+            new = [h for h in own if h not in seen]
+            seen.update(new)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(new, np.uint64).view(np.int64)), pa.array([own[h].view(np.int64) for h in new], pa.list_(pa.int64()))], ["set_hash", "shingles"])
+
+    text = col(text_column).cast("string")
+    texts = df.select(text.alias("text")).join(hashes, F.xxhash64("text") == F.col("t_hash"), "left_semi")
+    sets = checkpointed(texts.mapInArrow(spell, "set_hash bigint, shingles array<bigint>").groupBy("set_hash").agg(F.first("shingles").alias("shingles")))
+    left, right = (sets.select(F.col("set_hash").alias(c), F.col("shingles").alias(f"of_{c}")) for c in ("a", "b"))
+    common = pairs.join(left, "a").join(right, "b").select("a", "b", F.size("of_a").alias("m"), F.size("of_b").alias("n"), F.size(F.array_intersect("of_a", "of_b")).alias("both"))
+    return common.where(F.col("both") >= F.lit(similarity) * (F.col("m") + F.col("n") - F.col("both")) - 1e-9).select("a", "b")
+
+
+def near_duplicates(df: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, text_hash, root and component_id (smallest doc_id reachable over pairs whose sets of ``width``-word shingles overlap by
+    ``similarity`` or more), one row per row.
+
+    Every link is checked by its exact overlap; of the pairs at ``similarity`` about ``RECALL`` are found, of those above more. Texts with
+    equal sets are one member, null and blank texts among themselves too. Links with the smallest member of each bucket come first; what they
+    join is not paired again, so a large group of copies takes a few links per member, not one per pair.
+    """
+    rows = checkpointed(_shingle_sets(df, id_column, text_column, width))
+    distinct = checkpointed(rows.groupBy("set_hash").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"), F.min("bits").alias("bits")))
+    places = tables(distinct.count(), similarity)
+    members, links, linked = distinct.withColumn("root", F.col("set_hash")), None, None
+    for stars in (True, False):
+        pairs = checkpointed(_candidates(members, places, stars))
+        found = checkpointed(_overlapping(pairs, distinct, df, text_column, width, similarity))
+        links = found if links is None else links.unionAll(found)
+        linked = components(links).select(F.col("fp").alias("set_hash"), "root")
+        members = distinct.join(linked, "set_hash", "left").withColumn("root", F.coalesce("root", "set_hash"))
+    named = members.groupBy("root").agg(F.min("least").alias("component_id"))
+    ids = members.select("set_hash", "root").join(named, "root")
+    return rows.join(ids, "set_hash").select("doc_id", "text_hash", "root", "component_id")
+
+
+def keep_one(df: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``df`` without near-duplicates: of each component one row, that with the smallest id (null ids last; of rows
     with one id the smallest text hash; of rows equal in both any one, they differ in other columns at most)."""
-    found = near_duplicates(df, id_column=id_column, text_column=text_column, width=width)
+    found = near_duplicates(df, id_column=id_column, text_column=text_column, width=width, similarity=similarity)
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash"))
     keepers = found.groupBy("root").agg(F.min(order).alias("k")).select("k.k_id", "k.k_hash")
     own = [F.col("__id").eqNullSafe(F.col("k_id")), F.col("__hash") == F.col("k_hash")]

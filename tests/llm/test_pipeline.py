@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -73,3 +74,58 @@ def test_repeated_rows_leave_one(spark):
     rows = [(5, "same words in this text", "en", "a", 1)] * 3 + [(None, "same words in this text", "en", "a", 1), (None, "other words are in here", "en", "b", 1), (7, None, "en", "b", 1), (8, "", "en", "b", 1)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
     assert sorted((r.doc_id or -1, r.text or "") for r in simhash.keep_one(docs).collect()) == [(-1, "other words are in here"), (5, "same words in this text"), (7, "")]
+
+
+def shingle_set(text):
+    words = (text or "").encode().lower().split()
+    return frozenset(b" ".join(words[i:i + 5]) for i in range(len(words) - 4)) or frozenset([b" ".join(words)] if words else [])
+
+
+def overlap_groups(texts):
+    """Brute force: the smallest place in the component of each text over overlaps of 0.8 or more."""
+    sets, parent, having = list(map(shingle_set, texts)), list(range(len(texts))), defaultdict(list)
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, s in enumerate(sets):
+        common = Counter(j for x in s or {b""} for j in having[x])
+        for j, n in common.items():
+            if n >= 0.8 * len(s | sets[j]):
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+        for x in s or {b""}:
+            having[x].append(i)
+    return [find(i) for i in range(len(texts))]
+
+
+def test_near_copies_of_the_tables_are_those_of_brute_force(spark, stages):
+    rows = sorted((r.doc_id, r.text) for r in stages[2].select("doc_id", "text").collect())
+    want = {i: rows[g][0] for (i, _), g in zip(rows, overlap_groups([t for _, t in rows]))}
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(stages[2]).collect()} == want
+    assert sorted(r.doc_id for r in stages[3].collect()) == sorted(set(want.values()))
+
+
+def test_near_copies_between_08_and_095_leave_one(spark):
+    """150 pairs with replaced words, 150 pairs just below 0.8, one group of 200 copies of one text."""
+    rng = np.random.default_rng(8)
+    fresh = iter(range(10**9))
+    words = lambda n: [f"w{next(fresh)}" for _ in range(n)]
+
+    def changed(text, n, gap=5):
+        out = list(text)
+        for at in rng.choice(len(text) // gap - 1, n, replace=False):
+            out[2 + gap * int(at)] = words(1)[0]
+        return out
+
+    base = [words(204) for _ in range(300)]
+    near = [changed(t, int(rng.integers(1, 5))) for t in base[:150]]     # 200 shingles, 3 to 5 of them changed by each word: 0.81 to 0.98
+    below = [changed(t, 7) for t in base[150:]]                          # about 0.7
+    group = words(1004)
+    hot = [group] + [changed(group, 16, 25) for _ in range(199)]         # each about 0.85 with the first, below 0.8 with most others
+    texts = [" ".join(t) for t in base + near + below + hot]
+    want = overlap_groups(texts)
+    assert len(set(want)) == 300 + 150 + 1
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()) == sorted(set(want))
