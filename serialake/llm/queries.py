@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from serialake.llm import bpe, langid, media, mixing, quality, sharding, simhash, topk, toxicity, url_filter
+from serialake.llm import bpe, langid, main_text, media, mixing, quality, runs, sharding, simhash, topk, toxicity, url_filter, variants
 from serialake.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -67,12 +67,32 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = variants.vocabulary(table(spark, sf_dir, "documents"), least_length=6, least_count=5, typo_every=199)
+    return variants.spelling_variants(words, ratio=5)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(table(spark, sf_dir, "documents"), least=24, times=3, prepare=runs.plant_period)
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    best = F.col("strongest")
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+        F.expr("strongest.length * 1000 div strongest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(line, "").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents labelled as good."""
     return table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_language_id, op3_toxicity, op4_top_k, op5_url_filter, op6_media, op7_mixing, op8_quality, op9_bpe, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_language_id, op3_toxicity, op4_top_k, op5_url_filter, op6_media, op7_mixing, op8_quality, op9_bpe, op10_simhash,
+                                  op11_spelling, op12_periodic_runs, op13_main_text)}
 
 ORACLES = {
     "op4_top_k": """
