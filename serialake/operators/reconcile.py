@@ -9,19 +9,17 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from serialake.functions import text
 from serialake.materialise import checkpointed
 from serialake.operators.ordering import keep_first, keep_top
 
-# Above this many candidate pairs a (work, title) group is counted by blocks instead of by joining.
-PAIR_LIMIT = 10_000
-BLOCK = 1024
-SALTS = 16
+LARGEST = 10**14  # part numbers beyond it (either sign) are read as none where offsets are counted
+BLOCK = 1 << 16  # offsets summed up in one window
+SALTS = 8  # pieces that the parts of one work are dealt to when they meet the work's row
 
 
 def part_number(*, index: str = "index", title: str = "title", pos: str = "pos") -> Column:
@@ -35,46 +33,64 @@ def saved_number(file: str = "file") -> Column:
 
 
 def _keyed(parts: DataFrame, work: str) -> DataFrame:
-    # Exploding the filtered one-element array drops blank keys and evaluates the long key expression
-    # once; a plain filter would be pushed down and evaluate it a second time.
-    keys = F.filter(F.transform(F.array(F.coalesce("title", F.lit(""))), text.match_key), lambda k: k != "")
-    return parts.select(work, F.explode(keys).alias("__key"), part_number().alias("__num"))
+    # The key is one projected expression, so its repeated parts are evaluated once; a filter on it alone would be pushed below and
+    # evaluate it a second time, a filter on the generated column is not.
+    keys = parts.select(work, text.match_key(F.coalesce("title", F.lit(""))).alias("__made"), part_number().alias("__num"))
+    keyed = keys.select(work, "__num", F.explode(F.array("__made")).alias("__key")).where("__key <> ''")
+    return keyed.where(F.col("__num").between(-LARGEST, LARGEST))
 
 
-def _heavy_offsets(canon: DataFrame, listed: DataFrame, work: str) -> DataFrame:
-    """Offset counts of groups with many equal titles, without producing their pairs.
+def _steps(numbers: DataFrame, work: str, *, distinct: bool) -> DataFrame:
+    """Run-length form of the numbers of each (work, key): where their count steps up or down (``__d``), seen from left to right.
 
-    Numbers are packed into blocks of 1,024 consecutive values; a pair of blocks is one
-    cross-correlation of two short vectors, so a group of n parts costs (n / 1024)^2 block pairs.
-    Blocks of one group are salted, so they spread over several tasks.
+    n consecutive numbers become two rows. One more row of a key, without a place, holds its number of rows. With ``distinct`` a number
+    counts once (and so does that row).
     """
-    def blocks(df: DataFrame, weight: Column, side: str) -> DataFrame:
-        # At most 1,024 distinct numbers per block: the list is bounded.
-        return df.groupBy(work, "__key", F.floor(F.col("__num") / BLOCK).alias(f"{side}_block")).agg(
-            F.collect_list(F.struct((F.col("__num") % BLOCK + BLOCK).cast("int").alias("at"), weight.cast("bigint").alias("w"))).alias(side))
-
-    left = blocks(canon, F.lit(1), "c").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    right = blocks(listed, F.col("__m"), "l").withColumn("__salt", (F.abs(F.col("l_block")) % SALTS).cast("int"))
-    pairs = left.join(right, [work, "__key", "__salt"]).select(work, (F.col("c_block") - F.col("l_block")).alias("shift"), "c", "l")
-    work_type = dict(canon.dtypes)[work]
-
-    def correlate(batches):
-        for pdf in batches:
-            out: dict = {}
-            for key, shift, c, l in zip(pdf[work], pdf["shift"], pdf["c"], pdf["l"]):
-                a, b = np.zeros(BLOCK, np.int64), np.zeros(BLOCK, np.int64)
-                for item in c:
-                    a[item["at"] % BLOCK] += item["w"]
-                for item in l:
-                    b[item["at"] % BLOCK] += item["w"]
-                counts = np.correlate(a, b, "full")
-                for i in np.flatnonzero(counts):
-                    offset = int(shift) * BLOCK + int(i) - (BLOCK - 1)
-                    out[(key, offset)] = out.get((key, offset), 0) + int(counts[i])
-            if out:
-                yield pd.DataFrame([(k, o, n) for (k, o), n in out.items()], columns=[work, "__offset", "__n"])
-
-    return pairs.mapInPandas(correlate, f"`{work}` {work_type}, __offset bigint, __n bigint")
+    def end(at: Column, here: int, before: int) -> Column:
+        return F.struct(at.cast("bigint").alias("at"), F.lit(here).alias("here"), F.lit(before).alias("before"))
+
+    ends = numbers.select(work, "__key", F.explode(F.array(end(F.col("__num"), 1, 0), end(F.col("__num") + 1, 0, 1), end(F.lit(None), 1, 0))).alias("e"))
+    fold = F.max if distinct else F.sum
+    stepped = ends.groupBy(work, "__key", F.col("e.at").alias("__at")).agg((fold("e.here") - fold("e.before")).cast("bigint").alias("__d"))
+    return stepped.where("__at is null or __d <> 0")
+
+
+def _second_differences(canonical: DataFrame, listed: DataFrame, work: str) -> DataFrame:
+    """Per work and offset the second difference ``e`` of the number of pairs with equal titles; without offset, the matched rows.
+
+    The number of pairs at an offset is a cross-correlation of two step functions. Its second difference lives on pairs of steps, so a
+    title repeated through n consecutive parts costs as much as one that occurs once. The table is read three times: one exchange
+    serves them all.
+    """
+    left = _steps(_keyed(canonical, work), work, distinct=True)
+    right = _steps(_keyed(listed, work), work, distinct=False).select(F.col(work).alias("__lwork"), F.col("__key").alias("__lkey"), F.col("__at").alias("__lat"), F.col("__d").alias("__ld"))
+    same = (F.col(work) == F.col("__lwork")) & (F.col("__key") == F.col("__lkey")) & (F.col("__at").isNull() == F.col("__lat").isNull())
+    pairs = left.join(right, same, "left").where("__at is null or __lat is not null")
+    offset = F.col("__at") - F.col("__lat")
+    summed = pairs.groupBy(work, F.floor((offset + BLOCK // 2) / BLOCK).alias("__block"), offset.alias("__offset")).agg(
+        F.coalesce(F.sum(F.col("__d") * F.col("__ld")), F.lit(0)).alias("e"))
+    return summed.where("__offset is null or e <> 0").repartition(work, "__block")
+
+
+def _pieces(steps: DataFrame, work: str) -> DataFrame:
+    """The numbers of pairs as straight pieces: at ``__offset + j`` there are ``n + j * slope`` pairs, for j < ``span``.
+
+    Sums run within blocks of offsets; what lies before a block enters it as one row, so no task needs all offsets of a work.
+    """
+    moment = F.col("__offset").cast("decimal(16,0)") * F.col("e")
+    own = steps.where("__offset is not null").select(work, "__block", "__offset", "e", moment.alias("m"))
+    blocks = own.groupBy(work, "__block").agg(F.sum("e").alias("e"), F.sum("m").alias("m"), F.min("__offset").alias("first"))
+    order = W.partitionBy(work).orderBy("__block")
+    earlier = order.rowsBetween(W.unboundedPreceding, -1)
+    entry = blocks.select(work, "__block", F.lit(None).cast("bigint").alias("__offset"), F.coalesce(F.sum("e").over(earlier), F.lit(0)).alias("e"),
+                          F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("m"), F.lead("first").over(order).alias("beyond"))
+    inside = W.partitionBy(work, "__block").orderBy(F.col("__offset").asc_nulls_first())
+    before = inside.rowsBetween(W.unboundedPreceding, -1)
+    rows = own.withColumn("beyond", F.lit(None).cast("bigint")).unionByName(entry)
+    summed = rows.select(work, "__offset", (F.sum("m").over(before) - F.col("__offset") * F.sum("e").over(before)).cast("bigint").alias("n"),
+                         (-F.sum("e").over(inside.rowsBetween(W.unboundedPreceding, 0))).alias("slope"),
+                         F.coalesce(F.lead("__offset").over(inside), F.max("beyond").over(W.partitionBy(work, "__block"))).alias("__end"))
+    return summed.where("__offset is not null").select(work, "__offset", "n", "slope", (F.col("__end") - F.col("__offset")).alias("span")).where("span > 0 and (n > 0 or slope > 0)")
 
 
 def numbering_offsets(canonical: DataFrame, listed: DataFrame, saved: DataFrame, *, work: str = "work") -> DataFrame:
@@ -82,29 +98,27 @@ def numbering_offsets(canonical: DataFrame, listed: DataFrame, saved: DataFrame,
 
     Confident when the best offset has 3 matches or 60 %, or at most 2 rows matched; a non-zero best
     with a runner-up at most one behind is not. An unsure or unmatched source is skipped when
-    something is already saved. Ties go to the smallest absolute offset, then the smaller one.
+    numbered parts are already saved. Ties go to the smallest absolute offset, then the smaller one.
     """
-    canon = _keyed(canonical, work).distinct()
-    rows = _keyed(listed, work).groupBy(work, "__key", "__num").agg(F.count("*").alias("__m"))
-    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
-    # One row per title with its group sizes: they route each group and give the totals in closed form.
-    sides = canon.select(work, "__key", one.alias("nc"), zero.alias("nl"), zero.alias("rows")) \
-                 .unionByName(rows.select(work, "__key", zero.alias("nc"), one.alias("nl"), F.col("__m").alias("rows")))
-    sizes = sides.groupBy(work, "__key").agg(F.sum("nc").alias("nc"), F.sum("nl").alias("nl"), F.sum("rows").alias("rows")).where("nc > 0")
-    heavy = sizes.where(F.col("nc") * F.col("nl") > PAIR_LIMIT).select(work, "__key")
-    light = canon.join(heavy, [work, "__key"], "left_anti").join(rows.withColumnRenamed("__num", "__lnum"), [work, "__key"]) \
-                 .select(work, (F.col("__num") - F.col("__lnum")).alias("__offset"), F.col("__m").alias("__n"))
-    packed = _heavy_offsets(canon.join(heavy, [work, "__key"], "left_semi"), rows.join(heavy, [work, "__key"], "left_semi"), work)
-    counts = light.unionByName(packed).groupBy(work, "__offset").agg(F.sum("__n").alias("__n"))
+    steps = _second_differences(canonical, listed, work)
+    # The two best offsets of a straight piece lie at its ends or, where it is level, nearest to zero.
+    last, zero = F.col("span") - 1, F.lit(0).cast("bigint")
+    level = F.greatest(zero, F.least(last, -F.col("__offset")))
+    places = F.filter(F.array_distinct(F.array(zero, zero + 1, last - 1, last, level - 1, level, level + 1)), lambda j: (j >= 0) & (j <= last))
+    counts = _pieces(steps, work).select(work, "__offset", "n", "slope", F.explode(places).alias("j")) \
+        .select(work, (F.col("__offset") + F.col("j")).alias("__offset"), (F.col("n") + F.col("j") * F.col("slope")).alias("__n")).where("__n > 0")
     top = keep_top(counts, key=[work], order=[F.col("__n").desc(), F.abs("__offset"), F.col("__offset")], k=2)
     rank = F.struct((-F.col("__n")).alias("n"), F.abs("__offset").alias("a"), F.col("__offset").alias("o"))
     best = top.groupBy(work).agg(F.min(rank).alias("b"), F.max(rank).alias("s"))
     best = best.select(work, F.col("b.o").alias("offset"), (-F.col("b.n")).alias("best"),
                        F.when(F.col("s.o") != F.col("b.o"), -F.col("s.n")).otherwise(0).alias("second"))
-    per_work = sizes.select(work, F.col("rows").alias("match_count"), (F.col("nc") * F.col("rows")).alias("total"), F.lit(True).alias("canon"), F.lit(False).alias("saved")) \
-        .unionByName(saved.select(work, zero.alias("match_count"), zero.alias("total"), F.lit(False).alias("canon"), F.lit(True).alias("saved"))) \
-        .groupBy(work).agg(F.sum("match_count").alias("match_count"), F.sum("total").alias("total"), F.max("canon").alias("canon"), F.max("saved").alias("anything"))
-    joined = per_work.where("canon").join(best, work, "left")
+    # Half the second moment of the second differences is the sum of the counts, with the sign turned.
+    square = F.col("__offset").cast("decimal(16,0)") * F.col("__offset").cast("decimal(16,0)") * F.col("e")
+    nothing = F.lit(None).cast("decimal(38,0)")
+    per_work = steps.select(work, F.when(F.col("__offset").isNull(), F.col("e")).alias("rows"), square.cast("decimal(38,0)").alias("square"), F.lit(False).alias("saved")) \
+        .unionByName(saved.where(saved_number().isNotNull()).select(work, F.lit(None).cast("bigint").alias("rows"), nothing.alias("square"), F.lit(True).alias("saved"))) \
+        .groupBy(work).agg(F.sum("rows").alias("match_count"), (F.coalesce(F.sum("square"), F.lit(0)) / -2).cast("bigint").alias("total"), F.max("saved").alias("anything"))
+    joined = per_work.where("match_count is not null").join(best, work, "left")
     confident = ((F.col("best") >= 3) | (F.col("best") / F.col("total") >= 0.6) | (F.col("match_count") <= 2)) \
         & ~((F.col("offset") != 0) & (F.col("second") > 0) & (F.col("best") - F.col("second") <= 1))
     return joined.select(
@@ -112,11 +126,22 @@ def numbering_offsets(canonical: DataFrame, listed: DataFrame, saved: DataFrame,
         "total", "match_count", (F.col("anything") & ~F.coalesce((F.col("total") > 0) & confident, F.lit(False))).alias("skip"))
 
 
+def _with_shift(parts: DataFrame, offsets: DataFrame, work: str) -> DataFrame:
+    """Parts with the offset of their work, null for none: few works have one, and a large one is dealt to SALTS pieces."""
+    dealt = parts.withColumn("__salt", F.pmod(F.xxhash64("pos"), F.lit(SALTS)).cast("int"))
+    spread = offsets.where("offset <> 0").select(work, F.col("offset").alias("__shift"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
+    return dealt.join(spread, [work, "__salt"], "left").drop("__salt")
+
+
+def _aligned(shift: Column) -> Column:
+    """Part number plus the offset, at least 1; a sum that no bigint holds stays at the largest one."""
+    number = part_number()
+    return F.greatest(F.lit(1).cast("bigint"), F.coalesce(F.try_add(number, F.coalesce(shift, F.lit(0).cast("bigint"))), F.when(number > 0, F.lit(2**63 - 1)).otherwise(F.lit(1))))
+
+
 def align_listed(listed: DataFrame, offsets: DataFrame, *, work: str = "work") -> DataFrame:
     """Listed parts with their number shifted by the work's offset, never below 1."""
-    shift = offsets.select(work, F.col("offset").alias("__shift"))
-    moved = part_number() + F.coalesce("__shift", F.lit(0))
-    return listed.join(shift, work, "left").withColumn("aligned", F.greatest(F.lit(1).cast("bigint"), moved)).drop("__shift")
+    return _with_shift(listed, offsets, work).withColumn("aligned", _aligned(F.col("__shift"))).drop("__shift")
 
 
 def first_aligned(aligned: DataFrame, *, work: str = "work") -> DataFrame:
@@ -135,10 +160,11 @@ def missing_parts(canonical: DataFrame, listed: DataFrame, saved: DataFrame, dea
     offsets = checkpointed(numbering_offsets(canonical, listed, saved, work=work)) if offsets is None else offsets
     skipped = offsets.where("skip").select(work)
     base = canonical.join(skipped, work, "left_anti").withColumn("__num", F.greatest(F.lit(1).cast("bigint"), part_number()))
-    base = base.withColumn("__file", F.coalesce("file", text.part_file_name(F.coalesce("title", F.lit("")), "__num")))
-    # A stored non-empty file under the expected name ends the search for its number, for this row and all after it.
-    files = saved.where(F.col("size") > 0).select(work, F.col("file").alias("__file")).distinct()
-    hits = base.select(work, "__file", "__num", "pos").join(files, [work, "__file"], "left_semi")
+    # A stored non-empty file under the expected name ends the search for its number, for this row and all after it. The default
+    # name begins with the number, which saved numbers cover; only a given name with other digits needs a look at the files.
+    files = saved.where(F.col("size") > 0).select(work, "file").distinct()
+    other = F.coalesce(saved_number() != F.col("__num"), F.col("file").isNotNull())
+    hits = base.where(other).select(work, "file", "__num", "pos").join(files, [work, "file"], "left_semi")
     yes, no, never = F.lit(True), F.lit(False), F.lit(None).cast("bigint")
 
     def facts(df: DataFrame, key: Column, name: str, s: Column, d: Column, o: Column, hit: Column = never) -> DataFrame:
@@ -148,10 +174,9 @@ def missing_parts(canonical: DataFrame, listed: DataFrame, saved: DataFrame, dea
         return reduce(DataFrame.unionByName, parts).where(F.col(name).isNotNull()).groupBy(work, name).agg(
             F.max("s").alias(f"{name}_saved"), F.max("d").alias(f"{name}_dead"), F.max("o").alias(f"{name}_offered"), F.min("h").alias(f"{name}_hit"))
 
-    aligned = align_listed(listed, offsets, work=work)
     by_number = gathered([facts(saved, saved_number(), "__num", yes, no, no),
                           facts(dead, F.col("index").cast("bigint"), "__num", no, yes, no),
-                          facts(aligned, F.col("aligned"), "__num", no, no, yes),
+                          facts(align_listed(listed, offsets, work=work), F.col("aligned"), "__num", no, no, yes),
                           facts(hits, F.col("__num"), "__num", no, no, no, F.col("pos"))], "__num")
     by_url = gathered([facts(dead, F.nullif("url", F.lit("")), "__url", no, yes, no),
                        facts(listed, F.nullif("url", F.lit("")), "__url", no, no, yes)], "__url")
@@ -163,7 +188,8 @@ def missing_parts(canonical: DataFrame, listed: DataFrame, saved: DataFrame, dea
         ~flag("__num_saved") & ~flag("__num_dead") & (F.col("__num_hit").isNull() | (F.col("pos") < F.col("__num_hit"))))
     judged = open_rows.withColumn("__url", F.nullif("url", F.lit(""))).join(by_url, [work, "__url"], "left")
     wanted = judged.where(~flag("__url_dead") & (flag("__url_offered") | flag("__num_offered")))
-    return wanted.select(work, F.col("pos").alias("idx"), F.col("__num").alias("index"), "title", "url", F.col("__file").alias("file"))
+    file = F.coalesce("file", text.part_file_name(F.coalesce("title", F.lit("")), "__num"))
+    return wanted.select(work, F.col("pos").alias("idx"), F.col("__num").alias("index"), "title", "url", file.alias("file"))
 
 
 def misnamed_files(expected: DataFrame, files: DataFrame, *, work: str = "work", number: str = "index", name: str = "file") -> DataFrame:
