@@ -6,9 +6,13 @@ session packages; files of JSON lines work the same way (``format="text"``).
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from serialake.sources import growing
+
 
 def read_messages(spark: SparkSession, *, format: str = "kafka", options: dict[str, str] | None = None, path: str | None = None) -> DataFrame:
     """A5: stream with one string column ``value``, from the earliest offset unless told otherwise."""
@@ -42,10 +46,16 @@ def write_messages(messages: DataFrame, *, format: str = "kafka", checkpoint: st
     return writer.start(path) if path else writer.start()
 
 
-def tail_log(spark: SparkSession, path: str, *, since: str | None = None, glob: str | None = None) -> DataFrame:
-    """Log lines as a stream; ``since`` (timestamp text) leaves out files last written before it."""
-    reader = spark.readStream.format("text")
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    lines = reader.load(path).select(F.col("value").alias("line"), F.col("_metadata.file_modification_time").alias("modified"))
-    return lines if since is None else lines.where(F.col("modified") >= F.lit(since).cast("timestamp"))
+def tail_log(spark: SparkSession, path: str, *, since: str | None = None, glob: str = "*", from_start: bool = True, split_bytes: int = 32 << 20) -> DataFrame:
+    """Lines of the log files of a folder as a stream (line, file, position), those appended later too, each once.
+
+    Files may grow, be renamed by a rotation, be truncated or replaced (see ``growing``). ``since`` (timestamp text, UTC) leaves out files
+    last written before it; without ``from_start`` only lines written after the query began are read. The last line of a file is read
+    when its line feed is there.
+    """
+    growing.register(spark)
+    reader = spark.readStream.format("growing_log").option("glob", glob).option("splitBytes", str(split_bytes))
+    reader = reader.option("startingOffsets", "earliest" if from_start else "latest")
+    if since is not None:
+        reader = reader.option("since", str(dt.datetime.fromisoformat(since).replace(tzinfo=dt.timezone.utc).timestamp()))
+    return reader.load(path)

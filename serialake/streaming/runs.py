@@ -20,10 +20,10 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
-def run_available(stream: DataFrame, *, name: str) -> DataFrame:
-    """Write the stream to a new folder with ``availableNow`` and read it back."""
+def run_available(stream: DataFrame, *, name: str, folder: str | None = None) -> DataFrame:
+    """Write the stream to a folder with ``availableNow`` and read it back; a folder used before goes on where its last run ended."""
     spark = stream.sparkSession
-    folder = work_folder(spark, name)
+    folder = folder or work_folder(spark, name)
     previous = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     try:

@@ -4,7 +4,7 @@ import json
 from pyspark.sql import functions as F
 
 from serialake.sources import jobs as job_io
-from serialake.sources import tree, writers
+from serialake.sources import growing, tree, writers
 from serialake.streaming import jobs, runs, stateful
 
 
@@ -149,3 +149,52 @@ def test_log_tail_drops_old_files(spark, tmp_path):
     fresh = runs.run_available(jobs.warning_jobs(job_io.tail_log(spark, str(tmp_path), since="2000-01-01 00:00:00")), name="t").collect()
     assert [(r["story_title"], r["total_count"]) for r in fresh] == [("X", 3)]
     assert runs.run_available(job_io.tail_log(spark, str(tmp_path), since="2100-01-01 00:00:00").select("line"), name="t").count() == 0
+
+
+def test_growing_log(spark, tmp_path):
+    """Appends, an unfinished line, a rotation, a truncation and a restart per step: every line once."""
+    logs, state = tmp_path / "logs", str(tmp_path / "state")
+    logs.mkdir()
+    log, other = logs / "app.log", logs / "other.log"
+
+    def tail(**options):
+        rows = runs.run_available(job_io.tail_log(spark, str(logs), glob="*.log*", **options), name="t", folder=state).collect()
+        assert len({(r["file"], r["position"], r["line"]) for r in rows}) == len(rows)
+        return sorted(r["line"] for r in rows)
+
+    seen = ["app 1", "app 2", "other 1 é"]
+    log.write_text("app 1\napp 2\napp 3 unfini", encoding="utf-8")
+    other.write_text("other 1 é\r\n", encoding="utf-8")
+    assert tail() == sorted(seen)
+    with log.open("a", encoding="utf-8") as f:  # the line is finished, more follow
+        f.write("shed\napp 4\n")
+    seen += ["app 3 unfinished", "app 4"]
+    assert tail(split_bytes=7) == sorted(seen)
+    with log.open("a", encoding="utf-8") as f:  # written, then rotated away, and a new file begun
+        f.write("app 5\n")
+    log.rename(logs / "app.log.1")
+    log.write_text("new 1\n", encoding="utf-8")
+    seen += ["app 5", "new 1"]
+    assert tail() == sorted(seen)
+    (logs / "app.log.2").write_bytes((logs / "app.log.1").read_bytes())  # copied on, then truncated and refilled
+    (logs / "app.log.1").write_text("fresh 1\nfresh 2\n", encoding="utf-8")
+    other.write_text("", encoding="utf-8")
+    seen += ["fresh 1", "fresh 2"]
+    assert tail() == sorted(seen)
+    assert tail() == sorted(seen)
+    other.unlink()
+    log.write_text("new 1\nnew 2\n", encoding="utf-8")
+    assert tail() == sorted([*seen, "new 2"])
+
+
+def test_growing_log_in_pieces(tmp_path):
+    """Any cut of an addition into pieces gives the same lines at the same places."""
+    text = b"".join(b"%d %s\n" % (i, b"x" * (i * 7 % 50)) for i in range(400)) + b"\n\nlast\n"
+    (tmp_path / "a.log").write_bytes(text + b"open")
+    lines = text.decode().split("\n")[:-1]
+    for split in (1, 5, 64, 4096, 1 << 20):
+        reader = growing.GrowingLogReader({"path": str(tmp_path), "splitBytes": str(split)})
+        got = [row for piece in reader.partitions({"files": []}, reader.latestOffset()) for batch in reader.read(piece) for row in zip(*(c.to_pylist() for c in batch.columns))]
+        assert [r[0] for r in got] == lines and all(text[p:].startswith(line.encode() + b"\n") for line, _, p in got)
+    late = growing.GrowingLogReader({"path": str(tmp_path), "startingOffsets": "latest"})
+    assert growing.additions(late.initialOffset()["files"], late.latestOffset()["files"]) == []
