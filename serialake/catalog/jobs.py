@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from serialake.catalog.registry import Catalog
 from serialake.catalog.pages import ARTICLE, TO_TEXT
 from serialake.sources import jobs as job_io
-from serialake.streaming import jobs, runs, stateful
+from serialake.streaming import jobs, ordered, runs, stateful, timers
 
 catalog = Catalog()
 q = catalog.query
@@ -110,10 +110,40 @@ def _(t):
     return runs.run_available(dead, name="j4").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-@q("j5_bans", "select user_id, ts, 3::bigint as failures from (select *, row_number() over (partition by user_id order by ts, event_id) as rn from events where event_type = 'error' and user_id < 100) where rn = 3")
+def members(t) -> DataFrame:
+    """Nation of every customer that can be a user: the pools of J5 and J6."""
+    return t.customer.where("c_custkey < 150").select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").alias("pool"))
+
+
+def pools(t) -> DataFrame:
+    return members(t).groupBy("pool").agg(F.count("*").alias("size"))
+
+
+_MEMBERS = "(select c_custkey as user_id, c_nationkey as pool from customer where c_custkey < 150)"
+_BANS_SQL = f"""(select user_id, pool, ts from (select *, row_number() over (partition by pool order by ts, user_id) as turn from (
+        select user_id, pool, ts, row_number() over (partition by user_id order by ts, event_id) as rn from events join {_MEMBERS} using (user_id) where event_type = 'error' and (user_id >= 50 or user_id % 10 <> 0)) where rn = 3)
+      join (select pool, count(*) as size from {_MEMBERS} group by 1) using (pool) where turn < size)"""
+
+
+def spared() -> Column:
+    """Every tenth key below 50 is exempt; for the others the test is unknown."""
+    return F.when(F.col("user_id") < 50, F.col("user_id") % 10 == 0)
+
+
+@q("j5_bans", f"select user_id, pool, ts, 3::bigint as failures from {_BANS_SQL}")
 def _(t):
-    failures = t.events.where("event_type = 'error'")
-    return stateful.bans_batch(failures, key="user_id", time="ts", tie="event_id", pool_size=150, exempt=F.col("user_id") >= 100)
+    failures = t.events.where("event_type = 'error'").join(members(t), "user_id")
+    return stateful.bans_batch(failures, key="user_id", time="ts", tie="event_id", pools=pools(t), exempt=spared())
+
+
+@q("j5_bans_stream", f"""with f as (select user_id, pool, ts, lead(ts) over (partition by user_id order by ts) as nxt from events join {_MEMBERS} using (user_id) where event_type = 'error'),
+    free as (select user_id, pool, ts + interval 36 hours as ts from f where nxt >= ts + interval 36 hours or nxt is null and ts + interval 36 hours <= (select max(ts) from f))
+    select user_id, pool, ts, 'ban' as event from {_BANS_SQL} union all
+    select user_id, pool, ts, 'usable' from free where not exists (select 1 from {_BANS_SQL} b where b.user_id = free.user_id and b.ts <= free.ts)""")
+def _(t):
+    failures = event_stream(t).where("event_type = 'error'").join(members(t), "user_id")
+    events = timers.ban_events(failures, pools(t), key="user_id", pool="pool", time="ts", cooldown=36 * 3600, exempt=spared())
+    return runs.run_available(events, name="j5").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @q("j5_cooldowns", "select user_id, max(ts) as last_failure, max(ts) + interval 60 seconds as available_at from events where event_type = 'error' group by 1")
@@ -130,32 +160,37 @@ def _(t):
 _STILL_RECENT = "list_filter(w.recent, lambda x: epoch_us(e.ts) - epoch_us(x) < 21600000000)"
 
 
-@q("j6_ban_alerts_stream", f"""with recursive e as (select ts, row_number() over (order by ts, event_id) as rn from events where event_type = 'error'),
-    walk as (select 0::bigint as rn, []::timestamp[] as recent, null::timestamp as ts, 0::bigint as n union all
-      select e.rn, case when len({_STILL_RECENT}) >= 9 then []::timestamp[] else list_append({_STILL_RECENT}, e.ts) end, e.ts, (len({_STILL_RECENT}) + 1)::bigint
-      from walk w join e on e.rn = w.rn + 1) select 'all' as pool, ts, n as bans from walk where n >= 10""")
+@q("j6_ban_alerts_stream", f"""with recursive e as (select pool, ts, row_number() over (partition by pool order by ts, event_id) as rn from events join {_MEMBERS} using (user_id) where event_type = 'error'),
+    walk as (select distinct pool, 0::bigint as rn, []::timestamp[] as recent, null::timestamp as ts, 0::bigint as n from e union all
+      select e.pool, e.rn, case when len({_STILL_RECENT}) >= 2 then []::timestamp[] else list_append({_STILL_RECENT}, e.ts) end, e.ts, (len({_STILL_RECENT}) + 1)::bigint
+      from walk w join e on e.pool = w.pool and e.rn = w.rn + 1) select pool, ts, n as bans from walk where n >= 3""")
 def _(t):
-    bans = event_stream(t).where("event_type = 'error'").withColumn("pool", F.lit("all"))
-    alerts = runs.run_available(stateful.ban_alerts(bans, pool="pool", time="ts", seconds=6 * 3600, threshold=10), name="j6")
-    return alerts.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    bans = event_stream(t).where("event_type = 'error'").join(members(t), "user_id")
+    sink = ordered.alert_sink(runs.work_folder(t.spark, "j6"), pool="pool", time="ts", seconds=6 * 3600, threshold=3)
+    runs.run_batches(bans, sink, name="j6")
+    return sink.emitted(t.spark, bans.schema["pool"].dataType, "bans").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+def debounced(t, name: str, hours: int) -> DataFrame:
+    sink = ordered.debounce_sink(runs.work_folder(t.spark, name), key="user_id", time="ts", seconds=hours * 3600)
+    runs.run_batches(event_stream(t), sink, name=name)
+    return sink.emitted(t.spark, t.events.schema["user_id"].dataType).select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
-@q("j7_debounce_stream", """with recursive e as (select user_id, ts, row_number() over (partition by user_id order by ts) as rn from events),
+_DEBOUNCED_SQL = """with recursive e as (select user_id, ts, row_number() over (partition by user_id order by ts) as rn from events),
     walk as (select user_id, rn, ts, ts as last, true as passed from e where rn = 1
-      union all select e.user_id, e.rn, e.ts, case when e.ts >= w.last + interval 6 hours then e.ts else w.last end, e.ts >= w.last + interval 6 hours
-      from walk w join e on e.user_id = w.user_id and e.rn = w.rn + 1) select user_id, ts from walk where passed""")
+      union all select e.user_id, e.rn, e.ts, case when e.ts >= w.last + interval {0} hours then e.ts else w.last end, e.ts >= w.last + interval {0} hours
+      from walk w join e on e.user_id = w.user_id and e.rn = w.rn + 1) select user_id, ts from walk where passed"""
+
+
+@q("j7_debounce_stream", _DEBOUNCED_SQL.format(6))
 def _(t):
-    passed = stateful.debounce(event_stream(t), key="user_id", time="ts", seconds=6 * 3600)
-    return runs.run_available(passed, name="j7").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return debounced(t, "j7", 6)
 
 
-@q("j8_suppress_repeats_stream", """with recursive e as (select user_id, ts, row_number() over (partition by user_id order by ts) as rn from events),
-    walk as (select user_id, rn, ts, ts as last, true as passed from e where rn = 1
-      union all select e.user_id, e.rn, e.ts, case when e.ts >= w.last + interval 30 hours then e.ts else w.last end, e.ts >= w.last + interval 30 hours
-      from walk w join e on e.user_id = w.user_id and e.rn = w.rn + 1) select user_id, ts from walk where passed""")
+@q("j8_suppress_repeats_stream", _DEBOUNCED_SQL.format(30))
 def _(t):
-    passed = jobs.suppress_repeats(event_stream(t), key="user_id", time="ts", seconds=30 * 3600)
-    return runs.run_available(passed, name="j8").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return debounced(t, "j8", 30)
 
 
 @q("j9_notify_once", "select distinct user_id from events where event_type = 'error'")
@@ -177,6 +212,18 @@ def _(t):
     return jobs.due_retries(t.events.where("event_type = 'error'"), done, key="user_id", time="ts", now=F.lit("2024-01-30").cast("timestamp_ntz"), ceiling=3600)
 
 
+@q("j11_retry_rounds_stream", """with o as (select user_id, ts, event_type <> 'error' as ok from events where event_type = 'error' or event_type = 'purchase' and value > 90),
+    g as (select *, lead(ts) over (partition by user_id order by ts, ok) as nxt, count(*) filter (ok) over (partition by user_id order by ts, ok rows unbounded preceding) as run from o),
+    a as (select *, row_number() over (partition by user_id, run order by ts) as attempt from g where not ok),
+    d as (select *, ((attempt - 1) % 5 + 1)::bigint as round, case when (attempt - 1) % 5 + 1 = 5 then 1800 else cast(least(3600, 5 * power(2, (attempt - 1) % 5 + 1)) as bigint) end as delay from a)
+    select user_id, attempt, ts as last_failure, round, delay::bigint as delay, ts + to_seconds(delay) as next_retry_at from d
+    where ts + to_seconds(delay) <= coalesce(nxt, (select max(ts) from o))""")
+def _(t):
+    outcomes = event_stream(t).where("event_type = 'error' or event_type = 'purchase' and value > 90")
+    due = runs.run_available(timers.retry_rounds(outcomes, key="user_id", time="ts", ok=F.col("event_type") != "error", ceiling=3600), name="j11")
+    return due.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("last_failure", "next_retry_at")})
+
+
 def retry_stream_jobs(events: DataFrame) -> DataFrame:
     """A retry job per event, for the page whose id is the event's user; low values miss their file name."""
     user = F.col("user_id").cast("string")

@@ -1,4 +1,4 @@
-"""Job routing, log-derived requests, de-duplication and retries.
+"""Job routing, log-derived requests, de-duplication and retries.
 
 Every function is a plain DataFrame transformation, so the same code runs on a stream or a table.
 """
@@ -12,7 +12,6 @@ from serialake import fixed, schemas
 from serialake.functions import lines, markup, text
 from serialake.operators import filters, merging
 from serialake.operators.ordering import keep_first
-from serialake.streaming import stateful
 
 
 def parse_jobs(messages: DataFrame, *, value: str = "value") -> DataFrame:
@@ -62,14 +61,6 @@ def repair_requests(warnings: DataFrame, works: DataFrame, *, title: str = "stor
     return matched.withColumn("rejected", reason)
 
 
-def suppress_repeats(rows: DataFrame, *, key: str, time: str, seconds: float = 300) -> DataFrame:
-    """A repeat of the key less than ``seconds`` after the last row that passed is dropped; later ones pass again (streams).
-
-    The state of a key is one timestamp, so the result does not depend on how the stream is cut into batches.
-    """
-    return stateful.debounce(rows, key=key, time=time, seconds=seconds)
-
-
 def notify_once(rows: DataFrame, *, title: str) -> DataFrame:
     """One notification per title."""
     return rows.where(F.coalesce(F.col(title).cast("string"), F.lit("")) != "").dropDuplicates([title])

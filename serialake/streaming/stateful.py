@@ -1,8 +1,8 @@
-"""Stateful streams: failure machine, ban, alert and debounce (J4-J7), with batch twins where windows can say it.
+"""Failure machine (J4) as a stream, and batch twins of J4 to J6 where aggregates and windows can say it.
 
 The counting machine combines before its shuffle: of every Arrow batch only the earliest ``cap``
-rows per key travel, so a hot key cannot flood the task that holds its state. The order-dependent
-machines take one micro-batch of a key at a time; its size is what the source's trigger limit allows.
+rows per key travel, so a hot key cannot flood the task that holds its state. Machines with timers are
+in ``timers``, those that need sorted rows in ``ordered``.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window as W
 
 from serialake.operators.ordering import keep_top
+from serialake.operators.running import position
 
 
 def _earliest(rows: Iterator[pd.DataFrame], time: str, n: int) -> list:
@@ -27,12 +28,6 @@ def _earliest(rows: Iterator[pd.DataFrame], time: str, n: int) -> list:
     return kept
 
 
-def _sorted_times(rows: Iterator[pd.DataFrame], time: str) -> list:
-    """Times of one key in one micro-batch, in order (the trigger limit bounds them)."""
-    chunks = [pdf[time] for pdf in rows]
-    return sorted(pd.concat(chunks)) if chunks else []
-
-
 class CapReached(StatefulProcessor):
     """Count rows per key and emit one row when the cap is reached, never again."""
 
@@ -79,10 +74,20 @@ def dead_keys_batch(failures: DataFrame, *, key: str, time: str, tie: str, cap:
     return top.groupBy(key).agg(F.count("*").alias("failures"), F.max(time).alias(time)).where(F.col("failures") >= cap)
 
 
-def bans_batch(failures: DataFrame, *, key: str, time: str, tie: str, cap: int = 3, pool_size: int | None = None, exempt: Column | None = None) -> DataFrame:
-    """J5 twin: ban time per key: its third failure, unless the pool has one member or the key is exempt."""
-    banned = dead_keys_batch(failures if exempt is None else failures.where(~exempt), key=key, time=time, tie=tie, cap=cap)
-    return banned.limit(0) if pool_size is not None and pool_size <= 1 else banned
+def bans_batch(failures: DataFrame, *, key: str, time: str, tie: str, cap: int = 3, pools: DataFrame | None = None, pool: str = "pool", size: str = "size",
+               exempt: Column | None = None) -> DataFrame:
+    """J5 twin: ban time per key: its ``cap``-th failure, unless the key is exempt (a null test is no exemption).
+
+    With ``pools`` (pool, size) a pool keeps its last member: the first ``size - 1`` keys to get there are banned, ties by key. A key
+    belongs to one pool; a pool without a row has no member to ban.
+    """
+    counted = failures if exempt is None else failures.where(~F.coalesce(exempt, F.lit(False)))
+    banned = dead_keys_batch(counted, key=key, time=time, tie=tie, cap=cap)
+    if pools is None:
+        return banned
+    members = counted.groupBy(key).agg(F.min(pool).alias(pool))
+    ranked = position(banned.join(members, key), key=[pool], order=[time, key], name="__turn", start=1)
+    return ranked.join(pools.select(pool, F.col(size).alias("__size")), pool).where(F.col("__turn") < F.col("__size")).drop("__turn", "__size")
 
 
 def cooldowns(failures: DataFrame, *, key: str, time: str, seconds: int = 60) -> DataFrame:
@@ -104,69 +109,3 @@ def trailing_counts(rows: DataFrame, *, time: str, seconds: int, pool: str | Non
     window = W.partitionBy(*([pool] if pool else []), "__block").orderBy("__at").rangeBetween(-(width - 1), 0)
     counted = spread.withColumn("recent", F.count("*").over(window))
     return counted.where(F.col("__own") == F.col("__block")).drop("__at", "__own", "__block")
-
-
-class BanAlert(StatefulProcessor):
-    """Keep the ban times of the last ``seconds``; at ``threshold`` emit an alert and start over."""
-
-    def __init__(self, pool: str, time: str, seconds: int, threshold: int):
-        self.pool, self.time, self.seconds, self.threshold = pool, time, seconds, threshold
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.recent = handle.getListState("recent", T.StructType([T.StructField("at", T.TimestampType())]))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        recent = [pd.Timestamp(r[0]) for r in self.recent.get()]
-        alerts = []
-        for at in _sorted_times(rows, self.time):
-            recent = [t for t in recent if (at - t).total_seconds() < self.seconds] + [at]
-            if len(recent) >= self.threshold:
-                alerts.append((key[0], at, len(recent)))
-                recent = []
-        self.recent.put([(t.to_pydatetime(),) for t in recent])
-        if alerts:
-            yield pd.DataFrame(alerts, columns=[self.pool, self.time, "bans"])
-
-    def close(self) -> None:
-        pass
-
-
-def ban_alerts(bans: DataFrame, *, pool: str, time: str, seconds: int = 60, threshold: int = 10) -> DataFrame:
-    """Alert stream with reset. Bans are one row per key, already far fewer than failures."""
-    schema = T.StructType([T.StructField(pool, bans.schema[pool].dataType), T.StructField(time, T.TimestampType()), T.StructField("bans", T.LongType())])
-    stamped = bans.select(pool, F.col(time).cast("timestamp").alias(time))
-    return stamped.groupBy(pool).transformWithStateInPandas(
-        statefulProcessor=BanAlert(pool, time, seconds, threshold), outputStructType=schema, outputMode="Append", timeMode="None")
-
-
-class Debounce(StatefulProcessor):
-    """Pass a row only when ``seconds`` have gone by since the last row that passed."""
-
-    def __init__(self, key: str, time: str, seconds: float):
-        self.key, self.time, self.seconds = key, time, seconds
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", T.StructType([T.StructField("at", T.TimestampType())]))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last = pd.Timestamp(self.last.get()[0]) if self.last.exists() else None
-        passed = []
-        for at in _sorted_times(rows, self.time):
-            if last is None or (at - last).total_seconds() >= self.seconds:
-                passed.append(at)
-                last = at
-        if passed:
-            yield pd.DataFrame({self.key: key[0], self.time: passed})
-        if last is not None:
-            self.last.update((last.to_pydatetime(),))
-
-    def close(self) -> None:
-        pass
-
-
-def debounce(rows: DataFrame, *, key: str, time: str, seconds: float = 2.0) -> DataFrame:
-    """Leading-edge debounce per key, in arrival order of the micro-batches."""
-    schema = T.StructType([T.StructField(key, rows.schema[key].dataType), T.StructField(time, T.TimestampType())])
-    stamped = rows.select(key, F.col(time).cast("timestamp").alias(time))
-    return stamped.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=Debounce(key, time, seconds), outputStructType=schema, outputMode="Append", timeMode="None")

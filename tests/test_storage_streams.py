@@ -1,11 +1,17 @@
 import datetime as dt
 import json
+import random
+import tracemalloc
+from functools import partial
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from serialake.sources import jobs as job_io
 from serialake.sources import growing, tree, writers
-from serialake.streaming import jobs, runs, stateful
+from serialake.streaming import jobs, ordered, runs, stateful, timers
 
 
 def test_metadata_tree(spark, tmp_path):
@@ -84,10 +90,60 @@ def test_failure_machine_keeps_state_between_batches(spark, tmp_path):
     assert sorted((r["k"], r["ts"], r["failures"]) for r in got) == [("a", at(20), 3), ("hot", at(2), 3)]
 
 
+def ordered_rows(spark, sink, source, key_type="string"):
+    runs.run_batches(source, sink, name="t")
+    return sink.emitted(spark, T.StringType() if key_type == "string" else T.LongType()).collect()
+
+
 def test_ban_alert_resets(spark, tmp_path):
-    batches = [[("p", at(i)) for i in range(9)], [("p", at(10)), ("p", at(11))], [("p", at(12 + i)) for i in range(8)] + [("p", at(500))]]
-    got = runs.run_available(stateful.ban_alerts(stream(spark, tmp_path / "s", batches, "pool string, ts timestamp"), pool="pool", time="ts"), name="t").collect()
-    assert sorted((r["ts"], r["bans"]) for r in got) == [(at(10), 10)]
+    batches = [[("p", at(i)) for i in range(9)], [("p", at(10)), ("p", at(11)), (None, at(11)), ("q", None)], [("p", at(12 + i)) for i in range(8)] + [("p", at(500))]]
+    sink = ordered.alert_sink(str(tmp_path / "out"), pool="pool", time="ts")
+    got = ordered_rows(spark, sink, stream(spark, tmp_path / "s", batches, "pool string, ts timestamp"))
+    assert sorted((r["ts"], r["n"]) for r in got) == [(at(10), 10)]
+
+
+def test_ban_events(spark, tmp_path):
+    """Cooldowns by gap and by watermark, the last member of a pool stays, exempt keys are never banned, a banned key is not usable again."""
+    rows = [[("p", "a", at(i)) for i in (0, 10, 200)] + [("p", "b", at(i)) for i in (1, 2, 3)] + [("q", "x", at(i)) for i in (0, 1, 2)],
+            [("p", "c", at(300 + i)) for i in (1, 2, 3)] + [("p", "b", at(350)), ("r", "z", at(400)), ("q", "y", at(400)), ("p", "free", at(401)), ("p", "free", at(402)), ("p", "free", at(403))],
+            [("r", "z", at(1000))]]
+    pools = spark.createDataFrame([("p", 3), ("q", 1)], "pool string, size int")
+    source = stream(spark, tmp_path / "s", rows, "pool string, k string, ts timestamp")
+    exempt = F.when(F.col("k") == "free", True)  # unknown for all others
+    got = runs.run_available(timers.ban_events(source, pools, key="k", pool="pool", time="ts", exempt=exempt), name="t").collect()
+    assert sorted((r["ts"], r["k"], r["event"]) for r in got) == [
+        (at(3), "b", "ban"), (at(62), "x", "usable"), (at(70), "a", "usable"), (at(200), "a", "ban"), (at(363), "c", "usable"), (at(460), "y", "usable"), (at(460), "z", "usable"),
+        (at(463), "free", "usable")]
+    bans = runs.run_available(timers.ban_events(source, pools, key="k", pool="pool", time="ts"), name="t").where("event = 'ban'").select("pool", "ts")
+    bans.write.parquet(str(tmp_path / "bans"))  # the ban stream feeds the alert
+    sink = ordered.alert_sink(str(tmp_path / "alerts"), pool="pool", time="ts", seconds=300, threshold=2)
+    assert [(r["ts"], r["n"]) for r in ordered_rows(spark, sink, spark.readStream.schema(bans.schema).parquet(str(tmp_path / "bans")))] == [(at(200), 2)]
+
+
+def test_merged_failures_keep_what_counts():
+    """The combiner may merge failures of one cooldown, not the first ones and not across a free cooldown."""
+    times = [0, 1, 2, 3, 4, 50, 51, 200, 201, 202]
+    pdf = pd.DataFrame({"pool": "p", "key": "k", "first": times, "last": times}).sample(frac=1, random_state=1)
+    out, = timers.merge_failures(["pool", "key"], 3, 60)(iter([pdf]))
+    assert list(zip(out["first"], out["last"])) == [(0, 0), (1, 1), (2, 2), (3, 51), (200, 202)]
+
+
+def test_retry_rounds_equal_the_batch_at_any_clock(spark, tmp_path):
+    dice = random.Random(9)
+    rows = [(dice.choice("abcdef"), at(dice.randrange(0, 20_000)), dice.random() < 0.2) for _ in range(160)]
+    rows = sorted({(k, t): ok for k, t, ok in rows}.items(), key=lambda r: r[0][1])
+    rows = [(k, t, ok) for (k, t), ok in rows]
+    for n, clock in enumerate((4_000, 11_500, 40_000)):
+        now = at(clock)
+        known = [r for r in rows if r[1] <= now] + [("clock", now, True)]
+        cut = len(known) // 2
+        source = stream(spark, tmp_path / f"s{n}", [known[:cut], known[cut:]], "k string, ts timestamp, ok boolean")
+        emitted = runs.run_available(timers.retry_rounds(source, key="k", time="ts", ok=F.col("ok")), name="t").collect()
+        last = {k: max(r[1] for r in known if r[0] == k) for k, *_ in known}
+        current = {(r["k"], r["attempt"], r["round"], r["delay"], r["next_retry_at"]) for r in emitted if r["last_failure"] == last[r["k"]]}
+        table = spark.createDataFrame(known, "k string, ts timestamp, ok boolean")
+        due = jobs.due_retries(table.where("not ok"), table.where("ok"), key="k", time="ts", now=F.lit(now).cast("timestamp")).collect()
+        assert current == {(r["k"], r["attempt"], r["round"], r["delay"], r["next_retry_at"]) for r in due} and (n == 0 or len(due) > 2)
 
 
 def test_trailing_count_excludes_the_edge(spark):
@@ -97,33 +153,57 @@ def test_trailing_count_excludes_the_edge(spark):
 
 
 def test_ban_exemptions(spark):
-    df = spark.createDataFrame([("a", at(i), i) for i in range(4)] + [("b", at(i), i) for i in range(2)] + [("x", at(i), i) for i in range(3)], "k string, ts timestamp, i int")
-    bans = stateful.bans_batch(df, key="k", time="ts", tie="i", exempt=F.col("k") == "x")
-    assert [(r["k"], r["ts"]) for r in bans.collect()] == [("a", at(2))]
-    assert stateful.bans_batch(df, key="k", time="ts", tie="i", pool_size=1).count() == 0
+    df = spark.createDataFrame([("a", at(i), i, "p") for i in range(4)] + [("b", at(i), i, "p") for i in range(2)] + [("x", at(i), i, "p") for i in range(3)] + [("y", at(9 + i), i, "p") for i in range(3)]
+                               + [("one", at(i), i, "q") for i in range(3)], "k string, ts timestamp, i int, pool string")
+    spared = F.when(F.col("k") == "x", True)  # null for the others: no exemption
+    bans = stateful.bans_batch(df.where("pool = 'p'"), key="k", time="ts", tie="i", exempt=spared)
+    assert sorted((r["k"], r["ts"]) for r in bans.collect()) == [("a", at(2)), ("y", at(11))]
+    pools = spark.createDataFrame([("p", 2), ("q", 1)], "pool string, size int")
+    assert [(r["k"], r["ts"]) for r in stateful.bans_batch(df, key="k", time="ts", tie="i", pools=pools, exempt=spared).collect()] == [("a", at(2))]
 
 
 def test_debounce_compares_with_last_emitted(spark, tmp_path):
     batches = [[("k", at(0)), ("k", at(1.5)), ("k", at(2.5))], [("k", at(3)), ("k", at(4.5))]]
-    got = runs.run_available(stateful.debounce(stream(spark, tmp_path / "s", batches, "k string, ts timestamp"), key="k", time="ts", seconds=2), name="t").collect()
+    sink = ordered.debounce_sink(str(tmp_path / "out"), key="k", time="ts", seconds=2)
+    got = ordered_rows(spark, sink, stream(spark, tmp_path / "s", batches, "k string, ts timestamp"))
     assert sorted(r["ts"] for r in got) == [at(0), at(2.5), at(4.5)]
 
 
-def test_repeats_within_ttl(spark, tmp_path):
-    batches = [[("k", at(0)), ("k", at(100))], [("k", at(250)), ("z", at(260))]]
-    source = stream(spark, tmp_path / "s", batches, "k string, ts timestamp")
-    got = runs.run_available(jobs.suppress_repeats(source, key="k", time="ts"), name="t").collect()
-    assert sorted(r["k"] for r in got) == ["k", "z"]
-
-
-def test_repeats_pass_again_after_ttl(spark, tmp_path):
+def test_repeats_pass_again_after_their_time(spark, tmp_path):
     rows = [("k", at(0)), ("k", at(200)), ("k", at(1000)), ("k", at(1200)), ("k", at(5000))]
-    for n, batches in enumerate(([rows], [rows[:1], rows[1:4], rows[4:]])):
-        source = stream(spark, tmp_path / f"s{n}", batches, "k string, ts timestamp")
-        got = runs.run_available(jobs.suppress_repeats(source, key="k", time="ts", seconds=300), name="t").collect()
+    for n, batches in enumerate(([rows], [rows[:1], rows[1:4], rows[4:]], [[r] for r in rows])):
+        sink = ordered.suppress_sink(str(tmp_path / f"out{n}"), key="k", time="ts", seconds=300)
+        got = ordered_rows(spark, sink, stream(spark, tmp_path / f"s{n}", batches, "k string, ts timestamp"))
         assert sorted(r["ts"] for r in got) == [at(0), at(1000), at(5000)]
 
 
+def test_ordered_state_expires_and_replays(spark, tmp_path):
+    """Keys whose time is over leave the state; a batch written twice changes nothing."""
+    sink = ordered.suppress_sink(str(tmp_path / "out"), key="k", time="ts", seconds=300)
+    schema = "k bigint, ts timestamp"
+    sink(spark.createDataFrame([(i, at(i)) for i in range(50)], schema).coalesce(1), 0)
+    assert sink.states(spark, T.LongType(), 0).count() == 50
+    late = spark.createDataFrame([(1000, at(10_000)), (3, at(10_000))], schema)
+    for _ in range(2):
+        sink(late, 1)
+    assert sorted(r["key"] for r in sink.states(spark, T.LongType(), 1).collect()) == [3, 1000]
+    assert sink.emitted(spark, T.LongType()).count() == 52
+
+
+def test_hot_key_in_constant_memory():
+    """A million rows of one key pass through a machine that keeps a few times."""
+    def batches():
+        for start in range(0, 1_000_000, 10_000):
+            times = list(range(start * 1000, (start + 10_000) * 1000, 1000))
+            yield pa.RecordBatch.from_arrays([pa.array(["hot"] * 10_000), pa.array([False] * 10_000), pa.array([None] * 10_000, pa.list_(pa.int64())), pa.array(times, pa.int64())],
+                                             ["key", "old", "kept", "at"])
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in ordered._walk(partial(ordered.debounced, 2500), 0, pa.string(), batches()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 333_334 + 1 and peak < 40e6
+
+
 def test_retries_never_give_up(spark):
     rows = [("often", at(i)) for i in range(20)] + [("again", at(0)), ("again", at(9000)), ("fixed", at(0))]
     failures = spark.createDataFrame(rows, "k string, ts timestamp")
