@@ -83,6 +83,42 @@ def _(t):
     return detail.select("page_id", "title", F.size("categories").cast("bigint").alias("categories")).join(lang, "page_id")
 
 
+def reader_pages(customer):
+    """Detail pages of the second layout; totals come from an attribute, from ranges or from the part links."""
+    key, nation = F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string")
+    kind = F.col("c_custkey") % 3
+    parts = F.when(kind == 0, F.concat(F.lit('<ul class="main version-chap" data-last="chuong-'), key, F.lit('"></ul>'))) \
+        .when(kind == 1, F.concat(F.lit('<ul class="main version-chap"><li class="has-child" data-value="1-9"><a class="has-child">Chương 10 - 1</a></li><li class="has-child" data-value="11-'), key,
+                                  F.lit('1"><a class="has-child">new</a></li></ul>'))) \
+        .otherwise(F.lit('<ul class="version-chap"><li><a href="/c/1">a</a></li><li><a href="/c/2">b</a></li><li><a href="/c/1">a</a></li></ul>'))
+
+    def item(heading: str, value) -> list:
+        return [F.lit(f'<div class="post-content_item"><div class="summary-heading"><h3> {heading} </h3></div><div class="summary-content"><div>'), value, F.lit("</div></div></div>")]
+
+    html = F.concat(F.lit('<html><head><script type="application/ld+json">{"aggregateRating": {"ratingValue": "'), nation, F.lit('", "reviewCount": '), key,
+                    F.lit('}}</script></head><body class="single postid-'), key, F.lit('"><div class="post-title"><h1>  '), "c_name", F.lit(" </h1></div>"),
+                    *item("Loại", F.lit("other")), *item("Trạng thái", F.col("c_mktsegment")), F.lit('<div class="author-content"><a>Author '), nation,
+                    F.lit('</a></div><div class="description-summary"><div class="summary__content"><p>About '), key, F.lit('</p><script>no</script><p>and more</p></div></div><div class="genres-content"><a href="/g/'),
+                    nation, F.lit('">G'), nation, F.lit('</a> <a href="/g/all">All</a></div><div class="summary_image"><img src="/img/'), key, F.lit('.jpg"></div>'), parts, F.lit("</body></html>"))
+    return customer.select(F.col("c_custkey").alias("page_id"), F.lit("https://r.example/work").alias("url"), html.alias("html"))
+
+
+@q("b5_reader_detail", """select c_custkey as page_id, c_name as title, 'Author ' || c_nationkey as author, c_mktsegment as status, 'About ' || c_custkey || chr(10) || 'and more' as description,
+    'https://r.example/img/' || c_custkey || '.jpg' as cover, 'G' || c_nationkey || '=https://r.example/g/' || c_nationkey || ',All=https://r.example/g/all' as categories, '' as tags,
+    case c_custkey % 3 when 0 then c_custkey when 1 then greatest(10, 11, c_custkey * 10 + 1) else 2 end as total_parts, cast(c_custkey as varchar) as work_id, null::varchar as work_path,
+    cast(c_nationkey as varchar) as rating_value, nullif(cast(c_custkey as varchar), '0') as rating_count, '{}' as stats, 'reader' as source from customer""")
+def _(t):
+    detail = extract.work_detail(reader_pages(t.customer), rules.READER_DETAIL, status_heading=rules.READER_STATUS_HEADING, description_separator="\n", source=F.lit("reader"))
+    pairs = F.transform("categories", lambda c: F.concat(c["name"], F.lit("="), c["url"]))
+    return detail.withColumns({"categories": F.array_join(pairs, ","), "tags": F.array_join("tags", ","), "stats": F.to_json("stats")})
+
+
+@q("b12_page_ranges", """select c_custkey as page_id, 0 as pos, 1::bigint as "from", 10::bigint as "to" from customer where c_custkey % 3 = 1 union all
+    select c_custkey, 1, least(11, c_custkey * 10 + 1), greatest(11, c_custkey * 10 + 1) from customer where c_custkey % 3 = 1""")
+def _(t):
+    return extract.page_ranges(reader_pages(t.customer), rules.READER_RANGES)
+
+
 @q("b6_part_list", rf"""select page_id, title, url from (select page_id, name as title, {ORIGIN} || href as url,
     row_number() over (partition by page_id, href order by pos) as rn from {LINKS_SQL}) where rn = 1""")
 def _(t):
@@ -120,6 +156,28 @@ def _(t):
     return t.documents.select("doc_id", payload.embedded_payload(script).alias("payload"))
 
 
+_ESCAPED = "replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+_PARAGRAPHS = f"'<p>' || replace({_ESCAPED}, chr(10), '</p><p>') || '</p>'"
+
+
+def payload_pages(documents):
+    """Part pages that carry their text in the named script, in its attribute, in another script, or in the container."""
+    body = F.expr(_PARAGRAPHS)
+    noise = F.lit("<div class='ads'>Buy <div>now</div></div><div><p>listen</p><a href='/hdsd/xaudio.php'>audio</a></div><script>x</script>")
+    packed = _deflate(F.concat(body, noise))
+    kind = F.col("doc_id") % 4
+    shell = F.when(kind == 0, F.concat(F.lit("<script>var x = 1;</script><script id='decompress-script'>var base64 = '"), packed, F.lit("';</script>"))) \
+        .when(kind == 1, F.concat(F.lit("<script id='decompress-script' data-base64='"), packed, F.lit("'></script>"))) \
+        .when(kind == 2, F.concat(F.lit("<script id='decompress-script'>base64 = 'none'</script><script>page = {\"base64\": \""), packed, F.lit("\"}; pako.inflate(page)</script>"))) \
+        .otherwise(F.concat(F.lit("<div id='chapter-reading-content'><script>y</script>"), body, F.lit("</div>")))
+    return documents.select("doc_id", F.concat(F.lit("<html><body><h2> Part "), F.col("doc_id").cast("string"), F.lit(" </h2>"), shell, F.lit("</body></html>")).alias("html"))
+
+
+@q("b8_payload_pages", f"""select doc_id, 'Part ' || doc_id as title, case when doc_id % 4 = 3 then 'container' else 'payload' end as source, {BLOCKS.format(_PARAGRAPHS)} as text from documents""")
+def _(t):
+    return extract.reader_content(payload_pages(t.documents), rules.READER_CONTENT, page_id="doc_id").select("doc_id", "title", "source", "text")
+
+
 @q("b9_fragment_to_text", f"select page_id, {TO_TEXT.format(STRIP.format('html'))} as text from pages")
 def _(t):
     return t.pages.select("page_id", markup.fragment_to_text(markup.strip_code("html")).alias("text"))

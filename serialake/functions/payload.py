@@ -82,24 +82,34 @@ def unescape_all(text: pd.Series) -> pd.Series:
 
 
 class _NoiseFilter(HTMLParser):
-    """Re-emit markup except code and the subtrees of flagged classes."""
+    """Re-emit markup except code, the subtrees of flagged classes and the blocks around links to flagged addresses."""
 
     VOID = {"br", "img", "hr", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
 
-    def __init__(self, words: tuple[str, ...]):
+    def __init__(self, words: tuple[str, ...], exact: bool, links: tuple[str, ...]):
         super().__init__(convert_charrefs=False)
-        self.words, self.out, self.skipped = words, [], []
+        self.words, self.exact, self.links, self.out, self.skipped, self.divs = words, exact, links, [], [], []
 
     def _flagged(self, tag: str, attrs: list) -> bool:
         found = dict(attrs)
         classes = (found.get("class") or "").split()
-        return tag in ("script", "style") or "data-cl-spot" in found or any(w in c for c in classes for w in self.words)
+        return tag in ("script", "style") or "data-cl-spot" in found or any(w == c if self.exact else w in c for c in classes for w in self.words)
 
     def handle_starttag(self, tag, attrs):
         if self.skipped:
             if tag == self.skipped[0]:
                 self.skipped.append(tag)
-        elif self._flagged(tag, attrs):
+            return
+        if tag == "a" and dict(attrs).get("href") in self.links:
+            if self.divs:  # the block around it goes, with what was written of it
+                del self.out[self.divs.pop():]
+                self.skipped.append("div")
+            else:
+                self.skipped.append("a")
+            return
+        if tag == "div" and not self._flagged(tag, attrs):
+            self.divs.append(len(self.out))
+        if self._flagged(tag, attrs):
             if tag not in self.VOID:
                 self.skipped.append(tag)
         else:
@@ -111,6 +121,8 @@ class _NoiseFilter(HTMLParser):
 
     def handle_endtag(self, tag):
         if not self.skipped:
+            if tag == "div" and self.divs:
+                self.divs.pop()
             self.out.append(f"</{tag}>")
         elif tag == self.skipped[0]:
             self.skipped.pop()
@@ -126,16 +138,45 @@ class _NoiseFilter(HTMLParser):
         self.handle_data(f"&#{name};")
 
 
-def remove_noise(html: Column, class_words: tuple[str, ...] = ("ads", "notice", "box-notice")) -> Column:
-    """B10, tree-aware: drop code, comments and every subtree whose class holds a flagged word."""
+# Noise inside an inflated part.
+FRAGMENT_NOISE, AUDIO_LINKS = ("ads",), ("/hdsd/xaudio.php",)
+
+
+def _without_noise(page: str, words: tuple[str, ...], exact: bool = False, links: tuple[str, ...] = ()) -> str:
+    parser = _NoiseFilter(words, exact, links)
+    parser.feed(page)
+    parser.close()
+    return "".join(parser.out)
+
+
+def remove_noise(html: Column, class_words: tuple[str, ...] = ("ads", "notice", "box-notice"), *, exact: bool = False, links: tuple[str, ...] = ()) -> Column:
+    """B10, tree-aware: drop code, comments, every subtree whose class holds a flagged word (or is one, with ``exact``) and the nearest
+    ``div`` around a link to one of ``links`` (the link alone where there is none)."""
 
     @pandas_udf(T.StringType())
     def run(pages: pd.Series) -> pd.Series:
-        def one(page: str) -> str:
-            parser = _NoiseFilter(class_words)
-            parser.feed(page)
-            parser.close()
-            return "".join(parser.out)
-        return pages.map(one, na_action="ignore")
+        return pages.map(lambda page: _without_noise(page, class_words, exact, links), na_action="ignore")
 
     return run(html)
+
+
+def _literals(script: str) -> list[str]:
+    """``payload_candidates`` of one script, for callers that hold its text in Python."""
+    named = [m[2] for p in PAYLOAD_PATTERNS if (m := re.search(p, script))]
+    return named + sorted((m[2] for m in re.finditer(PAYLOAD_FALLBACK, script)), key=len, reverse=True)
+
+
+def fragment_of(scripts: list[dict]) -> str | None:
+    """B8 and B10 on a page's script elements (rank 0: the named one): the inflated fragment without its noise.
+
+    The named script is tried first, then those that mention ``base64`` or ``pako``; of a script its ``data-base64`` attribute comes
+    first, then the literals of its text. The first that inflates wins.
+    """
+    named = [s for s in scripts if s["rank"] == 0][:1]
+    spoken = [s for s in scripts if s["rank"] and s["pos"] not in [n["pos"] for n in named] and re.search("base64|pako", s["text"], re.I)]
+    for script in named + spoken:
+        for literal in [script["value"] or "", *_literals(script["text"])]:
+            fragment = _inflate(literal) if literal else None
+            if fragment:
+                return _without_noise(fragment, FRAGMENT_NOISE, True, AUDIO_LINKS)
+    return None

@@ -5,13 +5,14 @@ The wide ``html`` column is consumed by the first projection and never shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from serialake.functions import markup, text, urls
+from serialake.functions import markup, payload, text, urls
 from serialake.operators import nodes
 from serialake.operators.ordering import keep_first
 from serialake.rules import Rule
@@ -94,8 +95,12 @@ def listing_rows(pages: DataFrame, rules: Sequence[Rule], *, page_id: str = "pag
 
 
 def work_detail(pages: DataFrame, rules: Sequence[Rule], *, page_id: str = "page_id", url: str = "url", html: str = "html",
-                source: Column | None = None) -> DataFrame:
-    """One record per page; single fields take the first element of the best alternative, lists keep order."""
+                source: Column | None = None, status_heading: str | None = None, description_separator: str = " ") -> DataFrame:
+    """One record per page; single fields take the first element of the best alternative, lists keep order.
+
+    With ``status_heading`` the status is the ``status`` element of the first container whose ``status_heading`` text holds it. A total
+    is what the page states, else the last part's number, else the end of its last part range, else the number of its part links.
+    """
     found = F.col("found")
     categories = F.transform(
         F.filter(nodes.best_rank(nodes.of_field(found, "category")), lambda e: (e["text"] != "") & e["href"].isNotNull()),
@@ -110,18 +115,22 @@ def work_detail(pages: DataFrame, rules: Sequence[Rule], *, page_id: str = "page
     stats = ["likes", "views", "follows", "monthly_votes"]
     base = pages.select(page_id, F.col(url).alias("__base"), F.col(html).alias("__html"), nodes.find_elements(F.col(html), rules).alias("found"))
     rate = markup.rating(markup.json_ld(F.col("__html")))
-    described = F.filter(F.transform(nodes.best_rank(nodes.of_field(found, "description")), lambda e: _inline(e["text"])), lambda s: s != "")
+    lines = F.flatten(F.transform(nodes.best_rank(nodes.of_field(found, "description")), lambda e: F.split(e["text"], "\n")))
+    described = F.filter(F.transform(lines, _inline), lambda s: s != "")
+    status = nodes.first_text(found, "status") if status_heading is None else _beside(found, "status", "status_heading", status_heading)
+    links = F.array_distinct(F.transform(F.filter(nodes.best_rank(nodes.of_field(found, "part")), lambda e: e["href"] != ""), lambda e: e["href"]))
     return base.select(
         page_id,
         F.nullif(clean_title, F.lit("")).alias("title"),
         F.nullif(_inline(nodes.first_text(found, "author")), F.lit("")).alias("author"),
-        F.nullif(_inline(nodes.first_text(found, "status")), F.lit("")).alias("status"),
-        F.array_join(described, " ").alias("description"),
+        F.nullif(_inline(status), F.lit("")).alias("status"),
+        F.array_join(described, description_separator).alias("description"),
         F.when(nodes.first_value(found, "cover").isNotNull(), urls.absolute_url("__base", nodes.first_value(found, "cover"))).alias("cover"),
         F.transform(unique_categories, lambda c: F.struct(c["name"].alias("name"), c["url"].alias("url"))).alias("categories"),
         F.filter(F.transform(nodes.of_field(found, "tag"), lambda e: _inline(e["text"])), lambda s: s != "").alias("tags"),
         F.coalesce(text.digits_as_int(nodes.first_text(found, "total")),
-                   F.regexp_extract(nodes.first_value(found, "last_part"), r"([0-9]+)$", 1).try_cast("bigint")).alias("total_parts"),
+                   F.regexp_extract(nodes.first_value(found, "last_part"), r"([0-9]+)$", 1).try_cast("bigint"),
+                   F.array_max(F.transform(ranges_of(found), lambda r: r["to"])), F.nullif(F.size(links).cast("bigint"), F.lit(0))).alias("total_parts"),
         F.coalesce(F.nullif(markup.first_of(F.col("__html"), markup.WORK_ID_PATTERNS[:1]), F.lit("")), F.trim(nodes.first_value(found, "work_id")),
                    markup.first_of(F.col("__html"), markup.WORK_ID_PATTERNS[2:])).alias("work_id"),
         F.trim(nodes.first_value(found, "work_path")).alias("work_path"),
@@ -162,23 +171,87 @@ def main_content(pages: DataFrame, rules: Sequence[Rule], noise: Sequence[str],
     return found.select(page_id, joined.alias("text"), markup.paragraphs(joined).alias("content"))
 
 
+def reader_content(pages: DataFrame, rules: Sequence[Rule], *, page_id: str = "page_id", html: str = "html") -> DataFrame:
+    """B8, B10, B7 for pages that carry their text in a script: title, source (``payload`` or ``container``), content, text.
+
+    One tokenising pass gives the scripts and the container. The chosen script's payload is inflated and freed of noise; paragraphs stay,
+    breaks become paragraphs, bare text is wrapped line by line. Without a payload the container's text is taken; else all is null.
+    """
+    plain = nodes.plain_rules(rules)
+    key = pages.schema[page_id].dataType.simpleString()
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for page in pdf["html"]:
+                found = nodes.walk(page, plain, ())
+                titles = sorted((e["rank"], e["pos"], e["text"]) for e in found if e["field"] == "title" and e["text"])
+                held = [(e["rank"], e["text"]) for e in found if e["field"] == "content" and e["text"]]
+                best = min((rank for rank, _ in held), default=None)
+                rows.append((titles[0][2] if titles else None, payload.fragment_of([e for e in found if e["field"] == "script"]), "\n".join(t for rank, t in held if rank == best) or None))
+            titles, fragments, texts = zip(*rows) if rows else ((), (), ())
+            yield pd.DataFrame({"page": pdf["page"], **{n: pd.Series(list(v), dtype=object) for n, v in (("title", titles), ("fragment", fragments), ("held", texts))}})
+
+    found = pages.select(F.col(page_id).alias("page"), F.col(html).alias("html")).mapInPandas(read, f"page {key}, title string, fragment string, held string")
+    part = found.select(F.col("page").alias(page_id), "title", "held", F.trim(markup.squeeze_breaks("fragment")).alias("fragment"))
+    pieces = F.filter(F.transform(F.split("fragment", r"(?i)<br\s*/?>"), lambda x: text.uni_trim(x)), lambda x: x != "")
+    wrapped = F.array_join(F.transform(pieces, lambda x: F.concat(F.lit("<p>"), x, F.lit("</p>"))), "")
+    lower = F.lower("fragment")
+    content = F.when(lower.contains("<p"), F.col("fragment")).when(lower.contains("<br"), wrapped).otherwise(markup.paragraphs(markup.text_blocks("fragment")))
+    read_pages = part.select(page_id, F.nullif(_inline(F.col("title")), F.lit("")).alias("title"), F.nullif(content, F.lit("")).alias("inflated"), "held")
+    kind = F.when(F.col("inflated").isNotNull(), "payload").when(F.col("held").isNotNull(), "container")
+    shown = F.when(kind == "payload", markup.text_blocks("inflated")).otherwise(F.col("held"))
+    return read_pages.select(page_id, "title", kind.alias("source"), F.coalesce("inflated", markup.paragraphs("held")).alias("content"), shown.alias("text"))
+
+
+def _beside(found: Column, field: str, heading: str, phrase: str) -> Column:
+    """Text of the first ``field`` element in the first container whose first ``heading`` element holds ``phrase`` (and that has one)."""
+    headed = F.transform(F.filter(found, lambda e: (e["field"] == heading) & (e["nth"] == 0) & e["text"].contains(phrase)), lambda e: e["scope"])
+    held = F.filter(found, lambda e: (e["field"] == field) & (e["nth"] == 0) & F.array_contains(headed, e["scope"]))
+    return F.array_min(F.transform(held, lambda e: F.struct(e["scope"], e["text"])))["text"]
+
+
+def _range(label: Column, other: Column | None = None) -> Column:
+    """(from, to) of the first two integers of a label, else of the other text; null without any."""
+    def numbers(value: Column) -> Column:
+        return F.transform(F.regexp_extract_all(F.coalesce(value, F.lit("")), F.lit(r"([0-9]+)"), F.lit(1)), lambda s: s.try_cast("bigint"))
+
+    found = numbers(label) if other is None else F.when(F.size(numbers(label)) > 0, numbers(label)).otherwise(numbers(other))
+    a = F.try_element_at(found, F.lit(1))
+    b = F.coalesce(F.try_element_at(found, F.lit(2)), a)
+    return F.struct(F.least(a, b).alias("from"), F.greatest(a, b).alias("to"))
+
+
+def _ranges(made: Column) -> Column:
+    """Ranges in order without empty ones and without a repeat of the one before."""
+    filled = F.filter(made, lambda r: r["from"].isNotNull())
+    start = F.array().cast("array<struct<from:bigint,to:bigint>>")
+    return F.aggregate(filled, start, lambda done, r: F.when(F.try_element_at(done, F.lit(-1)).eqNullSafe(r), done).otherwise(F.array_append(done, r)))
+
+
+def ranges_of(found: Column) -> Column:
+    """Part ranges of a page's collapsible groups: the anchor's label, else the group's text, else its ``data-value``."""
+    anchors = F.filter(nodes.of_field(found, "range"), lambda e: e["nth"] == 0)
+
+    def one(group: Column) -> Column:
+        label = F.array_max(F.transform(F.filter(anchors, lambda a: a["scope"] == group["pos"]), lambda a: a["text"]))
+        return _range(F.coalesce(label, group["text"]), group["value"])
+
+    return _ranges(F.transform(nodes.of_field(found, "range_value"), one))
+
+
+def page_ranges(pages: DataFrame, rules: Sequence[Rule], *, page_id: str = "page_id", html: str = "html") -> DataFrame:
+    """(from, to) of every group of a page, in page order."""
+    found = pages.select(page_id, nodes.find_elements(F.col(html), rules).alias("found"))
+    return found.select(page_id, F.posexplode(ranges_of(F.col("found"))).alias("pos", "r")).select(page_id, "pos", "r.from", "r.to")
+
+
 def part_ranges(df: DataFrame, *, labels: Column, keep: Sequence[str]) -> DataFrame:
     """(from, to) of each label: one or two integers, swapped when reversed, consecutive repeats dropped.
 
     ``labels`` is an array of label strings in page order; a label without digits gives nothing.
     """
-    def parsed(label: Column) -> Column:
-        numbers = F.transform(F.regexp_extract_all(label, F.lit(r"([0-9]+)"), F.lit(1)), lambda s: s.try_cast("bigint"))
-        a = F.try_element_at(numbers, F.lit(1))
-        b = F.coalesce(F.try_element_at(numbers, F.lit(2)), a)
-        return F.struct(F.least(a, b).alias("from"), F.greatest(a, b).alias("to"))
-
-    ranges = F.filter(F.transform(labels, parsed), lambda r: r["from"].isNotNull())
-    rows = df.select(*keep, ranges.alias("r"))
-    shifted = F.concat(F.array(F.lit(None).cast("struct<from:bigint,to:bigint>")), F.col("r"))
-    pairs = F.filter(F.arrays_zip(F.col("r").alias("now"), F.slice(shifted, F.lit(1), F.size("r")).alias("before")),
-                     lambda p: ~p["now"].eqNullSafe(p["before"]))
-    return rows.select(*keep, F.posexplode(F.transform(pairs, lambda p: p["now"])).alias("pos", "x")).select(*keep, "pos", "x.from", "x.to")
+    return df.select(*keep, F.posexplode(_ranges(F.transform(labels, lambda s: _range(s)))).alias("pos", "x")).select(*keep, "pos", "x.from", "x.to")
 
 
 def sorted_ranges(col: Column) -> Column:

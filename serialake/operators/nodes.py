@@ -128,7 +128,7 @@ class _Walker(HTMLParser):
         attrs = element["attrs"]
         row = {"field": field, "container_rank": container_rank, "rank": rank, "scope": scope, "nth": nth, "pos": element["seq"],
                "tag": element["tag"], "text": "", "href": attrs.get("href"), "title": attrs.get("title"),
-               "value": next((attrs[a] for a in ("content", "value", "src", "data-last", "data-value") if attrs.get(a)), None),
+               "value": next((attrs[a] for a in ("data-base64", "content", "value", "src", "data-last", "data-value") if attrs.get(a)), None),
                "list_classes": lists[-1] if lists else None}
         self.found.append(row)
         element["open"].append((row, []))
@@ -162,7 +162,7 @@ class _Walker(HTMLParser):
         return self.found
 
 
-def _walk(html: str | None, rules: Sequence[tuple], noise: Sequence[str]) -> list[dict]:
+def walk(html: str | None, rules: Sequence[tuple], noise: Sequence[str]) -> list[dict]:
     if not html or not rules:
         return []
     walker = _Walker(rules, noise)
@@ -170,14 +170,17 @@ def _walk(html: str | None, rules: Sequence[tuple], noise: Sequence[str]) -> lis
     return walker.finish()
 
 
+def plain_rules(rules: Sequence[Rule]) -> tuple:
+    return tuple((r.field, r.selector, r.rank, r.container, r.container_rank) for r in rules)
+
+
 def find_elements(html: Column, rules: Sequence[Rule], noise: Sequence[str] = ("script", "style")) -> Column:
     """Elements of each page that match ``rules``, in page order; text parts are joined by newlines."""
-    plain = tuple((r.field, r.selector, r.rank, r.container, r.container_rank) for r in rules)
-    noise = tuple(noise)
+    plain, noise = plain_rules(rules), tuple(noise)
 
     @pandas_udf(FOUND)
     def find(pages: pd.Series) -> pd.Series:
-        return pages.map(lambda page: _walk(page, plain, noise))
+        return pages.map(lambda page: walk(page, plain, noise))
 
     return find(html)
 
@@ -190,7 +193,7 @@ def find_elements_by_row(html: Column, rules: Column, noise: Sequence[str] = ("s
     def find(pages: pd.Series, rule_rows: pd.Series) -> pd.Series:
         def plain(rows) -> tuple:
             return tuple((r["field"], r["selector"], r["rank"], r["container"], r["container_rank"]) for r in rows) if rows is not None else ()
-        return pd.Series([_walk(page, plain(rows), noise) for page, rows in zip(pages, rule_rows)])
+        return pd.Series([walk(page, plain(rows), noise) for page, rows in zip(pages, rule_rows)])
 
     return find(html, rules)
 

@@ -88,7 +88,8 @@ CATALOG_DETAIL = [
 READER_DETAIL = [
     Rule("title", ".post-title h1, h1.post-title, h1.entry-title"),
     Rule("author", ".author-content a, .author-name a"),
-    Rule("status", ".post-status .summary-content div"),
+    Rule("status_heading", ".summary-heading h3", 0, ".post-content_item"),
+    Rule("status", ".summary-content div", 0, ".post-content_item"),
     Rule("description", ".description-summary .summary__content"),
     Rule("cover", ".summary_image img, .tab-summary img, .summary_image a img"),
     Rule("category", ".genres-content a[href]"),
@@ -102,10 +103,12 @@ READER_PARTS = [
     Rule("part", "ul.main li.wp-manga-chapter a[href]", 1),
     Rule("part", "li.wp-manga-chapter a[href]", 2),
 ]
+READER_STATUS_HEADING = "Trạng thái"
 READER_RANGES = [
-    Rule("range", "ul.version-chap > li.has-child[data-value] a.has-child"),
+    Rule("range", "a.has-child", 0, "ul.version-chap > li.has-child[data-value]"),
     Rule("range_value", "ul.version-chap > li.has-child[data-value]"),
 ]
+READER_DETAIL += [*READER_RANGES, *READER_PARTS]
 
 CATALOG_CONTENT = [
     Rule("content", "div.chapter-c-content div.box-chap"),
@@ -113,7 +116,13 @@ CATALOG_CONTENT = [
     Rule("content", "div#chapter-content, div.chapter-content", 2),
 ]
 CATALOG_CONTENT_NOISE = [".left-control", ".panel-box", ".panel-setting", ".panel-catalog", ".chapter-comment", "script", "style"]
-READER_CONTENT = [Rule("content", "#chapter-reading-content")]
+READER_CONTENT = [
+    Rule("script", "script#decompress-script"),
+    Rule("script", "script", 1),
+    Rule("title", "h2"),
+    Rule("title", "h1#chapter-heading", 1),
+    Rule("content", "#chapter-reading-content"),
+]
 
 LATEST_PARTS = [Rule("heading", "h3", 0, "div.volume-wrap div.volume"), Rule("part", "ul li a[href]", 0, "div.volume-wrap div.volume")]
 

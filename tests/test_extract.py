@@ -138,3 +138,43 @@ def test_direct_child_selector(spark):
     html = "<ul class='v'><li data-value='1'><a class='c'>1-2</a></li><div><li data-value='2'><a class='c'>3</a></li></div></ul>"
     found = pages(spark, html).select(nodes.find_elements(F.col("html"), [Rule("r", "ul.v > li[data-value] a.c")]).alias("f")).first()["f"]
     assert [e["text"] for e in found] == ["1-2"]
+
+
+READER = """<html><body class="single postid-77"><div class="post-title"><h1> A  Title </h1></div>
+<div class="post-content_item"><div class="summary-heading"><h3>Tác giả</h3></div><div class="summary-content"><div>Nobody</div></div></div>
+<div class="post-content_item"><div class="summary-heading"><h3> Trạng thái </h3></div><div class="summary-content"><div>Hoàn <b>thành</b></div></div></div>
+<div class="author-content"><a>Au</a></div><div class="description-summary"><div class="summary__content"><p>One <i>x</i></p><script>no</script><p>Two</p></div></div>
+<div class="genres-content"><a href="/g/1">G1</a><a href="/g/2">G2</a></div><div class="summary_image"><img src="/c.jpg"></div>{0}</body></html>"""
+GROUPS = ("<ul class='main version-chap'><li class='has-child' data-value='1-100'><a class='has-child' href='#'>Chương 100 - 1</a><ul><li class='wp-manga-chapter'><a href='/c/1'>x</a></li></ul></li>"
+          "<li class='has-child' data-value='101-200'><a class='has-child'>mới</a></li><li class='has-child' data-value='101-200'></li><li class='has-child' data-value='5'>201 → 280</li></ul>")
+
+
+def test_second_layout_detail_and_ranges(spark):
+    frame = pages(spark, READER.format(GROUPS), READER.format("<ul class='main version-chap' data-last='chuong-12'></ul>"), READER.format(""))
+    got = extract.work_detail(frame, rules.READER_DETAIL, status_heading=rules.READER_STATUS_HEADING, description_separator="\n").orderBy("page_id").collect()
+    assert [r["total_parts"] for r in got] == [280, 12, None]
+    row = got[0]
+    assert (row["title"], row["author"], row["status"], row["description"], row["cover"], row["work_id"]) == ("A Title", "Au", "Hoàn thành", "One\nx\nTwo", "https://h.example/c.jpg", "77")
+    assert [c["name"] for c in row["categories"]] == ["G1", "G2"]
+    ranges = extract.page_ranges(frame, rules.READER_RANGES).orderBy("page_id", "pos").collect()
+    assert [(r["page_id"], r["from"], r["to"]) for r in ranges] == [(0, 1, 100), (0, 101, 200), (0, 201, 280)]
+
+
+def packed(body):
+    import base64
+    import zlib
+    return base64.b64encode(zlib.compress(body.encode())).decode()
+
+
+def test_reader_content(spark):
+    ads = "<div class='ads'>Buy <div>now</div></div><div><p>listen</p><a href='/hdsd/xaudio.php'>audio</a> more</div>"
+    shells = [
+        f"<h2>T</h2><script>pako('{packed('<p>wrong</p>')}')</script><script id='decompress-script'>var base64 = \"{packed('<p>One &amp; two</p>' + ads + '<p>three</p><script>x</script>')}\"</script>",
+        f"<script id='decompress-script' data-base64='{packed('a<br/><br>&nbsp;<br><br>b')}'></script><div id='chapter-reading-content'>no</div>",
+        f"<script>var other = 1</script><script>pako.inflate('{packed('line one' + chr(10) + ' '.join(map(str, range(200))))}')</script>",
+        "<h1 id='chapter-heading'>H</h1><script id='decompress-script'>base64='!!'</script><div id='chapter-reading-content'><p>kept</p><script>no</script><p>too</p></div>",
+        "<p>nothing</p>", None]
+    got = extract.reader_content(pages(spark, *shells), rules.READER_CONTENT).orderBy("page_id").collect()
+    assert [(r["title"], r["source"], r["text"]) for r in got] == [
+        ("T", "payload", "One & two\nthree"), (None, "payload", "a\nb"), (None, "payload", "line one\n" + " ".join(map(str, range(200)))), ("H", "container", "kept\ntoo"), (None, None, None), (None, None, None)]
+    assert got[0]["content"] == "<p>One &amp; two</p><p>three</p>" and got[1]["content"] == "<p>a</p><p>b</p>" and got[3]["content"] == "<p>kept</p><p>too</p>"
