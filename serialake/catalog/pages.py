@@ -14,7 +14,7 @@ from serialake import rules
 from serialake.catalog.registry import Catalog
 from serialake.catalog.scalars import COLLAPSE, D1_SQL, NAV_SQL, PAGE_TITLE, RULES, UNESCAPE
 from serialake.functions import markup, payload, text, urls
-from serialake.operators import extract, nodes
+from serialake.operators import chains, extract, nodes
 from serialake.plans import cleaning
 from serialake.rules import Rule
 
@@ -247,6 +247,33 @@ def _(t):
     return extract.profile_listing(live, rules=rules.profile_rules()).select("page_id", "title", "url")
 
 
+def listing_pages(pages):
+    """Seven pages a listing: even ones link their next page (every sixth in a circle), odd ones count by a pattern; some have a gap."""
+    number, k = F.expr("page_id div 7"), F.col("page_id") % 7
+    url = lambda at: F.concat(F.lit("https://l.example/list"), number.cast("string"), F.when(at > 0, F.concat(F.lit("?p="), (at + 1).cast("string"))).otherwise(F.lit("")))
+    following = F.when(k < 6, url(k + 1)).when(number % 6 == 0, url(F.lit(0)))
+    html = F.concat(F.lit("<body><a href='/x'>x</a>"), F.coalesce(F.concat(F.lit("<div class='pager'><a class='next' href='"), following, F.lit("'>next</a></div>")), F.lit("")), F.col("html"))
+    odd = number % 2 == 1
+    return pages.where(~((k == 3) & (number % 5 == 1) & (number % 6 != 0))).select(
+        "page_id", url(k).alias("url"), html.alias("html"), F.when(odd, F.lit("?p={n}")).alias("next_pattern"), F.when(~odd, F.lit(".pager a.next")).alias("next_selector"))
+
+
+_CHAIN_SQL = """(select page_id, page_id // 7 as n, page_id % 7 as k, case when page_id % 7 > 3 and (page_id // 7) % 5 = 1 and (page_id // 7) % 6 <> 0 then 4 else 0 end as head,
+    (page_id // 7) % 6 = 0 and count(*) over (partition by page_id // 7) = 7 as cyclic from pages where not (page_id % 7 = 3 and (page_id // 7) % 5 = 1 and (page_id // 7) % 6 <> 0))"""
+_LIST_URL = "'https://l.example/list' || n || case when {0} > 0 then '?p=' || ({0} + 1) else '' end"
+
+
+@q("b15_ranked_pages", f"""select page_id, {_LIST_URL.format('k')} as url, {_LIST_URL.format('head')} as listing, (k - head)::bigint as place, cyclic from {_CHAIN_SQL}""")
+def _(t):
+    return chains.ranked_pages(chains.next_urls(listing_pages(t.pages))).drop("next_url")
+
+
+@q("b15_listings", f"""select {_LIST_URL.format('head')} as listing, count(*) as pages, bool_or(cyclic) as cyclic, max(k) = 6 and n % 2 = 0 and not bool_or(cyclic) and n % 6 <> 0 as complete,
+    case when not bool_or(cyclic) and (max(k) < 6 or n % 2 = 1) then 'https://l.example/list' || n || '?p=' || (max(k) + 2) end as open_url from {_CHAIN_SQL} group by n, head""")
+def _(t):
+    return chains.listings(chains.ranked_pages(chains.next_urls(listing_pages(t.pages))))
+
+
 CLEANED_SQL = f"""(select page_id, {HOST} as host, coalesce({D1_SQL.format(BLOCKS.format(ARTICLE))}, '') as text from pages)"""
 
 

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from serialake import rules
-from serialake.operators import extract, nodes
+from serialake.operators import chains, extract, nodes
 from serialake.plans import cleaning
 from serialake.rules import Rule
 
@@ -178,3 +178,44 @@ def test_reader_content(spark):
     assert [(r["title"], r["source"], r["text"]) for r in got] == [
         ("T", "payload", "One & two\nthree"), (None, "payload", "a\nb"), (None, "payload", "line one\n" + " ".join(map(str, range(200)))), ("H", "container", "kept\ntoo"), (None, None, None), (None, None, None)]
     assert got[0]["content"] == "<p>One &amp; two</p><p>three</p>" and got[1]["content"] == "<p>a</p><p>b</p>" and got[3]["content"] == "<p>kept</p><p>too</p>"
+
+
+def test_ranked_pages_against_walks(spark):
+    """Random links: chains of any length, cycles, self links, shared next pages, repeated urls, pages never landed."""
+    import random
+    dice = random.Random(6)
+    rows = [(i, f"u{i}", dice.choice([None, f"u{dice.randrange(70)}", f"u{i + 1}", f"u{i + 1}"])) for i in range(60)]
+    rows += [(100 + i, f"v{i}", f"v{i + 1}") for i in range(40)] + [(200 + i, f"c{i}", f"c{(i + 1) % 9}") for i in range(9)] + [(300, "self", "self"), (301, "u3", "u9"), (None, "x", None)]
+    known = {}
+    for i, url, following in sorted((r for r in rows if r[0] is not None)):
+        known.setdefault(url, (i, following))
+    leader = {}
+    for url, (i, following) in sorted(known.items(), key=lambda kv: kv[1][0]):
+        if following in known:
+            leader.setdefault(following, url)
+    want = {}
+    for url, (i, following) in known.items():
+        walk, at = [url], url
+        while at in leader and leader[at] not in walk:
+            at = leader[at]
+            walk.append(at)
+        if leader.get(at) in walk:  # a cycle: its smallest page is first
+            cycle = walk[walk.index(leader[at]):]
+            head = min(cycle, key=lambda u: known[u][0])
+            at, steps = url, 0
+            while at != head:
+                at, steps = leader[at], steps + 1
+            want[i] = (head, steps, True)
+        else:
+            want[i] = (at, len(walk) - 1, False)
+    got = chains.ranked_pages(spark.createDataFrame(rows, "page_id bigint, url string, next_url string"))
+    assert {r["page_id"]: (r["listing"], r["place"], r["cyclic"]) for r in got.collect()} == want
+
+
+def test_next_urls(spark):
+    link = "<div class='p'><a href=''>no</a><a class='n' href='/l?page=3'>next</a></div>"
+    rows = [(0, "https://h/l", "", "?page={n}", None), (1, "https://h/l?page=2", "", "?page={n}", None), (2, "https://h/l?s=1", "", "?page={n}", None), (3, "https://h/l/", "", "page/{n}", None),
+            (4, "https://h/l/page/9/", "", "page/{n}/", None), (5, "https://h/l", link, None, ".p a[href]"), (6, "https://h/l", "<p>none</p>", "", ".p a"), (7, "https://h/l", link, None, None), (8, "https://h/l", link, "fixed", ".p a")]
+    frame = spark.createDataFrame(rows, "page_id int, url string, html string, next_pattern string, next_selector string")
+    assert {r["page_id"]: r["next_url"] for r in chains.next_urls(frame).collect()} == {
+        0: "https://h/l?page=2", 1: "https://h/l?page=3", 2: "https://h/l?s=1&page=2", 3: "https://h/l/page/2", 4: "https://h/l/page/10/", 5: "https://h/l?page=3", 6: None, 7: None, 8: None}
