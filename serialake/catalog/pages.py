@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import base64
+import html as html_lib
+import re
 import zlib
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
@@ -14,7 +17,7 @@ from serialake import rules
 from serialake.catalog.registry import Catalog
 from serialake.catalog.scalars import COLLAPSE, D1_SQL, NAV_SQL, PAGE_TITLE, RULES, UNESCAPE
 from serialake.functions import markup, payload, text, urls
-from serialake.operators import chains, extract, nodes
+from serialake.operators import chains, extract, nodes, plugins
 from serialake.plans import cleaning
 from serialake.rules import Rule
 
@@ -329,3 +332,22 @@ def _(t):
     site_rules = F.coalesce(sites.rules_by_site("parts")[F.col("site_key")], F.array().cast(f"array<{rules.RULE_TYPE}>"))
     found = keyed.select("page_id", "url", F.explode(nodes.find_elements_by_row(F.col("html"), site_rules)).alias("e"))
     return found.select("page_id", text.collapse_space("e.text").alias("title"), urls.absolute_url("url", "e.href").alias("url"))
+
+
+def _titles(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Extractor with code of its own: the title element by a pattern."""
+    found = [re.search(r"(?is)<title[^>]*>(.*?)</title>", page or "") for page in batch.column("html").to_pylist()]
+    rows = [(page, "title", 0, " ".join(html_lib.unescape(m[1]).split())) for page, m in zip(batch.column("page_id").to_pylist(), found) if m]
+    ids, fields, places, texts = zip(*rows) if rows else ((),) * 4
+    # Another order and types than agreed, and no link.
+    return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.nulls(len(ids), pa.string()), pa.array(fields, pa.string()), pa.array(places, pa.int64()), pa.array(ids, pa.int64())],
+                                      ["text", "href", "field", "pos", "page_id"])
+
+
+@q("k1_site_extractors", rf"""select page_id, 'part' as field, name as text, href from {LINKS_SQL} where {HOST} like '%.com'
+    union all select page_id, 'title', {PAGE_TITLE}, null from pages where {HOST} like '%.net'""")
+def _(t):
+    keyed = t.pages.withColumn("site_key", F.substring_index(urls.host("url"), ".", -1))
+    sites = {"com": plugins.rule_extractor([Rule("part", "nav li a[href]")]), "net": _titles}
+    found = plugins.extract_by_site(keyed, sites, "page_id bigint, field string, pos int, text string, href string", columns=["page_id", "html"])
+    return found.select("page_id", "field", text.collapse_space("text").alias("text"), "href")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from serialake import fixed, schemas
 from serialake.functions import lines, markup, text
-from serialake.operators import filters, merging
+from serialake.operators import filters
 from serialake.operators.ordering import keep_first
 
 
@@ -81,15 +81,20 @@ def due_retries(failures: DataFrame, succeeded: DataFrame, *, key: str, time: st
     return planned.withColumn("next_retry_at", F.col("last_failure") + F.make_dt_interval(secs=F.col("delay"))).where(F.col("next_retry_at") <= now)
 
 
-def retry_results(jobs: DataFrame, pages: DataFrame, *, category: Column | None = None) -> DataFrame:
-    """Retry jobs with the landed page of their url: outcome and, for good pages, the body to store.
+def retry_results(jobs: DataFrame, pages: DataFrame, *, page_id: str = "page_id", landed: str | None = None, category: Column | None = None) -> DataFrame:
+    """Retry jobs with the latest landed page of their url: outcome and, for good pages, the body to store.
 
-    Invalid jobs are rejected before the join; the stored body is text, not markup.
+    Invalid jobs are rejected before the join; the stored body is text, not markup. Of several landings the one with the greatest
+    ``landed`` counts (ties and default: the greatest ``page_id``, which names a row). Urls meet jobs as hashes beside row ids; ``html``
+    is read afterwards, by row id, for the pages that are needed.
     """
     site = F.coalesce(F.nullif("site", F.lit("")), "site_key")
     valid = jobs.withColumn("site", site).where(filters.is_valid_job(["site", "chapter_url", "chapter_title", "story_title", "filename"]))
-    landed = pages.select(F.col("url").alias("chapter_url"), "html")
-    joined = valid.join(landed, "chapter_url", "left")
+    order = F.struct(F.col(landed or page_id), F.col(page_id))
+    newest = pages.where("url is not null").groupBy(F.xxhash64("url").alias("__hash"), F.sha1(F.col("url").cast("binary")).alias("__digest")).agg(F.max_by(F.col(page_id), order).alias("__row"))
+    hashed = valid.withColumns({"__hash": F.xxhash64("chapter_url"), "__digest": F.sha1(F.col("chapter_url").cast("binary"))})
+    placed = hashed.join(newest, ["__hash", "__digest"], "left")
+    joined = placed.join(pages.select(F.col(page_id).alias("__row"), "html"), "__row", "left")
     body = markup.fragment_to_text(F.coalesce(markup.container(markup.strip_code("html")), markup.strip_code("html")))
     keep = ["filename", "chapter_url", "chapter_title", "story_title", "site"]
     # Steps, so that each expensive expression is evaluated once per row.
@@ -101,23 +106,27 @@ def retry_results(jobs: DataFrame, pages: DataFrame, *, category: Column | None
 
 
 def retry_sink(store: str, label_path: str):
-    """``foreachBatch`` writer: label each good result against the store (I1), append what is new or changed.
+    """``foreachBatch`` writer: label each good result against what was stored (I1), append what is new or changed.
 
-    The store is append-only by batch folder, newest batch wins on read, so replaying a batch is harmless.
+    The store is append-only by batch folder, newest batch wins on read, so replaying a batch is harmless. Labels come from a register
+    of (file, content hash) per batch beside it; the stored texts are not read again.
     """
+    register = f"{store}-register"
+
     def write(batch: DataFrame, batch_id: int) -> None:
         from serialake.sources.tree import _existing, latest_versions
 
         spark = batch.sparkSession
         good = keep_first(batch.where("outcome = 'ok'").select("filename", "text"), key=["filename"], order=["text"])
-        good = good.withColumn("text", lines.drop_leading_headers("text"))
-        if _existing(spark, store):
-            earlier = spark.read.parquet(store).where(F.col("batch") < batch_id)
-            stored = latest_versions(earlier, key=["filename"], version="batch").select("filename", "text")
-        else:
-            stored = good.limit(0)
-        labels = merging.change_labels(stored, good, key=["filename"], content="text")
-        changed = good.join(labels.where("label in ('new', 'updated')").select("filename"), "filename", "left_semi")
-        labels.write.mode("overwrite").parquet(f"{label_path}/batch={batch_id}")
-        changed.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+        good = good.withColumn("text", lines.drop_leading_headers("text")).withColumn("hash", text.content_hash("text"))
+        known = spark.createDataFrame([], "filename string, __old string")
+        if _existing(spark, register):
+            earlier = spark.read.schema("filename string, hash string, batch bigint").parquet(register).where(F.col("batch") < batch_id)
+            known = latest_versions(earlier, key=["filename"], version="batch").select("filename", F.col("hash").alias("__old"))
+        label = F.when(F.col("__old").isNull(), "new").when(F.col("__old") == F.col("hash"), "unchanged").otherwise("updated")
+        labelled = good.join(known, "filename", "left").withColumn("label", label).drop("__old")
+        changed = labelled.where("label <> 'unchanged'")
+        labelled.select("filename", "hash", "label").write.mode("overwrite").parquet(f"{label_path}/batch={batch_id}")
+        changed.select("filename", "text").write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+        changed.select("filename", "hash").write.mode("overwrite").parquet(f"{register}/batch={batch_id}")
     return write

@@ -6,10 +6,12 @@ from functools import partial
 
 import pandas as pd
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from serialake.sources import jobs as job_io
+from serialake.operators import plugins
 from serialake.sources import growing, tree, writers
 from serialake.streaming import jobs, ordered, runs, stateful, timers
 
@@ -278,3 +280,45 @@ def test_growing_log_in_pieces(tmp_path):
         assert [r[0] for r in got] == lines and all(text[p:].startswith(line.encode() + b"\n") for line, _, p in got)
     late = growing.GrowingLogReader({"path": str(tmp_path), "startingOffsets": "latest"})
     assert growing.additions(late.initialOffset()["files"], late.latestOffset()["files"]) == []
+
+
+def test_retry_takes_the_latest_landing(spark, tmp_path):
+    rows = [(1, "u1", "<article><p>old</p></article>", 5), (2, "u1", "<article><p>new</p></article>", 9), (3, "u1", "<article><p>older</p></article>", 1), (4, None, "x", 1), (5, "u2", "", 1)]
+    landed = spark.createDataFrame(rows, "page_id bigint, url string, html string, at int")
+    asked = spark.createDataFrame([(f"f{u}", u) for u in ("u1", "u2", "u3")], "filename string, chapter_url string").selectExpr(
+        "*", "'s' as site", "cast(null as string) as site_key", "'c' as chapter_title", "'t' as story_title")
+    for by, body in (("at", "new"), (None, "older")):
+        got = {r["filename"]: (r["outcome"], (r["text"] or "").rsplit("\n", 1)[-1]) for r in jobs.retry_results(asked, landed, landed=by).collect()}
+        assert got == {"fu1": ("ok", body), "fu2": ("not_landed", ""), "fu3": ("not_landed", "")}
+    write = jobs.retry_sink(str(tmp_path / "store"), str(tmp_path / "labels"))
+    for batch_id, words in ((0, "a"), (1, "a"), (1, "a"), (2, "b"), (3, "a")):
+        write(spark.createDataFrame([("f", "ok", words)], "filename string, outcome string, text string"), batch_id)
+    assert [r["label"] for r in spark.read.parquet(str(tmp_path / "labels")).orderBy("batch").collect()] == ["new", "unchanged", "updated", "updated"]
+
+
+def test_batches_are_appended_once(spark, tmp_path):
+    path, schema = str(tmp_path / "m"), "k bigint, g string"
+    assert writers.read_batches(spark, path, schema).count() == 0
+    rows = spark.createDataFrame([(1, "x"), (2, "y")], schema)
+    assert [writers.append_batch(rows, path, batch=b, by=["g"]) for b in ("1", "1", "2")] == [True, False, True]
+    rows.write.parquet(f"{path}/batch=3")  # a run that broke off before its manifest entry
+    assert sorted((r["k"], r["g"], r["batch"]) for r in writers.read_batches(spark, path, schema).collect()) == [(1, "x", "1"), (1, "x", "2"), (2, "y", "1"), (2, "y", "2")]
+    assert writers.append_batch(rows.where("k = 1"), path, batch="3", by=["g"]) and writers.read_batches(spark, path, schema).where("batch = 3").count() == 1
+    report = str(tmp_path / "r")
+    for batch in ("a", "a", "b"):
+        writers.append_missing_report(spark.createDataFrame([("T", "f", 3)], "title string, folder string, missing bigint"), report, batch=batch)
+    assert [tuple(r) for r in writers.read_missing_report(spark, report).collect()] == [("T", "f", 3)] * 2
+
+
+def test_site_extractors(spark):
+    frame = spark.createDataFrame([(1, "a", "<p>x</p>"), (2, "b", "<p>y</p>"), (3, None, "z"), (4, "c", "w"), (5, "a", None)], "page_id bigint, site_key string, html string")
+
+    def lengths(batch):
+        yield pa.RecordBatch.from_arrays([pa.array([len(h or "") for h in batch.column("html").to_pylist()], pa.int64()), batch.column("page_id")], ["n", "page_id"])
+
+    def broken(batch):
+        return pa.RecordBatch.from_arrays([batch.column("page_id")], ["page_id"])
+    got = plugins.extract_by_site(frame, {"a": lengths, "b": lengths}, "page_id bigint, n int").collect()
+    assert sorted(map(tuple, got)) == [(1, 8), (2, 8), (5, 0)]
+    with pytest.raises(Exception, match="extractor of b"):
+        plugins.extract_by_site(frame, {"b": broken}, "page_id bigint, n int").collect()
