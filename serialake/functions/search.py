@@ -15,11 +15,18 @@ def constant_longs(values: Sequence[int]) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
-def count_not_above(cuts: Sequence[int], key: Column) -> Column:
-    """How many of the ascending ``cuts`` are ``<= key``: a binary search, about log2(cuts) steps a row."""
-    if not cuts:
+def count_not_above(table: Column | Sequence[int], size_or_key, key: Column | None = None) -> Column:
+    """How many of the ascending cut points are ``<= key``: a binary search, about log2(cut points) steps a row.
+
+    ``count_not_above(cuts, key)`` for a list of longs, ``count_not_above(table, size, key)`` for a constant array of any type.
+    """
+    if key is None:
+        cuts, key = table, size_or_key
+        table, size = constant_longs(cuts), len(cuts)
+    else:
+        size = size_or_key
+    if not size:
         return F.lit(0)
-    table, size = constant_longs(cuts), len(cuts)
     steps = [1 << b for b in range(size.bit_length() - 1, -1, -1)]
     return F.aggregate(
         F.array(*[F.lit(s) for s in steps]), F.lit(0),

@@ -8,53 +8,57 @@ see a window of one range. Results are exact; only the cut points come from a bo
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from serialake.functions.search import count_not_above
+
 SAMPLE_PER_RANGE = 16
 HASH_PLACES = 1 << 40
-MAX_RANGES = 2000  # bounds the driver's sample (32,000 rows) and the size of the expression
+ONE_IN = 64  # share of the hashes that can become sample rows; a table too small for that needs no ranges
+
+
+def _constant(value, kind: T.DataType) -> str:
+    """SQL of one value of a cut point; text goes as hexadecimal digits, so nothing has to be quoted."""
+    if value is None:
+        inner = "null"
+    elif isinstance(kind, T.StringType):
+        inner = f"x'{value.encode().hex()}'"
+    elif isinstance(kind, T.BinaryType):
+        inner = f"x'{bytes(value).hex()}'"
+    else:
+        inner = f"'{value}'"
+    return f"cast({inner} as {kind.simpleString()})"
 
 
-def _literal(row, schema) -> Column:
-    return F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, schema.fields)])
+def constant_structs(rows: Sequence, schema: T.StructType) -> Column:
+    """One constant ``array<struct>``: a single literal after constant folding, built in one call."""
+    def one(row) -> str:
+        return "named_struct(" + ", ".join(f"'{f.name}', {_constant(v, f.dataType)}" for v, f in zip(row, schema.fields)) + ")"
+    return F.expr("array(" + ", ".join(map(one, rows)) + ")")
 
 
 def range_of(df: DataFrame, order: Sequence[str], ranges: int | None = None) -> Column:
     """Range number of a row along ``order`` (ascending, nulls first).
 
-    Cut points are the quantiles of the rows with the smallest hashes: a fixed-size, repeatable
-    sample (``ranges * 16`` rows on the driver), so the same table is always cut the same way and a
-    hot key is cut inside the key, by the columns that follow it. Rows above a hash threshold set by the
-    row count leave first, so all tasks together hand on about twice the sample, however many they are.
+    Cut points are quantiles of a repeatable sample, so the same table is always cut the same way and a hot key is cut inside the key, by
+    the columns that follow it. The sample is one aggregation: a fixed share of the hashes of the order columns is dealt to ``16 * ranges``
+    places, and each place keeps its smallest; tasks hand on one row a place at most. A row finds its range by binary search among the constant cut points.
     """
-    ranges = ranges or min(MAX_RANGES, max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    ranges = ranges or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     tuple_ = F.struct(*[F.col(c).alias(f"f{i}") for i, c in enumerate(order)])
-    wanted, keys = ranges * SAMPLE_PER_RANGE, df.select(tuple_.alias("t"))
-    share = min(1.0, 2 * wanted / max(1, df.count()))
     place = F.pmod(F.xxhash64("t"), F.lit(HASH_PLACES))
-    sampled = (keys.where(place < int(share * HASH_PLACES)).orderBy(place, "t").limit(wanted)
-                   .orderBy("t").select("t.*"))
+    hashed = df.select(tuple_.alias("t")).select("t", place.alias("h")).where(F.col("h") % ONE_IN == 0)
+    smallest = hashed.groupBy(F.floor(F.col("h") / -(-HASH_PLACES // (ranges * SAMPLE_PER_RANGE))).alias("place")).agg(F.min(F.struct("h", "t")).alias("m"))
+    sampled = smallest.select("m.t").orderBy("t").select("t.*")
     rows = sampled.collect()
-    cuts = [rows[i] for i in range(SAMPLE_PER_RANGE, len(rows), SAMPLE_PER_RANGE)]
-    cuts = [c for i, c in enumerate(cuts) if i == 0 or c != cuts[i - 1]]
-    if not cuts:
-        return F.lit(0)
-    # Two-level search: about 2 * sqrt(ranges) comparisons per row.
-    width = max(1, math.isqrt(len(cuts)))
-    groups = [cuts[i:i + width] for i in range(0, len(cuts), width)]
-    heads = F.array(*[_literal(g[0], sampled.schema) for g in groups])
-    members = F.array(*[F.array(*[_literal(c, sampled.schema) for c in g]) for g in groups])
-
-    def count_not_above(cut_points: Column) -> Column:
-        return F.aggregate(cut_points, F.lit(0), lambda n, c: n + F.when(tuple_ >= c, 1).otherwise(0))
-
-    group = count_not_above(heads)
-    return F.when(group == 0, F.lit(0)).otherwise((group - 1) * width + count_not_above(F.element_at(members, group)))
+    step = max(1, len(rows) // ranges)
+    cuts = rows[step::step]
+    return count_not_above(constant_structs(cuts, sampled.schema), len(cuts), tuple_) if cuts else F.lit(0)
 
 
 def _same_range(key: Sequence[str]) -> list[Column]:
