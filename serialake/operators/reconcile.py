@@ -11,7 +11,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from serialake.functions import text
 from serialake.materialise import checkpointed
@@ -32,6 +31,11 @@ def saved_number(file: str = "file") -> Column:
     return F.regexp_extract(file, r"^([0-9]+)", 1).try_cast("bigint")
 
 
+def _name(column: str) -> str:
+    """A column's name inside SQL."""
+    return "`" + column.replace("`", "``") + "`"
+
+
 def _keyed(parts: DataFrame, work: str) -> DataFrame:
     # The key is one projected expression, so its repeated parts are evaluated once; a filter on it alone would be pushed below and
     # evaluate it a second time, a filter on the generated column is not.
@@ -46,12 +50,10 @@ def _steps(numbers: DataFrame, work: str, *, distinct: bool) -> DataFrame:
     n consecutive numbers become two rows. One more row of a key, without a place, holds its number of rows. With ``distinct`` a number
     counts once (and so does that row).
     """
-    def end(at: Column, here: int, before: int) -> Column:
-        return F.struct(at.cast("bigint").alias("at"), F.lit(here).alias("here"), F.lit(before).alias("before"))
-
-    ends = numbers.select(work, "__key", F.explode(F.array(end(F.col("__num"), 1, 0), end(F.col("__num") + 1, 0, 1), end(F.lit(None), 1, 0))).alias("e"))
-    fold = F.max if distinct else F.sum
-    stepped = ends.groupBy(work, "__key", F.col("e.at").alias("__at")).agg((fold("e.here") - fold("e.before")).cast("bigint").alias("__d"))
+    ends = numbers.selectExpr(_name(work), "__key", """inline(array(named_struct('__at', __num, 'here', 1, 'before', 0), named_struct('__at', __num + 1, 'here', 0, 'before', 1),
+        named_struct('__at', cast(null as bigint), 'here', 1, 'before', 0)))""")
+    fold = "max" if distinct else "sum"
+    stepped = ends.groupBy(work, "__key", "__at").agg(F.expr(f"cast({fold}(here) - {fold}(before) as bigint) as __d"))
     return stepped.where("__at is null or __d <> 0")
 
 
@@ -63,12 +65,10 @@ def _second_differences(canonical: DataFrame, listed: DataFrame, work: str) -> D
     serves them all.
     """
     left = _steps(_keyed(canonical, work), work, distinct=True)
-    right = _steps(_keyed(listed, work), work, distinct=False).select(F.col(work).alias("__lwork"), F.col("__key").alias("__lkey"), F.col("__at").alias("__lat"), F.col("__d").alias("__ld"))
-    same = (F.col(work) == F.col("__lwork")) & (F.col("__key") == F.col("__lkey")) & (F.col("__at").isNull() == F.col("__lat").isNull())
-    pairs = left.join(right, same, "left").where("__at is null or __lat is not null")
-    offset = F.col("__at") - F.col("__lat")
-    summed = pairs.groupBy(work, F.floor((offset + BLOCK // 2) / BLOCK).alias("__block"), offset.alias("__offset")).agg(
-        F.coalesce(F.sum(F.col("__d") * F.col("__ld")), F.lit(0)).alias("e"))
+    right = _steps(_keyed(listed, work), work, distinct=False).selectExpr(f"{_name(work)} as __lwork", "__key as __lkey", "__at as __lat", "__d as __ld")
+    pairs = left.join(right, F.expr(f"{_name(work)} = __lwork and __key = __lkey and isnull(__at) = isnull(__lat)"), "left").where("__at is null or __lat is not null")
+    placed = pairs.selectExpr(_name(work), "__at - __lat as __offset", "__d * __ld as e").selectExpr("*", f"floor((__offset + {BLOCK // 2}) / {BLOCK}) as __block")
+    summed = placed.groupBy(work, "__block", "__offset").agg(F.expr("coalesce(sum(e), 0) as e"))
     return summed.where("__offset is null or e <> 0").repartition(work, "__block")
 
 
@@ -77,20 +77,18 @@ def _pieces(steps: DataFrame, work: str) -> DataFrame:
 
     Sums run within blocks of offsets; what lies before a block enters it as one row, so no task needs all offsets of a work.
     """
-    moment = F.col("__offset").cast("decimal(16,0)") * F.col("e")
-    own = steps.where("__offset is not null").select(work, "__block", "__offset", "e", moment.alias("m"))
-    blocks = own.groupBy(work, "__block").agg(F.sum("e").alias("e"), F.sum("m").alias("m"), F.min("__offset").alias("first"))
-    order = W.partitionBy(work).orderBy("__block")
-    earlier = order.rowsBetween(W.unboundedPreceding, -1)
-    entry = blocks.select(work, "__block", F.lit(None).cast("bigint").alias("__offset"), F.coalesce(F.sum("e").over(earlier), F.lit(0)).alias("e"),
-                          F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("m"), F.lead("first").over(order).alias("beyond"))
-    inside = W.partitionBy(work, "__block").orderBy(F.col("__offset").asc_nulls_first())
-    before = inside.rowsBetween(W.unboundedPreceding, -1)
-    rows = own.withColumn("beyond", F.lit(None).cast("bigint")).unionByName(entry)
-    summed = rows.select(work, "__offset", (F.sum("m").over(before) - F.col("__offset") * F.sum("e").over(before)).cast("bigint").alias("n"),
-                         (-F.sum("e").over(inside.rowsBetween(W.unboundedPreceding, 0))).alias("slope"),
-                         F.coalesce(F.lead("__offset").over(inside), F.max("beyond").over(W.partitionBy(work, "__block"))).alias("__end"))
-    return summed.where("__offset is not null").select(work, "__offset", "n", "slope", (F.col("__end") - F.col("__offset")).alias("span")).where("span > 0 and (n > 0 or slope > 0)")
+    key = _name(work)
+    own = steps.where("__offset is not null").selectExpr(key, "__block", "__offset", "e", "cast(__offset as decimal(16,0)) * e as m", "cast(null as bigint) as beyond")
+    blocks = own.groupBy(work, "__block").agg(F.expr("sum(e) as e"), F.expr("sum(m) as m"), F.expr("min(__offset) as first"))
+    earlier = f"over (partition by {key} order by __block rows between unbounded preceding and 1 preceding)"
+    entry = blocks.selectExpr(key, "__block", "cast(null as bigint) as __offset", f"coalesce(sum(e) {earlier}, 0) as e", f"coalesce(sum(m) {earlier}, 0) as m",
+                              f"lead(first) over (partition by {key} order by __block) as beyond")
+    inside = f"partition by {key}, __block order by __offset nulls first"
+    before = f"over ({inside} rows between unbounded preceding and 1 preceding)"
+    summed = own.unionByName(entry).selectExpr(
+        key, "__offset", f"cast(sum(m) {before} - __offset * sum(e) {before} as bigint) as n", f"-sum(e) over ({inside} rows between unbounded preceding and current row) as slope",
+        f"coalesce(lead(__offset) over ({inside}), max(beyond) over (partition by {key}, __block)) - __offset as span")
+    return summed.where("__offset is not null and span > 0 and (n > 0 or slope > 0)")
 
 
 def numbering_offsets(canonical: DataFrame, listed: DataFrame, saved: DataFrame, *, work: str = "work") -> DataFrame:
@@ -102,22 +100,18 @@ def numbering_offsets(canonical: DataFrame, listed: DataFrame, saved: DataFrame,
     """
     steps = _second_differences(canonical, listed, work)
     # The two best offsets of a straight piece lie at its ends or, where it is level, nearest to zero.
-    last, zero = F.col("span") - 1, F.lit(0).cast("bigint")
-    level = F.greatest(zero, F.least(last, -F.col("__offset")))
-    places = F.filter(F.array_distinct(F.array(zero, zero + 1, last - 1, last, level - 1, level, level + 1)), lambda j: (j >= 0) & (j <= last))
-    counts = _pieces(steps, work).select(work, "__offset", "n", "slope", F.explode(places).alias("j")) \
-        .select(work, (F.col("__offset") + F.col("j")).alias("__offset"), (F.col("n") + F.col("j") * F.col("slope")).alias("__n")).where("__n > 0")
-    top = keep_top(counts, key=[work], order=[F.col("__n").desc(), F.abs("__offset"), F.col("__offset")], k=2)
-    rank = F.struct((-F.col("__n")).alias("n"), F.abs("__offset").alias("a"), F.col("__offset").alias("o"))
-    best = top.groupBy(work).agg(F.min(rank).alias("b"), F.max(rank).alias("s"))
-    best = best.select(work, F.col("b.o").alias("offset"), (-F.col("b.n")).alias("best"),
-                       F.when(F.col("s.o") != F.col("b.o"), -F.col("s.n")).otherwise(0).alias("second"))
+    key, zero = _name(work), F.lit(0).cast("bigint")
+    levelled = _pieces(steps, work).selectExpr("*", "greatest(0L, least(span - 1, -__offset)) as level")
+    counts = levelled.selectExpr(key, "__offset", "n", "slope", "explode(filter(array_distinct(array(0L, 1L, span - 2, span - 1, level - 1, level, level + 1)), j -> j >= 0 and j < span)) as j") \
+        .selectExpr(key, "__offset + j as __offset", "n + j * slope as __n").where("__n > 0")
+    top = keep_top(counts, key=[work], order=[F.expr("-__n"), F.expr("abs(__offset)"), F.col("__offset")], k=2)
+    ranked = top.selectExpr(key, "named_struct('n', -__n, 'a', abs(__offset), 'o', __offset) as r").groupBy(work).agg(F.expr("min(r) as b"), F.expr("max(r) as s"))
+    best = ranked.selectExpr(key, "b.o as offset", "-b.n as best", "if(s.o <> b.o, -s.n, 0) as second")
     # Half the second moment of the second differences is the sum of the counts, with the sign turned.
-    square = F.col("__offset").cast("decimal(16,0)") * F.col("__offset").cast("decimal(16,0)") * F.col("e")
-    nothing = F.lit(None).cast("decimal(38,0)")
-    per_work = steps.select(work, F.when(F.col("__offset").isNull(), F.col("e")).alias("rows"), square.cast("decimal(38,0)").alias("square"), F.lit(False).alias("saved")) \
-        .unionByName(saved.where(saved_number().isNotNull()).select(work, F.lit(None).cast("bigint").alias("rows"), nothing.alias("square"), F.lit(True).alias("saved"))) \
-        .groupBy(work).agg(F.sum("rows").alias("match_count"), (F.coalesce(F.sum("square"), F.lit(0)) / -2).cast("bigint").alias("total"), F.max("saved").alias("anything"))
+    square = "cast(cast(__offset as decimal(16,0)) * cast(__offset as decimal(16,0)) * e as decimal(38,0)) as square"
+    per_work = steps.selectExpr(key, "if(__offset is null, e, null) as rows", square, "false as saved") \
+        .unionByName(saved.where(saved_number().isNotNull()).selectExpr(key, "cast(null as bigint) as rows", "cast(null as decimal(38,0)) as square", "true as saved")) \
+        .groupBy(work).agg(F.expr("sum(rows) as match_count"), F.expr("cast(coalesce(sum(square), 0) / -2 as bigint) as total"), F.expr("max(saved) as anything"))
     joined = per_work.where("match_count is not null").join(best, work, "left")
     confident = ((F.col("best") >= 3) | (F.col("best") / F.col("total") >= 0.6) | (F.col("match_count") <= 2)) \
         & ~((F.col("offset") != 0) & (F.col("second") > 0) & (F.col("best") - F.col("second") <= 1))
