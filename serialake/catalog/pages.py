@@ -61,6 +61,52 @@ def _(t):
     return extract.listing_rows(t.pages, found).select("page_id", "title", "url", "latest_part", "author")
 
 
+def card_pages(customer):
+    """Listing pages with three cards, the last one a repeat; every third page in the layout that marks works by item type."""
+    def card(shift: int):
+        key = (F.col("c_custkey") + shift).cast("string")
+        catalog = ["<div class='book-wrap'><h3><a class='name' href='/doc-truyen/", key, "'>Work ", key, "</a></h3><p><a class='section' href='/doc-truyen/", key, "/chuong-", F.col("c_nationkey").cast("string"), "'>Part ",
+                   F.col("c_nationkey").cast("string"), "</a></p><p class='author'><a class='writer' href='/t/", key, "'>", F.col("c_mktsegment"), "</a></p></div>"]
+        typed = ["<section itemscope itemtype='https://schema.org/Book'><b itemprop='name'><a href='/w/", key, "'> Work ", key, " </a></b><i itemprop='author'>", F.col("c_mktsegment"), "</i></section>"]
+        joined = [F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts]) for parts in (catalog, typed)]
+        return F.when(F.col("c_custkey") % 3 == 0, joined[1]).otherwise(joined[0])
+
+    html = F.concat(F.lit("<body><div class='update-list'>"), card(0), card(7), card(0), F.lit("</div></body>"))
+    return customer.select(F.col("c_custkey").alias("page_id"), F.lit("https://l.example/list").alias("url"), html.alias("html"))
+
+
+_CARDS = "(select *, unnest([c_custkey, c_custkey + 7]) as k from customer)"
+
+
+@q("b3_card_listing", f"""select c_custkey as page_id, 'Work ' || k as title, 'https://l.example/doc-truyen/' || k as url, 'Part ' || c_nationkey as latest_part,
+    'https://l.example/doc-truyen/' || k || '/chuong-' || c_nationkey as latest_part_url, c_mktsegment as author from {_CARDS} where c_custkey % 3 <> 0""")
+def _(t):
+    return extract.listing_rows(card_pages(t.customer).where("page_id % 3 <> 0"), rules.CATALOG_LISTING).drop("pos")
+
+
+@q("b3_schema_listing", f"select c_custkey as page_id, 'Work ' || k as title, 'https://l.example/w/' || k as url, c_mktsegment as author from {_CARDS} where c_custkey % 3 = 0")
+def _(t):
+    return extract.listing_rows(card_pages(t.customer), rules.SCHEMA_LISTING).select("page_id", "title", "url", "author")
+
+
+@q("b13_page_identifiers", """select c_custkey as page_id, 'n' || c_custkey as nonce, case c_custkey % 3 when 0 then cast(c_custkey as varchar) when 1 then 'r' || c_custkey else 'p' || c_custkey end as work_id from customer""")
+def _(t):
+    key, kind = F.col("c_custkey").cast("string"), F.col("c_custkey") % 3
+    work = F.when(kind == 0, F.concat(F.lit('<script>{"manga_id": "'), key, F.lit('"}</script>'))).when(kind == 1, F.concat(F.lit('<input class="x rating-post-id" type="hidden" value="r'), key, F.lit('">'))).otherwise(F.lit(""))
+    nonce = F.when(kind == 0, F.concat(F.lit('<i data-nonce="n'), key, F.lit('"></i><script>{"security": "wrong"}</script>'))).otherwise(F.concat(F.lit('<script>{"ajax_nonce" : "n'), key, F.lit('"}</script>')))
+    html = F.concat(F.lit('<body class="single postid-p'), key, F.lit('">'), work, nonce)
+    return t.customer.select(F.col("c_custkey").alias("page_id"), markup.first_of(html, markup.NONCE_PATTERNS).alias("nonce"), markup.first_of(html, markup.WORK_ID_PATTERNS).alias("work_id"))
+
+
+@q("b14_class_counters", """select c_custkey as page_id, name, n from customer, lateral (select unnest(['likes', 'views']) as name, unnest([c_custkey * 1000, c_nationkey]) as n) where name = 'likes' or c_custkey % 2 = 0""")
+def _(t):
+    key = F.col("c_custkey").cast("string")
+    html = F.concat(F.lit("<span class='num a-like'>"), key, F.lit(".000 likes</span><span class='a-liked'>7</span>"),
+                    F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("<span class=a-view>"), F.col("c_nationkey").cast("string"), F.lit("</span>"))).otherwise(F.lit("<span class='a-view'>none</span>")))
+    counted = t.customer.select(F.col("c_custkey").alias("page_id"), markup.class_counters(html, {"a-like": "likes", "a-view": "views", "a-other": "other"}).alias("m"))
+    return counted.select("page_id", F.explode("m").alias("name", "n"))
+
+
 @q("b4_page_count", r"""select page_id, greatest(1, page_id % 11, page_id % 17, page_id % 13,
     coalesce(list_max(list_transform(regexp_extract_all(html || 'href="' || url, 'href="[^"]*?\bpage=([0-9]+)', 1), lambda x: cast(x as bigint))), 1)) as page_count from pages""")
 def _(t):

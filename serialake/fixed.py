@@ -81,9 +81,6 @@ BLOCK_TITLE_PHRASES = [
 BLOCK_MIN_LENGTH = 100
 BLOCK_MAX_BODY_WORDS = 50
 
-# --- fixed values: error classes of a fetch ---
-ERROR_CLASSES = ["timeout", "anti_bot", "dead_link", "write_fail", "unknown"]
-
 # --- fixed values: job types a dispatcher accepts, with the fields each one needs ---
 JOB_REQUIRED_FIELDS = {
     "single_story": ["title"],

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import binascii
-import html as html_lib
 import re
 import zlib
 from html.parser import HTMLParser
@@ -75,12 +74,6 @@ def embedded_payload(script: Column) -> Column:
     return inflate_first(F.when(F.size(candidates) > 0, candidates))
 
 
-@pandas_udf(T.StringType())
-def unescape_all(text: pd.Series) -> pd.Series:
-    """C28, complete entity set (the built-in ``text.unescape`` covers the common ones)."""
-    return text.map(html_lib.unescape, na_action="ignore")
-
-
 class _NoiseFilter(HTMLParser):
     """Re-emit markup except code, the subtrees of flagged classes and the blocks around links to flagged addresses."""
 

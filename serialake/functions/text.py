@@ -231,7 +231,7 @@ NAMED_ENTITIES = {
 
 
 def unescape(col: Col) -> Column:
-    """Decode the common entities (see ``payload.unescape_all`` for the complete set)."""
+    """Decode the common entities."""
     out = _c(col)
     for entity, char in NAMED_ENTITIES.items():
         out = F.replace(out, F.lit(entity), F.lit(char))

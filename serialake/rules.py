@@ -144,7 +144,7 @@ def profile_rules() -> Column:
 class Sites:
     """K1/K2: what is known about each site: base url, page-size hint and its rules per page kind.
 
-    Rules are data, so a new site is a new row; ``as_table`` gives the part of it that joins.
+    Rules are data, so a new site is a new row. Sites that need code of their own bring an extractor (``operators.plugins``).
     """
 
     def __init__(self) -> None:
@@ -169,18 +169,21 @@ class Sites:
             pairs += [F.lit(key), (F.array(*structs) if structs else F.array()).cast(f"array<{RULE_TYPE}>")]
         return F.create_map(*pairs)
 
-    def as_table(self, spark: SparkSession) -> DataFrame:
-        rows = [(k, s["base_url"], s["page_size"]) for k, s in self._sites.items()]
-        return spark.createDataFrame(rows, "site_key string, base_url string, page_size int")
+
+MOST_PATTERNS = 10_000
 
 
 def read_patterns(spark: SparkSession, path: str) -> list[str]:
     """A4/K3: one rule per line; blank lines and lines starting with ``#`` are dropped.
 
-    A rule file is small configuration by contract, so it becomes a list for a literal expression.
+    A rule file is small configuration by contract, so it becomes a list for a literal expression; a file with more than
+    ``MOST_PATTERNS`` rules is refused before it reaches the driver.
     """
     lines = spark.read.text(path).where(~F.col("value").startswith("#")).select(F.trim("value").alias("v")).where("v <> ''")
-    return [row["v"] for row in lines.toLocalIterator()]
+    rows = lines.limit(MOST_PATTERNS + 1).collect()
+    if len(rows) > MOST_PATTERNS:
+        raise ValueError(f"{path}: more than {MOST_PATTERNS} rules")
+    return [r["v"] for r in rows]
 
 
 def read_split_patterns(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:

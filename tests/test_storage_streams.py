@@ -322,3 +322,9 @@ def test_site_extractors(spark):
     assert sorted(map(tuple, got)) == [(1, 8), (2, 8), (5, 0)]
     with pytest.raises(Exception, match="extractor of b"):
         plugins.extract_by_site(frame, {"b": broken}, "page_id bigint, n int").collect()
+
+
+def test_skip_list(spark, tmp_path):
+    (tmp_path / "skipped.json").write_text(json.dumps({"a-work": {"url": "u", "title": "A", "reason": "dead"}, "b": {}}, indent=1), encoding="utf-8")
+    got = tree.read_skipped_works(spark, str(tmp_path / "skipped.json")).collect()
+    assert sorted((r["slug"], r["url"], r["title"], r["time"], r["reason"]) for r in got) == [("a-work", "u", "A", None, "dead"), ("b", None, None, None, None)]
