@@ -198,6 +198,11 @@ def find_elements_by_row(html: Column, rules: Column, noise: Sequence[str] = ("s
     return find(html, rules)
 
 
+def plugin(df, extract, schema: str):
+    """K1, plainest form: ``extract(arrow_batches) -> arrow_batches`` applied to every partition (``plugins`` chooses by site)."""
+    return df.mapInArrow(extract, schema)
+
+
 def of_field(found: Column, field: str) -> Column:
     return F.filter(found, lambda e: e["field"] == field)
 
