@@ -296,6 +296,12 @@ def _(t):
     return extract.profile_listing(live, rules=rules.profile_rules()).select("page_id", "title", "url")
 
 
+@q("b15_profile_content", f"""select page_id, nullif({BLOCKS.format(ARTICLE)}, '') as text from pages join {PROFILE_SQL} p on {HOST} = p.domain""")
+def _(t):
+    live = extract.live_profiles(t.pages, profiles(t), now=F.lit(1_000_000))
+    return extract.profile_content(live).select("page_id", "text")
+
+
 def listing_pages(pages):
     """Seven pages a listing: even ones link their next page (every sixth in a circle), odd ones count by a pattern; some have a gap."""
     number, k = F.expr("page_id div 7"), F.col("page_id") % 7

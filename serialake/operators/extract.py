@@ -285,6 +285,14 @@ def profile_listing(pages_with_profile: DataFrame, *, rules: Column, page_id: st
                        F.nullif(_inline(F.col("a.text")), blank).alias("author"))
 
 
+def profile_content(pages_with_profile: DataFrame, *, selector: str = "content_selector", noise: Sequence[str] = ("script", "style"), page_id: str = "page_id",
+                    html: str = "html") -> DataFrame:
+    """Text of the first element that the ``content_selector`` of a page's own profile finds, and as paragraphs; null without one."""
+    rule = F.struct(F.lit("content").alias("field"), F.col(selector).alias("selector"), F.lit(0).alias("rank"), F.lit(None).cast("string").alias("container"), F.lit(0).alias("container_rank"))
+    found = pages_with_profile.select(page_id, nodes.find_elements_by_row(F.col(html), F.when(F.col(selector).isNotNull(), F.array(rule)), noise).alias("found"))
+    return found.select(page_id, nodes.first_text(F.col("found"), "content").alias("text")).select(page_id, "text", markup.paragraphs("text").alias("content"))
+
+
 def next_page_url(url: Column, pattern: Column, next_href: Column, page: int = 2) -> Column:
     """Url of the next page from a ``{n}`` pattern, else the next link."""
     base = F.regexp_replace(url, "/+$", "")

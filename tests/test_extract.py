@@ -219,3 +219,9 @@ def test_next_urls(spark):
     frame = spark.createDataFrame(rows, "page_id int, url string, html string, next_pattern string, next_selector string")
     assert {r["page_id"]: r["next_url"] for r in chains.next_urls(frame).collect()} == {
         0: "https://h/l?page=2", 1: "https://h/l?page=3", 2: "https://h/l?s=1&page=2", 3: "https://h/l/page/2", 4: "https://h/l/page/10/", 5: "https://h/l?page=3", 6: None, 7: None, 8: None}
+
+
+def test_profile_content(spark):
+    rows = [(1, "<div class='a'>one<p>two</p></div><div class='a'>no</div>", ".a"), (2, "<p>x</p>", ".a"), (3, "<p>x</p>", None), (4, None, "p"), (5, "<main><script>s</script> <b>y</b>&amp;z</main>", "main")]
+    got = extract.profile_content(spark.createDataFrame(rows, "page_id int, html string, content_selector string")).orderBy("page_id").collect()
+    assert [(r["text"], r["content"]) for r in got] == [("one\ntwo", "<p>one</p><p>two</p>"), (None, None), (None, None), (None, None), ("y\n&z", "<p>y</p><p>&amp;z</p>")]
