@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from serialake.materialise import checkpointed
 
-__all__ = ["checkpointed", "col", "others", "small_side", "table", "word_count", "slices"]
+__all__ = ["checkpointed", "col", "others", "small_side", "table", "unused", "word_count", "slices"]
 
 #: Words of a text: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,6 +26,16 @@ def others(df: DataFrame, *new: str) -> list[Column]:
     return [col(c) for c in df.columns if c.lower() not in taken]
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores in front until no column of ``df`` has it (Spark ignores case): for working columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

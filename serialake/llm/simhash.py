@@ -11,10 +11,11 @@ its links as stars, member to the smallest member it reaches inside the shard, n
 components by label propagation with pointer jumping, cut by checkpoints.
 
 ``near_duplicates`` follows another rule: two texts are near copies if their sets of five-word shingles overlap by 0.8 (Jaccard) or more.
-Such texts differ in about 10 of 64 bits, too far for the trees, so candidates come from a SimHash of 512 bits: each of many tables
-deals the texts to buckets by some of the bits, members of a bucket whose first 128 bits are near are candidates, and every candidate
-is checked by its exact overlap before it links anything. Bits of a bucket grow with log2 of the number of texts (chance neighbours
-stay few) and tables grow with them, so that ``RECALL`` of the pairs at 0.8 meet, and more of those above.
+Such texts differ in about 10 of 64 bits, too far for shards of 28 equal bits, so candidates come from a SimHash of 512 bits: each of many
+tables deals the texts to buckets by some of the bits, a BK-tree over the first 128 bits finds near members of a bucket, and a bucket
+reports them as stars. Bits of a bucket grow with log2 of the number of texts (chance neighbours stay few) and tables grow with them, so
+that ``RECALL`` of the pairs at 0.8 meet, and more of those above. Stars join to candidate groups, whose shingle sets are compared
+exactly, block against block: a set travels once per block and not once per pair, and only stars of true links leave a block.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from serialake.llm.common import checkpointed, col, others, slices, small_side
+from serialake.llm.common import checkpointed, col, others, slices, small_side, unused
 
 RADIUS = 3
 BLOCKS, BLOCK_BITS, PIECES, PIECE_BITS = 4, 16, 4, 12
@@ -39,6 +40,9 @@ SIMILARITY, WIDTH = 0.8, 5    # the general rule for near copies
 RECALL = 0.99                 # share of pairs at SIMILARITY that meet in a bucket
 LANES = 8                     # 64-bit words of a wide fingerprint
 NEAR = 32                     # of its first 128 bits; pairs at 0.8 differ in 19 on average, one in 1,500 in more than 32
+LEADERS = 3                   # members of a bucket whose neighbours are joined before any tree is searched
+BLOCK, BLOCK_SHINGLES = 500, 500_000  # members and shingles of a block, on average
+REDEALS = 2                   # times the members of a group of several blocks are dealt anew
 
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -91,19 +95,25 @@ def _mask(block: int, piece: int) -> int:
 MASKS = [_mask(b, p) for b in range(BLOCKS) for p in range(PIECES)]
 
 
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of fingerprints; those of several 64-bit words have a second axis."""
+    differ = np.bitwise_count(a ^ b).astype(np.int64)
+    return differ if differ.ndim == 1 else differ.sum(axis=1)
+
+
 class Forest:
     """A BK-tree for each run of equal ``shards`` (sorted), built and searched for all shards at once."""
 
     def __init__(self, shards: np.ndarray, fps: np.ndarray):
         n = len(fps)
         self.fps = fps
+        self.most = 64 * (fps.shape[1] if fps.ndim > 1 else 1)
         self.root = np.searchsorted(shards, shards)
-        self.parent_key = np.full(n, -1, np.int64)  # node * 65 + edge distance, of children
         at, open_ = self.root.copy(), np.flatnonzero(self.root != np.arange(n))
         edges, children = [], []
         while len(open_):
-            distance = np.bitwise_count(fps[open_] ^ fps[at[open_]]).astype(np.int64)
-            edge = at[open_] * 65 + distance
+            distance = _distance(fps[open_], fps[at[open_]])
+            edge = at[open_] * (self.most + 1) + distance
             names, first, back = np.unique(edge, return_index=True, return_inverse=True)
             child = open_[first]  # the earliest that comes along an edge hangs there
             edges.append(names)
@@ -118,11 +128,11 @@ class Forest:
         """Yield (member, neighbour) arrays: all nodes of the member's tree within ``radius``, itself included."""
         who, node = members, self.root[members]
         while len(who):
-            distance = np.bitwise_count(self.fps[who] ^ self.fps[node]).astype(np.int64)
+            distance = _distance(self.fps[who], self.fps[node])
             near = distance <= radius
             yield who[near], node[near]
-            low = np.searchsorted(self.edge, node * 65 + np.maximum(distance - radius, 0))
-            high = np.searchsorted(self.edge, node * 65 + np.minimum(distance + radius, 64), side="right")
+            low = np.searchsorted(self.edge, node * (self.most + 1) + np.maximum(distance - radius, 0))
+            high = np.searchsorted(self.edge, node * (self.most + 1) + np.minimum(distance + radius, self.most), side="right")
             count = high - low
             ends = np.cumsum(count)
             at = np.repeat(low - (ends - count), count) + np.arange(ends[-1])
@@ -137,6 +147,18 @@ def _find(parent: np.ndarray) -> np.ndarray:
         parent = up
 
 
+def _hook(parent: np.ndarray, who: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """``parent`` with the links joined: the larger root hangs below the smaller until both ends of every link meet."""
+    while len(who):
+        parent = _find(parent)
+        a, b = parent[who], parent[node]
+        open_ = a != b
+        who, node, a, b = who[open_], node[open_], a[open_], b[open_]
+        if len(who):
+            np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+    return parent
+
+
 def shard_stars(shards: np.ndarray, fps: np.ndarray, frontier: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
     """Links of whole shards (sorted by shard, fp) as (member, smallest member reached) without loops."""
     starts = np.searchsorted(shards, shards)
@@ -153,13 +175,7 @@ def shard_stars(shards: np.ndarray, fps: np.ndarray, frontier: int = 200_000) ->
     while begin < len(fps):
         end = max(begin + 1, int(np.searchsorted(cost, (cost[begin - 1] if begin else 0) + frontier)))
         for who, node in forest.search(np.arange(begin, end)):
-            while len(who):  # hook the larger root below the smaller until both ends meet
-                parent = _find(parent)
-                a, b = parent[who], parent[node]
-                open_ = a != b
-                who, node, a, b = who[open_], node[open_], a[open_], b[open_]
-                if len(who):
-                    np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+            parent = _hook(parent, who, node)
         begin = end
     root = _find(parent)
     linked = np.flatnonzero(root != np.arange(len(fps)))
@@ -267,8 +283,74 @@ def _shingle_sets(df: DataFrame, id_column: str, text_column: str, width: int) -
     return narrow.mapInArrow(run, "doc_id bigint, text_hash bigint, set_hash bigint, bits binary")
 
 
-def _candidates(members: DataFrame, places: np.ndarray, stars: bool) -> DataFrame:
-    """(a, b), b < a: near members (set_hash, bits, root) of a bucket that have unlike roots; ``stars``: only those with the bucket's smallest member."""
+def _whole_keys(batches, keys: int):
+    """Tables that end where a key ends; rows come sorted by the first ``keys`` columns. A key's batches are put together once."""
+    held: list[pa.RecordBatch] = []
+    ends = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        names = np.stack([np.asarray(batch.column(i), dtype=np.int64) for i in range(keys)])
+        before = np.flatnonzero((names != names[:, -1:]).any(axis=0))
+        cut = int(before[-1]) + 1 if len(before) else 0  # the last key may go on in the next batch
+        if cut:
+            held.append(batch.slice(0, cut))
+        if held and (cut or (ends != names[:, -1]).any()):
+            yield pa.Table.from_batches(held).combine_chunks()
+            held = []
+        held.append(batch.slice(cut))
+        ends = names[:, -1]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def bucket_stars(buckets: np.ndarray, fps: np.ndarray, radius: int = NEAR, frontier: int = 200_000) -> np.ndarray:
+    """For each row (sorted by bucket) the first row of its component: rows of one bucket within ``radius`` bits are linked.
+
+    A few leaders per bucket join their neighbours first. Two rows of the largest component found so need no comparison, so only the
+    rows outside it search the bucket's BK-tree, and a bucket full of near texts costs a few steps per member.
+    """
+    rows = np.arange(len(buckets))
+    start = np.searchsorted(buckets, buckets)
+    parent, leader = rows.copy(), start
+    alone, led = np.ones(len(rows), bool), np.zeros(len(rows), bool)
+    for _ in range(LEADERS):
+        led[leader] = True
+        near = _distance(fps, fps[leader]) <= radius
+        parent = _hook(parent, rows[near], leader[near])
+        alone &= ~near
+        left = rows[alone]
+        if not len(left):
+            break
+        names, first = np.unique(start[left], return_index=True)
+        following = rows.copy()
+        following[names] = left[first]  # a bucket without a row left keeps its first row as leader
+        leader = following[start]
+    root = _find(parent)
+    roots, sizes = np.unique(root, return_counts=True)
+    order = np.lexsort((roots, -sizes, start[roots]))
+    names, first = np.unique(start[roots][order], return_index=True)
+    largest = rows.copy()
+    largest[names] = roots[order][first]
+    searching = (root != largest[start]) & ~led
+    if searching.any():
+        asked = np.zeros(len(rows), bool)
+        asked[start[searching]] = True
+        inside = np.flatnonzero(asked[start])
+        forest, who = Forest(start[inside], fps[inside]), np.flatnonzero(searching[inside])
+        cost = np.cumsum(np.bincount(start[inside], minlength=len(rows))[start[inside][who]])
+        begin = 0
+        while begin < len(who):
+            end = max(begin + 1, int(np.searchsorted(cost, (cost[begin - 1] if begin else 0) + frontier)))
+            for a, b in forest.search(who[begin:end], radius):
+                parent = _hook(parent, inside[a], inside[b])
+            begin = end
+        root = _find(parent)
+    return root
+
+
+def _candidates(members: DataFrame, places: np.ndarray) -> DataFrame:
+    """(a, b): near members (set_hash, bits) of a bucket, as stars to one member of what they reach inside the bucket."""
     weights = np.int64(1) << np.arange(places.shape[1], dtype=np.int64)
 
     def deal(batches):
@@ -277,41 +359,26 @@ def _candidates(members: DataFrame, places: np.ndarray, stars: bool) -> DataFram
             bits, first = np.unpackbits(raw, axis=1, bitorder="little"), raw[:, :16].copy().view(np.int64)
             for table, at in enumerate(places):
                 keys = (bits[:, at] @ weights) * len(places) + table
-                yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column(0), batch.column(2), pa.array(first[:, 0]), pa.array(first[:, 1])], ["bucket", "a", "root", "x", "y"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column(0), pa.array(first[:, 0]), pa.array(first[:, 1])], ["bucket", "a", "x", "y"])
 
     def meet(batches):
-        held = np.zeros((5, 0), np.int64)
-        for batch in batches:
-            if batch.num_rows:
-                held = np.concatenate([held, [np.asarray(c, dtype=np.int64) for c in batch.columns]], axis=1)
-                cut = int(np.searchsorted(held[0], held[0, -1]))  # the last bucket may go on in the next batch
-                yield from pairs(held[:, :cut])
-                held = held[:, cut:]
-        yield from pairs(held)
-
-    def pairs(rows):
-        bucket, a, root, x, y = rows
-        first, at = np.searchsorted(bucket, bucket), np.arange(len(bucket))
-        step = 1
-        while len(at):
-            other = first[at] if stars else at - step
-            inside = other >= first[at]
-            at, other = at[inside], other[inside]
-            unlike = (root[at] != root[other]) & (np.bitwise_count((x[at] ^ x[other]).view(np.uint64)).astype(np.int64) + np.bitwise_count((y[at] ^ y[other]).view(np.uint64)) <= NEAR)
-            if unlike.any():
-                yield pa.RecordBatch.from_arrays([pa.array(a[at[unlike]]), pa.array(a[other[unlike]])], ["a", "b"])
-            if stars:
-                return
-            step += 1
-
-    dealt = members.select("set_hash", "bits", "root").where("bits is not null").mapInArrow(deal, "bucket bigint, a bigint, root bigint, x bigint, y bigint")
+        for table in _whole_keys(batches, 1):
+            bucket, a, x, y = (c.to_numpy() for c in table.columns)
+            same = bucket[1:] == bucket[:-1]
+            busy = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+            if busy.any():
+                bucket, a, fps = bucket[busy], a[busy], np.stack([x[busy], y[busy]], axis=1).view(np.uint64)
+                root = bucket_stars(bucket, fps)
+                linked = root != np.arange(len(root))
+                yield pa.RecordBatch.from_arrays([pa.array(a[linked]), pa.array(a[root[linked]])], ["a", "b"])
+
+    dealt = members.select("set_hash", "bits").where("bits is not null").mapInArrow(deal, "bucket bigint, a bigint, x bigint, y bigint")
     return dealt.repartition("bucket").sortWithinPartitions("bucket", "a").mapInArrow(meet, "a bigint, b bigint").distinct()
 
 
-def _overlapping(pairs: DataFrame, members: DataFrame, df: DataFrame, text_column: str, width: int, similarity: float) -> DataFrame:
-    """The ``pairs`` (a, b) of set hashes whose shingle sets overlap by ``similarity`` or more, exactly."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("set_hash")).distinct()
-    hashes = small_side(checkpointed(members.join(asked, "set_hash", "left_semi").select(F.col("text_hash").alias("t_hash")).distinct()))
+def _sets(groups: DataFrame, members: DataFrame, df: DataFrame, text_column: str, width: int) -> DataFrame:
+    """set_hash and shingles (array of distinct hashes) of every member of a candidate group."""
+    asked = checkpointed(members.join(groups, "set_hash", "left_semi").select(F.col("text_hash").alias("t_hash")).distinct())
 
     def spell(batches):
         seen: set[int] = set()
@@ -323,11 +390,98 @@ def _overlapping(pairs: DataFrame, members: DataFrame, df: DataFrame, text_colum
             yield pa.RecordBatch.from_arrays([pa.array(np.array(new, np.uint64).view(np.int64)), pa.array([own[h].view(np.int64) for h in new], pa.list_(pa.int64()))], ["set_hash", "shingles"])
 
     text = col(text_column).cast("string")
-    texts = df.select(text.alias("text")).join(hashes, F.xxhash64("text") == F.col("t_hash"), "left_semi")
-    sets = checkpointed(texts.mapInArrow(spell, "set_hash bigint, shingles array<bigint>").groupBy("set_hash").agg(F.first("shingles").alias("shingles")))
-    left, right = (sets.select(F.col("set_hash").alias(c), F.col("shingles").alias(f"of_{c}")) for c in ("a", "b"))
-    common = pairs.join(left, "a").join(right, "b").select("a", "b", F.size("of_a").alias("m"), F.size("of_b").alias("n"), F.size(F.array_intersect("of_a", "of_b")).alias("both"))
-    return common.where(F.col("both") >= F.lit(similarity) * (F.col("m") + F.col("n") - F.col("both")) - 1e-9).select("a", "b")
+    texts = df.select(text.alias("text")).join(small_side(asked), F.xxhash64("text") == F.col("t_hash"), "left_semi")
+    return checkpointed(texts.mapInArrow(spell, "set_hash bigint, shingles array<bigint>").groupBy("set_hash").agg(F.first("shingles").alias("shingles")))
+
+
+def overlap_links(values: np.ndarray, counts: np.ndarray, asked: np.ndarray, similarity: float, chunk: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j): sets whose overlap is ``similarity`` or more, i among ``asked`` (row numbers). Set i holds ``counts[i]`` distinct values.
+
+    Only values of two or more sets matter; a chunk of them at a time becomes a 0/1 matrix whose product counts common values.
+    """
+    order = np.argsort(values, kind="stable")
+    row, sorted_ = np.repeat(np.arange(len(counts)), counts)[order], values[order]
+    new = np.concatenate([[True], sorted_[1:] != sorted_[:-1]])[:len(sorted_)]
+    code = np.cumsum(new) - 1
+    shared = np.bincount(code, minlength=1)[code] > 1
+    row, code = row[shared], np.cumsum(new[shared]) - 1
+    both = np.zeros((len(asked), len(counts)))
+    for low in range(0, int(code[-1]) + 1 if len(code) else 0, chunk):
+        begin, end = np.searchsorted(code, [low, low + chunk])
+        holds = np.zeros((len(counts), min(chunk, int(code[end - 1]) - low + 1)), np.float32)
+        holds[row[begin:end], code[begin:end] - low] = 1
+        both += holds[asked] @ holds.T
+    i, j = np.nonzero(both >= similarity * (counts[asked][:, None] + counts[None, :] - both) - 1e-9)
+    return asked[i], j
+
+
+def _block_links(dealt: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): true links inside the blocks of ``dealt`` (group, block, other, asked, set_hash, shingles) as stars; every row is compared with the asked ones."""
+    def verify(batches):
+        for table in _whole_keys(batches, 3):
+            names = np.stack([table.column(i).to_numpy() for i in range(3)])
+            starts = np.flatnonzero(np.concatenate([[True], (names[:, 1:] != names[:, :-1]).any(axis=0)]))
+            asked, ids, lists = table.column(3).to_numpy().astype(bool), table.column(4).to_numpy(), table.column(5).combine_chunks()
+            values, offsets = np.asarray(lists.values), np.asarray(lists.offsets)
+            low, high = [], []
+            for begin, end in zip(starts, [*starts[1:], len(ids)]):
+                if end - begin > 1 and asked[begin:end].any():
+                    i, j = overlap_links(values[offsets[begin]:offsets[end]], np.diff(offsets[begin:end + 1]), np.flatnonzero(asked[begin:end]), similarity)
+                    root = _find(_hook(np.arange(end - begin), i, j))
+                    linked = np.flatnonzero(root != np.arange(end - begin))
+                    low.append(ids[begin + root[linked]])
+                    high.append(ids[begin + linked])
+            if low:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(high)), pa.array(np.concatenate(low))], ["a", "b"])
+
+    key = [F.col(c) for c in ("group", "block", "other")]
+    narrow = dealt.select(*key, F.col("asked").cast("int").alias("asked"), "set_hash", "shingles")
+    return narrow.repartition(*key).sortWithinPartitions(*key).mapInArrow(verify, "a bigint, b bigint").where("a <> b").distinct()
+
+
+def _parts(count: str, shingles: str):
+    """Blocks that so many members with so many shingles take."""
+    return F.greatest(F.ceil(F.col(count) / BLOCK), F.ceil(F.col(shingles) / BLOCK_SHINGLES), F.lit(1))
+
+
+def _rooted(placed: DataFrame, links: DataFrame) -> DataFrame:
+    found = components(links).select(F.col("fp").alias("set_hash"), F.col("root").alias("r"))
+    return placed.join(found, "set_hash", "left").withColumn("root", F.coalesce("r", "set_hash")).drop("r")
+
+
+def _true_links(groups: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): stars whose components are those of all overlaps of ``similarity`` or more inside the candidate groups (set_hash, group).
+
+    A group of one block is settled by one comparison. The members of others are dealt to blocks anew a few times, which joins most
+    of what belongs together; then what is outside the group's largest component is compared with all of the group, block against block.
+    """
+    narrow = groups.join(sets.select("set_hash", F.size("shingles").alias("m")), "set_hash")
+    sizes = narrow.groupBy("group").agg(F.count("*").alias("n"), F.sum("m").alias("s")).select("group", _parts("n", "s").alias("parts"))
+    placed = checkpointed(narrow.join(sizes, "group"))
+
+    def block(salt: int, parts):
+        return F.pmod(F.xxhash64("set_hash", F.lit(salt)), parts)
+
+    def inside(members: DataFrame, salt: int) -> DataFrame:
+        own = members.select("set_hash", "group", block(salt, F.col("parts")).alias("block"), F.lit(0).alias("other"), F.lit(1).alias("asked"))
+        return checkpointed(_block_links(sets.join(own, "set_hash"), similarity))
+
+    links = inside(placed, 0)
+    large = checkpointed(placed.where("parts > 1"))
+    if large.isEmpty():
+        return links
+    for salt in range(1, REDEALS + 1):
+        links = links.unionAll(inside(large, salt))
+    rooted = checkpointed(_rooted(large, links))
+    by_root = rooted.groupBy("group", "root").agg(F.count("*").alias("n"), F.sum("m").alias("s"))
+    summary = by_root.groupBy("group").agg(F.max(F.struct("n", "root")).alias("top"), F.max_by("s", F.struct("n", "root")).alias("of_top"), F.sum("n").alias("n"), F.sum("s").alias("s"))
+    summary = summary.select("group", F.col("top.root").alias("main"), (F.col("n") - F.col("top.n")).alias("n"), (F.col("s") - F.col("of_top")).alias("s"))
+    open_ = checkpointed(rooted.join(summary.where("n > 0").select("group", "main", _parts("n", "s").alias("outside")), "group"))
+    mine, theirs = block(0, F.col("outside")), block(0, F.col("parts"))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    asking = open_.where("root <> main").select("set_hash", "group", mine.alias("block"), numbers("parts").alias("other"), F.lit(1).alias("asked"))
+    against = open_.select("set_hash", "group", numbers("outside").alias("block"), theirs.alias("other"), F.lit(0).alias("asked"))
+    return links.unionAll(checkpointed(_block_links(sets.join(asking.unionAll(against), "set_hash"), similarity)))
 
 
 def near_duplicates(df: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
@@ -335,19 +489,14 @@ def near_duplicates(df: DataFrame, *, id_column: str = "doc_id", text_column: st
     ``similarity`` or more), one row per row.
 
     Every link is checked by its exact overlap; of the pairs at ``similarity`` about ``RECALL`` are found, of those above more. Texts with
-    equal sets are one member, null and blank texts among themselves too. Links with the smallest member of each bucket come first; what they
-    join is not paired again, so a large group of copies takes a few links per member, not one per pair.
+    equal sets are one member, null and blank texts among themselves too. Sets are compared block against block, so no row stands for a pair.
     """
     rows = checkpointed(_shingle_sets(df, id_column, text_column, width))
     distinct = checkpointed(rows.groupBy("set_hash").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"), F.min("bits").alias("bits")))
-    places = tables(distinct.count(), similarity)
-    members, links, linked = distinct.withColumn("root", F.col("set_hash")), None, None
-    for stars in (True, False):
-        pairs = checkpointed(_candidates(members, places, stars))
-        found = checkpointed(_overlapping(pairs, distinct, df, text_column, width, similarity))
-        links = found if links is None else links.unionAll(found)
-        linked = components(links).select(F.col("fp").alias("set_hash"), "root")
-        members = distinct.join(linked, "set_hash", "left").withColumn("root", F.coalesce("root", "set_hash"))
+    stars = checkpointed(_candidates(distinct, tables(distinct.count(), similarity)))
+    groups = components(stars).select(F.col("fp").alias("set_hash"), F.col("root").alias("group"))
+    links = _true_links(groups, _sets(groups, distinct, df, text_column, width), similarity)
+    members = _rooted(distinct.select("set_hash", "least"), links)
     named = members.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = members.select("set_hash", "root").join(named, "root")
     return rows.join(ids, "set_hash").select("doc_id", "text_hash", "root", "component_id")
@@ -355,11 +504,12 @@ def near_duplicates(df: DataFrame, *, id_column: str = "doc_id", text_column: st
 
 def keep_one(df: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``df`` without near-duplicates: of each component one row, that with the smallest id (null ids last; of rows
-    with one id the smallest text hash; of rows equal in both any one, they differ in other columns at most)."""
+    with one id the smallest text hash; of rows equal in both any one, they differ in other columns at most). All columns are kept."""
     found = near_duplicates(df, id_column=id_column, text_column=text_column, width=width, similarity=similarity)
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash"))
-    keepers = found.groupBy("root").agg(F.min(order).alias("k")).select("k.k_id", "k.k_hash")
-    own = [F.col("__id").eqNullSafe(F.col("k_id")), F.col("__hash") == F.col("k_hash")]
-    keyed = df.select(*others(df, "__id", "__hash"), col(id_column).cast("bigint").alias("__id"), F.xxhash64(col(text_column).cast("string")).alias("__hash"))
-    first = F.row_number().over(W.partitionBy("__id", "__hash").orderBy("__hash"))
-    return keyed.join(keepers, own, "left_semi").withColumn("__n", first).where("__n = 1").select(*others(df, "__id", "__hash", "__n"))
+    k_id, k_hash, own_id, own_hash, place = unused(df, "k_id", "k_hash", "own_id", "own_hash", "place")
+    keepers = found.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.k_id").alias(k_id), F.col("k.k_hash").alias(k_hash))
+    own = [F.col(own_id).eqNullSafe(F.col(k_id)), F.col(own_hash) == F.col(k_hash)]
+    keyed = df.select(*others(df), col(id_column).cast("bigint").alias(own_id), F.xxhash64(col(text_column).cast("string")).alias(own_hash))
+    first = F.row_number().over(W.partitionBy(own_id, own_hash).orderBy(own_hash))
+    return keyed.join(keepers, own, "left_semi").withColumn(place, first).where(F.col(place) == 1).select(*others(df))

@@ -129,3 +129,62 @@ def test_near_copies_between_08_and_095_leave_one(spark):
     assert len(set(want)) == 300 + 150 + 1
     docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()) == sorted(set(want))
+
+
+def test_groups_of_several_blocks_are_those_of_brute_force(spark, monkeypatch):
+    """Blocks of 8 members: copies that hang together, a family mostly below 0.8, chains whose ends are far apart."""
+    monkeypatch.setattr(simhash, "BLOCK", 8)
+    rng = np.random.default_rng(3)
+
+    def changed(text, n):
+        out = list(text)
+        for at in rng.choice(len(text) // 5 - 1, n, replace=False):
+            out[2 + 5 * int(at)] = f"v{rng.integers(1 << 60)}"
+        return out
+
+    texts = []
+    for changes, count in ((1, 60), (3, 60), (4, 40)):
+        base = [f"b{rng.integers(1 << 60)}" for _ in range(154)]
+        texts += [changed(base, changes) for _ in range(count)]
+    chain = [f"c{rng.integers(1 << 60)}" for _ in range(154)]
+    for _ in range(40):
+        chain = changed(chain, 2)
+        texts.append(chain)
+    order = rng.permutation(len(texts))
+    texts = [" ".join(texts[i]) for i in order]
+    want = overlap_groups(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = simhash.near_duplicates(docs).collect()
+    assert {r.doc_id: r.component_id for r in found} == dict(enumerate(want)) and len(set(want)) > 30
+
+
+def test_bucket_stars_are_the_components_of_all_pairs():
+    rng = np.random.default_rng(4)
+    buckets, fps = [], []
+    for b, size in enumerate(rng.integers(1, 30, 60)):
+        seed = rng.integers(0, 1 << 63, (3, 2), dtype=np.uint64)
+        for _ in range(size):
+            fp = seed[rng.integers(3)].copy()
+            for bit in rng.integers(0, 128, rng.integers(0, 30)):
+                fp[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+            buckets.append(b)
+            fps.append(fp)
+    buckets, fps = np.array(buckets), np.array(fps)
+    want = np.arange(len(buckets))
+    near = (np.bitwise_count(fps[:, None] ^ fps[None]).sum(axis=2) <= simhash.NEAR) & (buckets[:, None] == buckets[None])
+    for _ in range(len(buckets)):
+        want = np.where(near, want[None, :], len(buckets)).min(axis=1)
+    assert (simhash.bucket_stars(buckets, fps, frontier=50) == want).all() and len(set(want)) > 60
+
+
+def test_keep_one_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", 7, 8, 9), (2, "a b c d e f", 4, 5, 6), (3, "other words", 1, 2, 3)], "doc_id bigint, text string, own_id int, PLACE int, k_hash int")
+    out = simhash.keep_one(docs)
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == [(1, "a b c d e f", 7, 8, 9), (3, "other words", 1, 2, 3)]
+
+
+def test_stages_of_empty_and_null_documents(spark):
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    assert simhash.keep_one(spark.createDataFrame([], schema)).count() == 0
+    nulls = spark.createDataFrame([(None, None, None, None, None)] * 2, schema)
+    assert simhash.keep_one(nulls).count() == 1
