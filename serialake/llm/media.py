@@ -80,11 +80,13 @@ def read_netpbm(data: bytes) -> np.ndarray:
         raster = np.frombuffer(data, np.uint8, stride * height, at).reshape(height, stride)
         values = 1 - np.unpackbits(raster, axis=1)[:, :width].ravel()
     elif kind in (2, 3):
-        values = np.array(data[at:].split()[:width * height * planes], dtype=np.int64)
+        values = np.array(data[at:].split()[:width * height * planes], dtype=np.int64)  # OverflowError where a sample needs more
     else:
         values = np.frombuffer(data, np.uint8 if most < 256 else np.dtype(">u2"), width * height * planes, at)
     if values.size != width * height * planes:
         raise ValueError("netpbm raster is short")
+    if kind in (2, 3, 5, 6) and (values.min() < 0 or values.max() > most):
+        raise ValueError("netpbm sample out of range")
     values = values.astype(np.uint8 if most < 256 else np.uint16) * np.uint8(255 if kind in (1, 4) else 1)
     return values.reshape((height, width, 3) if planes == 3 else (height, width))
 
@@ -113,7 +115,7 @@ def decode(data: bytes) -> np.ndarray:
             return read_netpbm(data)
         if data[:2] == b"BM":
             return read_bmp(data)
-    except (struct.error, IndexError) as error:
+    except (struct.error, IndexError, OverflowError) as error:
         raise ValueError(str(error)) from error
     raise ValueError("neither netpbm nor bmp")
 
@@ -155,6 +157,16 @@ def tiles(image: np.ndarray, side: int) -> Iterator[tuple[int, int, np.ndarray]]
             yield top // side, left // side, image[top:top + side, left:left + side]
 
 
+def from_tiles(pieces: list[tuple[int, int, bytes]], side: int) -> tuple[np.ndarray, list[str]]:
+    """The image that NPY tiles make up, read back from their bytes, and the difference hash of each tile."""
+    read = [(r, c, np.lib.format.read_array(io.BytesIO(data), allow_pickle=False)) for r, c, data in pieces]
+    height, width = (max(place * side + tile.shape[axis] for *at, tile in read for place in (at[axis],)) for axis in (0, 1))
+    image = np.zeros((height, width, *read[0][2].shape[2:]), read[0][2].dtype)
+    for r, c, tile in read:
+        image[r * side:r * side + tile.shape[0], c * side:c * side + tile.shape[1]] = tile
+    return image, [difference_hash(tile) for *_, tile in read]
+
+
 def payload_of(text: str | None) -> tuple[int, np.ndarray]:
     """(UTF-8 bytes, samples padded with 0 to a positive multiple of 64)."""
     raw = (text or "").encode("utf-8")
@@ -181,36 +193,37 @@ def texts_as_media(df: DataFrame, *, id_column: str = "doc_id", text_column: str
     return narrow.mapInArrow(store, "doc_id bigint, n_bytes bigint, media binary")
 
 
-def media_features(media: DataFrame, *, columns: tuple[str, ...] = ("doc_id", "n_bytes"), media_column: str = "media") -> DataFrame:
-    """Payload digests and difference hash of stored images, read back from their bytes.
+def media_features(media: DataFrame, *, columns: tuple[str, ...] = ("doc_id", "n_bytes"), media_column: str = "media", side: int = 256) -> DataFrame:
+    """Payload digests and difference hashes of stored images: decoded, written as NPY tiles of ``side`` samples, read back from the tiles.
 
-    Adds payload_bytes, payload_sha256, tail_crc32 (last 64 bytes), media_bytes, media_sha256 and feature to ``columns``. Null or
-    unreadable media give nulls in what needs the image.
+    Adds payload_bytes, payload_sha256, tail_crc32 (last 64 bytes), media_bytes, media_sha256, feature (difference hash of the whole
+    image), tiles (their number) and tiles_sha256 (of the tiles' difference hashes in order, 16 hex digits each) to ``columns``.
+    Null or unreadable media give nulls in what needs the image.
     """
-    names = [*columns, "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    names = [*columns, "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tiles", "tiles_sha256"]
 
     def read(batches):
         for batch in slices(batches, media_column):
             rows = []
             for data in batch.column(batch.num_columns - 1).to_pylist():
                 if data is None:
-                    rows.append((None,) * 6)
+                    rows.append((None,) * 8)
                     continue
                 try:
-                    image = decode(data)
+                    image, hashes = from_tiles([(r, c, npy(tile)) for r, c, tile in tiles(decode(data), side)], side)
                     raw = image.tobytes()
                     image_row = (len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-WIDTH:]))
-                    feature = difference_hash(image)
+                    features = (difference_hash(image), len(hashes), hashlib.sha256("".join(hashes).encode()).hexdigest())
                 except ValueError:
-                    image_row, feature = (None, None, None), None
-                rows.append((*image_row, len(data), hashlib.sha256(data).hexdigest(), feature))
-            made = list(zip(*rows)) if rows else [()] * 6
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                    image_row, features = (None,) * 3, (None,) * 3
+                rows.append((*image_row, len(data), hashlib.sha256(data).hexdigest(), *features))
+            made = list(zip(*rows)) if rows else [()] * 8
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(columns))] + [pa.array(v, k) for v, k in zip(made, kinds)], names)
 
     chosen = media.select(*[col(c) for c in columns], col(media_column).alias(media_column))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
-    return chosen.mapInArrow(read, f"{kept}, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    return chosen.mapInArrow(read, f"{kept}, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, tiles int, tiles_sha256 string")
 
 
 def media_tiles(media: DataFrame, *, id_column: str = "doc_id", media_column: str = "media", side: int = 64,

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from serialake.llm.common import checkpointed, col, others, small_side, word_count
+from serialake.llm.common import checkpointed, col, others, small_side, unused, word_count
 
 ROWS_PER_CELL = 4096
 MOST_SOURCES = 1_000_000  # plan rows on the driver; more raise an error, none are dropped
@@ -97,17 +97,22 @@ def mix_sources(df: DataFrame, *, id_column: str = "doc_id", text_column: str =
     """
     new = ("size", "source_size", "target", "taken", "epochs", "cut_words")
     text, source = col(text_column), col(source_column).cast("string")
-    keyed = df.select(*others(df, *new, "m_source", "m_size", "m_key"), source.alias("m_source"), word_count(text).alias("m_size"),
-                      mix_key(col(id_column), text, seed).alias("m_key"))
-    narrow = checkpointed(keyed.select("m_source", "m_size", "m_key"))
-    return _applied(df, keyed, _cuts(narrow, weights, most), new)
-
-
-def _applied(df: DataFrame, keyed: DataFrame, cuts: DataFrame, new: Sequence[str]) -> DataFrame:
-    renamed = cuts.select(F.col("m_source").alias("c_source"), "source_size", "target", "m_epochs", F.col("m_key").alias("c_key"), "m_words")
-    joined = keyed.join(small_side(renamed), F.col("m_source").eqNullSafe(F.col("c_source")), "left")
-    before, here = F.coalesce(F.col("m_key") < F.col("c_key"), F.lit(False)), F.coalesce(F.col("m_key") == F.col("c_key"), F.lit(False))
-    epochs = F.col("m_epochs") + before.cast("int")
-    words = F.when(here, F.least("m_words", "m_size")).otherwise(F.lit(0)).cast("bigint")
-    return joined.select(*others(df, *new), F.col("m_size").alias("size"), "source_size", "target",
-                         (F.col("m_size") * epochs + words).alias("taken"), epochs.alias("epochs"), words.alias("cut_words"))
+    own = unused(df, "m_source", "m_size", "m_key")
+    worked = (source, word_count(text), mix_key(col(id_column), text, seed))
+    narrow = checkpointed(df.select(*[w.alias(n) for w, n in zip(worked, ("m_source", "m_size", "m_key"))]))
+    keyed = df.select(*others(df, *new), *[w.alias(n) for w, n in zip(worked, own)])
+    return _applied(df, keyed, _cuts(narrow, weights, most), new, own)
+
+
+def _applied(df: DataFrame, keyed: DataFrame, cuts: DataFrame, new: Sequence[str], own: Sequence[str]) -> DataFrame:
+    """``keyed`` (``df`` and the working columns ``own``) with what its source's cut gives each row."""
+    names = unused(df, "c_source", "c_key", "c_epochs", "c_words")
+    c_source, c_key, c_epochs, c_words = map(F.col, names)
+    m_source, m_size, m_key = map(F.col, own)
+    renamed = cuts.select(*[F.col(c).alias(n) for c, n in zip(("m_source", "m_key", "m_epochs", "m_words"), names)], "source_size", "target")
+    joined = keyed.join(small_side(renamed), m_source.eqNullSafe(c_source), "left")
+    before, here = F.coalesce(m_key < c_key, F.lit(False)), F.coalesce(m_key == c_key, F.lit(False))
+    epochs = c_epochs + before.cast("int")
+    words = F.when(here, F.least(c_words, m_size)).otherwise(F.lit(0)).cast("bigint")
+    return joined.select(*others(df, *new), m_size.alias("size"), "source_size", "target",
+                         (m_size * epochs + words).alias("taken"), epochs.alias("epochs"), words.alias("cut_words"))

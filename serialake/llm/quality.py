@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from serialake.llm.common import checkpointed, col, others, slices, small_side
+from serialake.llm.common import checkpointed, col, others, slices, small_side, unused
 
 ORDER = 4
 SHARD = 2_000_000
@@ -284,6 +284,7 @@ def judged(df: DataFrame, trusted_ids: DataFrame, *, id_column: str = "doc_id",
 
 def keep_good(df: DataFrame, trusted_ids: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
     """The rows of ``df`` whose perplexity is within their language's threshold; columns unchanged."""
-    bad = judged(df, trusted_ids, id_column=id_column, text_column=text_column, **options).where("not keep").select(F.col("doc_id").alias("b_id"), F.col("text_hash").alias("b_hash")).distinct()
-    keyed = df.select(*others(df, "__hash"), F.xxhash64(col(text_column).cast("string")).alias("__hash"))
-    return keyed.join(small_side(bad), col(id_column).cast("bigint").eqNullSafe(F.col("b_id")) & (F.col("__hash") == F.col("b_hash")), "left_anti").select(*others(df, "__hash"))
+    b_id, b_hash, own_id, own_hash = unused(df, "b_id", "b_hash", "own_id", "own_hash")
+    bad = judged(df, trusted_ids, id_column=id_column, text_column=text_column, **options).where("not keep").select(F.col("doc_id").alias(b_id), F.col("text_hash").alias(b_hash)).distinct()
+    keyed = df.select(*others(df), col(id_column).cast("bigint").alias(own_id), F.xxhash64(col(text_column).cast("string")).alias(own_hash))
+    return keyed.join(small_side(bad), F.col(own_id).eqNullSafe(F.col(b_id)) & (F.col(own_hash) == F.col(b_hash)), "left_anti").select(*others(df))

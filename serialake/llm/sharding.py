@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from serialake.functions.search import constant_longs, count_not_above
-from serialake.llm.common import checkpointed, col, others
+from serialake.llm.common import checkpointed, col, others, unused
 
 LOWEST, HIGHEST, GROUP = -(1 << 63), (1 << 63) - 1, 1 << 32
 
@@ -110,10 +110,11 @@ def shard_by_bytes(df: DataFrame, *, shards: int, id_column: str = "doc_id", tex
         ordered.append(max(here, ordered[-1]) if ordered else here)
     below = [0] + [c[2] for c in ordered]
     offsets = [below[r] - below[r - r % per_shard] for r in range(edges)]
-    keyed = df.select(*others(df, "shard", "slot", "__key", "__range"), key.alias("__key"))
-    ranged = keyed.withColumn("__range", count_not_above([c[0] for c in ordered], F.col("__key")))
-    place = F.row_number().over(W.partitionBy("__range").orderBy("__key", col(id_column)))
+    own_key, own_range, own_id = unused(df, "own_key", "own_range", "own_id")
+    keyed = df.select(*others(df, "shard", "slot"), key.alias(own_key), col(id_column).alias(own_id))
+    ranged = keyed.withColumn(own_range, count_not_above([c[0] for c in ordered], F.col(own_key)))
+    place = F.row_number().over(W.partitionBy(own_range).orderBy(own_key, own_id))
     return ranged.select(
         *others(df, "shard", "slot"),
-        F.floor(F.col("__range") / per_shard).cast("int").alias("shard"),
-        (F.get(constant_longs(offsets), F.col("__range")) + place - 1).cast("bigint").alias("slot"))
+        F.floor(F.col(own_range) / per_shard).cast("int").alias("shard"),
+        (F.get(constant_longs(offsets), F.col(own_range)) + place - 1).cast("bigint").alias("slot"))

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from serialake.llm.common import col, others
+from serialake.llm.common import col, others, unused
 
 BUCKETS = 1 << 13
 SIZES = (3, 4)
@@ -30,35 +30,31 @@ RULES = (
     ("net", "/fr/", "block"),
 )
 
-#: The labelled URL table used when none is given.
-BLOCKED = (
-    "http://cheap-pills.example.org/en/12", "https://www.cheap-pills.example.net/offer/3.html", "http://buy-pills.test/cheap/88?ref=x",
-    "https://m.pills-online.test/order", "http://discount-pharma.test/pills/cheap", "https://blog.cheap-meds.test/de/41/",
-    "http://casino-win.example.net/en/5", "https://www.casino-win.example.org/fr/77.html", "http://blog.casino-royal.test/slots/9",
-    "https://big-casino.test/win/jackpot", "http://win-money.test/casino", "https://m.lucky-win.test/es/4",
-    "http://free-bets.example.com/en/901", "https://www.free-bets.example.net/es/13/", "http://bets-online.test/free/2",
-    "https://m.sports-bets.test/bonus", "http://free-money.test/bets/31", "https://blog.free-spins.test/en/8#top",
-    "http://spam-farm.example.net/en/64", "https://www.spam-farm.example.com/de/5?page=2", "http://m.spam-links.test/farm/1",
-    "https://link-farm.test/spam/777", "http://content-farm.test/en/6.html", "https://blog.seo-spam.test/fr/90",
-    "http://adult-x.example.org/en/17", "https://m.adult-x.example.net/fr/360/", "http://adult-cams.test/x/44",
-    "https://xxx-adult.test/en/2", "http://blog.adult-videos.test/x.html", "https://www.adult-dating.test/es/19",
-    "http://ads-track.example.net/en/29", "https://blog.ads-track.example.org/es/3.html", "http://track-ads.test/click/8",
-    "https://m.ads-server.test/track?id=5", "http://pixel-track.test/ads/10", "https://www.click-ads.test/de/71",
+#: Site names of the labelled table used when none is given. No host of a judged table may be among them: the tests assert it for the test tables.
+BLOCKED_NAMES = (
+    "buy-viagra", "discount-pharma", "cheap-meds", "online-pharmacy", "diet-pills", "pills-shop", "cheap-watches", "replica-bags", "miracle-cure", "weight-loss-now",
+    "online-casino", "casino-royal", "vegas-slots", "poker-night", "big-casino", "lucky-win", "win-prizes", "jackpot-city", "sports-bets", "bets-online", "bonus-bets", "live-betting",
+    "free-spins", "free-money", "free-followers", "payday-loans", "quick-cash", "cheap-likes", "spam-links", "seo-spam", "link-farm", "content-farm", "mass-mail",
+    "adult-cams", "xxx-adult", "adult-videos", "adult-dating", "hot-singles", "ads-server", "click-ads", "banner-ads", "ad-tracker", "track-clicks", "pixel-track",
 )
-ALLOWED = (
-    "http://garden.example.org/en/12", "https://www.library.example.net/catalog/3.html", "http://recipes.test/bread/88?ref=x",
-    "https://m.weather.test/today", "http://university.test/physics/lecture", "https://blog.cooking.test/de/41/",
-    "http://therand.example.net/en/5", "https://www.ththon.example.org/fr/77.html", "http://blog.tionter.example.com/en/9",
-    "https://museum.test/exhibits/roman", "http://history.test/rome", "https://m.thering.example.net/es/4",
-    "http://theres.example.com/en/901", "https://www.anthent.example.net/es/13/", "http://newspaper.test/local/2",
-    "https://m.football.test/results", "http://science.test/biology/31", "https://blog.travel.test/en/8#top",
-    "http://ouerth.example.net/en/64", "https://www.ndthing.example.com/de/5?page=2", "http://m.thwhth.example.org/en/1",
-    "https://farmers.test/market/777", "http://village.test/en/6.html", "https://blog.music.test/fr/90",
-    "http://thertion.example.org/en/17", "https://m.ereth.example.net/fr/360/", "http://architecture.test/houses/44",
-    "https://school.test/en/2", "http://blog.thehat.example.net/lessons.html", "https://www.hospital.test/es/19",
-    "http://tionsh.example.net/en/29", "https://blog.thther.example.org/es/3.html", "http://railway.test/tickets/8",
-    "https://m.theatre.test/programme?id=5", "http://city-library.test/books/10", "https://www.old-town.test/de/71",
+ALLOWED_NAMES = (
+    "garden", "library", "recipes", "weather", "university", "cooking", "museum", "history", "newspaper", "football", "science", "travel", "village", "music", "architecture",
+    "school", "hospital", "railway", "theatre", "nation", "thunder", "northern-lights", "mathematics", "brother", "feather", "athletics", "earth-watch", "truth", "breathing",
+    "station", "tradition", "education", "painting", "knitting", "sailing", "writing", "hathaway", "leather", "teaching", "method", "city-library", "old-town", "book-club",
+    "farmers-market", "open-data", "night-train", "street-theatre", "winter-sports", "track-and-field", "readings", "therapy", "anthem", "thesis", "thanet", "pathways",
+    "letters", "orchestra", "harbour", "cathedral", "forest", "mountain", "river", "bakery", "pottery", "chess", "astronomy", "geology", "botany", "folklore", "the-herald",
 )
+DOMAINS = ("example.org", "example.net", "example.com", "test")
+SUBDOMAINS = ("", "www.", "m.", "blog.")
+PATHS = ("/en/12", "/fr/360/", "/de/5.html", "/es/901", "/en/7")
+
+
+def _labelled(names: Sequence[str]) -> tuple[str, ...]:
+    """Two urls per name; domains, subdomains and paths go round alike for both labels, so only names tell them apart."""
+    return tuple(f"http://{SUBDOMAINS[(i + j) % 4]}{name}.{DOMAINS[(i + 2 * j) % 4]}{PATHS[(i + j) % 5]}" for i, name in enumerate(names) for j in range(2))
+
+
+BLOCKED, ALLOWED = _labelled(BLOCKED_NAMES), _labelled(ALLOWED_NAMES)
 
 
 @dataclass
@@ -156,8 +152,9 @@ def judge(df: DataFrame, model: UrlModel, *, url_column: str = "url", rules: Seq
     """
     new = ("host", "path", "score", "rule", "verdict")
     url = col(url_column)
-    parts = df.select(*others(df, "__host", "__path"), F.coalesce(host_of(url), F.lit("")).alias("__host"), F.coalesce(path_of(url), F.lit("")).alias("__path"))
-    host, path = F.col("__host"), F.col("__path")
-    scored = parts.withColumn("__score", 1 / (1 + F.exp(-margin(model, host, path)))).withColumn("__rule", rule_of(host, path, rules))
-    verdict = F.coalesce(F.col("__rule.verdict"), F.when(F.col("__score") >= 0.5, F.lit("block")).otherwise(F.lit("allow")))
-    return scored.select(*others(df, *new), host.alias("host"), path.alias("path"), F.col("__score").alias("score"), F.col("__rule.rule").alias("rule"), verdict.alias("verdict"))
+    names = unused(df, "own_host", "own_path", "own_score", "own_rule")
+    host, path, score, rule = map(F.col, names)
+    parts = df.select(*others(df), F.coalesce(host_of(url), F.lit("")).alias(names[0]), F.coalesce(path_of(url), F.lit("")).alias(names[1]))
+    scored = parts.withColumn(names[2], 1 / (1 + F.exp(-margin(model, host, path)))).withColumn(names[3], rule_of(host, path, rules))
+    verdict = F.coalesce(rule["verdict"], F.when(score >= 0.5, F.lit("block")).otherwise(F.lit("allow")))
+    return scored.select(*others(df, *new), host.alias("host"), path.alias("path"), score.alias("score"), rule["rule"].alias("rule"), verdict.alias("verdict"))

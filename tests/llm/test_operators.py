@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from serialake.llm import media, quality, queries, toxicity, topk, url_filter
+from serialake.llm import media, mixing, quality, queries, sharding, toxicity, topk, url_filter
 
 SF = "/root/testdata/sf0.01"
 
@@ -248,3 +248,34 @@ def test_distances_are_compressed_lengths():
     toxic, usual = b" idiot  moron  worthless " * 3, b" the  and  of  thing " * 3
     found = toxicity.Distances(toxic, usual)
     assert found["worthless"] >= 3 and found["thing"] <= 0 and found["worthlessness"] >= 3
+
+
+# -- labelled urls, unusual images, working columns ------------------------------------------------------------------
+
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01", "sf0.1"])
+def test_url_labels_share_no_host_with_the_pages(spark, folder):
+    """No labelled site name is the site of a page, whatever the subdomain and domain."""
+    hosts = {parts(r.url)[0] for r in spark.read.parquet(f"/root/testdata/{folder}/pages.parquet").select("url").collect()}
+    sites = {re.sub("^(www|m|blog)[.]", "", h).split(".")[0] for h in hosts}
+    assert len(sites) > 5 and not sites & {*url_filter.BLOCKED_NAMES, *url_filter.ALLOWED_NAMES} and not hosts & {parts(u)[0] for u in url_filter.BLOCKED + url_filter.ALLOWED}
+
+
+def test_unusual_images(spark):
+    for bad in (b"P5 99999999999999999999 1 255\n" + bytes(9), b"P2 1 1 255\n99999999999999999999\n", b"P2 1 1 255\n-5\n", b"P2 1 1 9\n10\n", b"P5 1 1 9\n\x0a"):
+        with pytest.raises(ValueError):
+            media.decode(bad)
+    image = np.random.default_rng(1).integers(0, 256, (700, 300)).astype(np.uint8)
+    back, hashes = media.from_tiles([(r, c, media.npy(t)) for r, c, t in media.tiles(image, 256)], 256)
+    assert (back == image).all() and hashes == [media.difference_hash(t) for _, _, t in media.tiles(image, 256)] and len(hashes) == 6
+
+
+def test_working_columns_never_clash(spark):
+    """A caller's columns survive, even under the names an operator works with."""
+    names = ("own_key", "own_range", "own_id", "own_hash", "own_host", "own_path", "own_score", "own_rule", "m_source", "m_size", "m_key", "c_source", "c_key", "c_epochs", "c_words", "M_EPOCHS", "b_id", "b_hash", "e_cell")
+    docs = spark.createDataFrame([(i, f"some words of text {i}", "en", "a", f"http://h{i}.test/x", *[f"{n}{i}" for n in names]) for i in range(6)],
+                                 "doc_id bigint, text string, lang string, source string, url string, " + ", ".join(f"{n} string" for n in names))
+    ids = docs.select("doc_id")
+    made = (url_filter.judge(docs, url_filter.UrlModel(0.0, [0.0] * url_filter.BUCKETS)), sharding.shard_by_bytes(docs, shards=2), mixing.mix_sources(docs), quality.keep_good(docs, ids))
+    for out in made:
+        assert [c for c in out.columns if c in docs.columns] == docs.columns
+        assert {tuple(r) for r in out.select(*docs.columns).collect()} == {tuple(r) for r in docs.collect()}
