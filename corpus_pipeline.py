@@ -11,14 +11,21 @@ from serialake.llm.common import table
 from serialake.llm.queries import RANKS, trusted_ids
 
 DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
-LEAST_SCORE = 0.3  # below, no learned language fits clearly better than the others (four equal ones have 0.25 each)
+LEAST_LEAD = 1 / 15  # of the way from even shares of all learned languages (0) to certainty (1)
+
+
+def least_score(languages: int) -> float:
+    """The score from which a language fits clearly better than the others: equal ones have 1 / ``languages`` each, so a text in a
+    script that no language knows stays below, however many are learned (0.53 for two, 0.3 for four; a single one is never doubted)."""
+    return (1 + LEAST_LEAD * (languages - 1)) / max(1, languages)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language, ``lang`` as predicted; rejected: no text or letters, or no clear language."""
     model = langid.fit(docs)
     found = langid.with_language(docs.select(*DOCUMENT), model)
-    return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).withColumn("lang", F.col("lang_pred")).select(*DOCUMENT)
+    clear = F.col("score") >= least_score(len(model.languages))
+    return found.where((F.col("lang_pred") != langid.UNDETERMINED) & clear).withColumn("lang", F.col("lang_pred")).select(*DOCUMENT)
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,11 +30,22 @@ def test_columns(stages):
 
 def test_language(spark, stages):
     before, after = stages[0], stages[1]
-    found = {r.doc_id: r for r in langid.identify(before, langid.fit(before)).collect()}
-    want = {i: r.lang_pred for i, r in found.items() if r.lang_pred != "und" and r.score >= corpus_pipeline.LEAST_SCORE}
+    model = langid.fit(before)
+    least = corpus_pipeline.least_score(len(model.languages))
+    found = {r.doc_id: r for r in langid.identify(before, model).collect()}
+    want = {i: r.lang_pred for i, r in found.items() if r.lang_pred != "und" and r.score >= least}
     assert {r.doc_id: r.lang for r in after.collect()} == want and len(want) >= 0.99 * before.count()
 
 
+def test_unknown_script_with_two_languages(spark):
+    words = {"en": "the house stands near the river and the road", "de": "das haus steht an dem fluss und der strasse"}
+    rows = [(i, words[lang], lang, "s", 0) for i, lang in enumerate(["en", "de"] * 3)] + [(11, "\u4f60\u597d \u4e16\u754c", None, "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    after = corpus_pipeline.language(spark, docs, SF)
+    assert sorted((r.doc_id, r.lang) for r in after.collect()) == [(i, lang) for i, lang in enumerate(["en", "de"] * 3)]
+    assert [round(corpus_pipeline.least_score(n), 3) for n in (1, 2, 4, 100)] == [1.0, 0.533, 0.3, 0.076]
+
+
 def test_quality(spark, stages):
     before, after = stages[1], stages[2]
     kept = {r.doc_id for r in quality.judged(before, queries.trusted_ids(spark, SF)).where("keep").collect()}
