@@ -43,6 +43,7 @@ NEAR = 32                     # of its first 128 bits; pairs at 0.8 differ in 19
 LEADERS = 3                   # members of a bucket whose neighbours are joined before any tree is searched
 BLOCK, BLOCK_SHINGLES = 500, 500_000  # members and shingles of a block, on average
 REDEALS = 2                   # times the members of a group of several blocks are dealt anew
+PART_ROWS, PART_SHINGLES = 200_000, 4_000_000  # rows of ids, and shingles, of a partition of the tables that are written between steps
 
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -246,6 +247,42 @@ def bit_duplicates(df: DataFrame, *, id_column: str = "doc_id", text_column: str
     return rows.join(ids, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
+def _written(df: DataFrame, rows: int, most: int = PART_ROWS) -> DataFrame:
+    """``df``, which has about ``rows`` rows, checkpointed in partitions of about ``most`` rows: a table that shrinks from step to step
+    must not keep a file and a shuffle block for each of the session's partitions."""
+    return checkpointed(df.coalesce(max(1, math.ceil(rows / most))))
+
+
+def contracted(links: DataFrame) -> DataFrame:
+    """(fp, root) for every linked value like ``components``, for many links between few values.
+
+    Each round hangs every value below its smallest neighbour, doubles these steps until they end, and replaces both ends of the links by
+    where they end. Only values smaller than all their neighbours are left, at most half of them; links whose ends have met and repeated
+    links go. So there are at most log2(values) rounds, and a hot group's links are read once.
+    """
+    edges = checkpointed(links.where("a <> b").select("a", "b"))
+    left, label, values = edges.count(), None, 0
+    edges = edges.coalesce(max(1, math.ceil(left / PART_ROWS)))
+    while left:
+        both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hung = _written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("root")), 2 * left)
+        moved = True
+        while moved:
+            over = hung.select(F.col("v").alias("root"), F.col("root").alias("next"))
+            jumped = _written(hung.join(over, "root").select("v", F.col("next").alias("root"), (F.col("next") < F.col("root")).alias("moved")), 2 * left)
+            hung, moved = jumped.select("v", "root"), not jumped.where("moved").isEmpty()
+        if label is None:
+            label, values = hung.select(F.col("v").alias("fp"), "root"), hung.count()
+        else:
+            label = _written(label.join(hung.select(F.col("v").alias("root"), F.col("root").alias("next")), "root", "left").select("fp", F.coalesce("next", "root").alias("root")), values)
+        one = hung.select(F.col("v").alias("a"), F.col("root").alias("x"))
+        other = hung.select(F.col("v").alias("b"), F.col("root").alias("y"))
+        met = edges.join(one, "a").select("x", "b").where("x <> b").join(other, "b").where("x <> y")
+        edges = _written(met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), left)
+        left = edges.count()
+    return label if label is not None else edges.select(F.col("a").alias("fp"), F.col("b").alias("root"))
+
+
 # -- near copies by overlap ------------------------------------------------------------------------------------------
 
 def wide_fingerprint(distinct: np.ndarray) -> bytes:
@@ -378,7 +415,7 @@ def _candidates(members: DataFrame, places: np.ndarray) -> DataFrame:
 
 def _sets(groups: DataFrame, members: DataFrame, df: DataFrame, text_column: str, width: int) -> DataFrame:
     """set_hash and shingles (array of distinct hashes) of every member of a candidate group."""
-    asked = checkpointed(members.join(groups, "set_hash", "left_semi").select(F.col("text_hash").alias("t_hash")).distinct())
+    asked = _written(members.join(groups, "set_hash", "left_semi").select(F.col("text_hash").alias("t_hash")).distinct(), groups.count())
 
     def spell(batches):
         seen: set[int] = set()
@@ -445,7 +482,7 @@ def _parts(count: str, shingles: str):
 
 
 def _rooted(placed: DataFrame, links: DataFrame) -> DataFrame:
-    found = components(links).select(F.col("fp").alias("set_hash"), F.col("root").alias("r"))
+    found = contracted(links).select(F.col("fp").alias("set_hash"), F.col("root").alias("r"))
     return placed.join(found, "set_hash", "left").withColumn("root", F.coalesce("r", "set_hash")).drop("r")
 
 
@@ -455,9 +492,10 @@ def _true_links(groups: DataFrame, sets: DataFrame, similarity: float) -> DataFr
     A group of one block is settled by one comparison. The members of others are dealt to blocks anew a few times, which joins most
     of what belongs together; then what is outside the group's largest component is compared with all of the group, block against block.
     """
-    narrow = groups.join(sets.select("set_hash", F.size("shingles").alias("m")), "set_hash")
+    rows = groups.count()
+    narrow = _written(groups.join(sets.select("set_hash", F.size("shingles").alias("m")), "set_hash"), rows)
     sizes = narrow.groupBy("group").agg(F.count("*").alias("n"), F.sum("m").alias("s")).select("group", _parts("n", "s").alias("parts"))
-    placed = checkpointed(narrow.join(sizes, "group"))
+    placed = _written(narrow.join(sizes, "group"), rows)
 
     def block(salt: int, parts):
         return F.pmod(F.xxhash64("set_hash", F.lit(salt)), parts)
@@ -467,16 +505,16 @@ def _true_links(groups: DataFrame, sets: DataFrame, similarity: float) -> DataFr
         return checkpointed(_block_links(sets.join(own, "set_hash"), similarity))
 
     links = inside(placed, 0)
-    large = checkpointed(placed.where("parts > 1"))
+    large = _written(placed.where("parts > 1"), rows)
     if large.isEmpty():
         return links
     for salt in range(1, REDEALS + 1):
         links = links.unionAll(inside(large, salt))
-    rooted = checkpointed(_rooted(large, links))
+    rooted = _written(_rooted(large, links), rows)
     by_root = rooted.groupBy("group", "root").agg(F.count("*").alias("n"), F.sum("m").alias("s"))
     summary = by_root.groupBy("group").agg(F.max(F.struct("n", "root")).alias("top"), F.max_by("s", F.struct("n", "root")).alias("of_top"), F.sum("n").alias("n"), F.sum("s").alias("s"))
     summary = summary.select("group", F.col("top.root").alias("main"), (F.col("n") - F.col("top.n")).alias("n"), (F.col("s") - F.col("of_top")).alias("s"))
-    open_ = checkpointed(rooted.join(summary.where("n > 0").select("group", "main", _parts("n", "s").alias("outside")), "group"))
+    open_ = _written(rooted.join(summary.where("n > 0").select("group", "main", _parts("n", "s").alias("outside")), "group"), rows)
     mine, theirs = block(0, F.col("outside")), block(0, F.col("parts"))
     numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
     asking = open_.where("root <> main").select("set_hash", "group", mine.alias("block"), numbers("parts").alias("other"), F.lit(1).alias("asked"))
@@ -494,7 +532,7 @@ def near_duplicates(df: DataFrame, *, id_column: str = "doc_id", text_column: st
     rows = checkpointed(_shingle_sets(df, id_column, text_column, width))
     distinct = checkpointed(rows.groupBy("set_hash").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"), F.min("bits").alias("bits")))
     stars = checkpointed(_candidates(distinct, tables(distinct.count(), similarity)))
-    groups = components(stars).select(F.col("fp").alias("set_hash"), F.col("root").alias("group"))
+    groups = contracted(stars).select(F.col("fp").alias("set_hash"), F.col("root").alias("group"))
     links = _true_links(groups, _sets(groups, distinct, df, text_column, width), similarity)
     members = _rooted(distinct.select("set_hash", "least"), links)
     named = members.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -169,6 +169,14 @@ def test_groups_of_several_blocks_are_those_of_brute_force(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in found} == dict(enumerate(want)) and len(set(want)) > 30
 
 
+def test_contracted_links_are_components(spark):
+    """Chains in order and out of order, loops, repeated links."""
+    links = [(i + 1, i) for i in range(40)] + [(100 + i * 37 % 41, 100 + (i + 1) * 37 % 41) for i in range(40)] * 2 + [(7, 7), (500, 500), (-3, -9)]
+    found = {r.fp: r.root for r in simhash.contracted(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert found == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(41)}, -3: -9, -9: -9}
+    assert simhash.contracted(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_bucket_stars_are_the_components_of_all_pairs():
     rng = np.random.default_rng(4)
     buckets, fps = [], []
