@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Tables whose queries spend their time in expressions, with their row key.
 _TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
+TASKS_A_CORE = 4
 
 
 class Tables:
@@ -28,6 +29,12 @@ class Tables:
             return table.repartition(cores, _TEXT_TABLES[name])
         return table
 
+    def spread(self, name: str, key: str) -> DataFrame:
+        """A table of short rows that each cost much work: dealt by ``key`` to several tasks a core, however few splits its bytes make."""
+        table = getattr(self, name)
+        tasks = TASKS_A_CORE * self.spark.sparkContext.defaultParallelism
+        return table if table.rdd.getNumPartitions() >= tasks else table.repartition(tasks, key)
+
 
 class Catalog:
     def __init__(self) -> None:

@@ -1,6 +1,8 @@
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from serialake import rules
+from serialake.catalog.registry import Tables
 from serialake.operators import chains, extract, nodes
 from serialake.plans import cleaning
 from serialake.rules import Rule
@@ -140,6 +142,30 @@ def test_direct_child_selector(spark):
     assert [e["text"] for e in found] == ["1-2"]
 
 
+def test_selectors_shared_by_rules_are_tested_once(monkeypatch):
+    tested, matches = [], nodes._matches
+    monkeypatch.setattr(nodes, "_matches", lambda stack, index, chain, step=0: tested.append(chain) or matches(stack, index, chain, step))
+    many = [Rule(f"f{i}", "a[href]", i, "div.x", i) for i in range(30)] + [Rule("g", "li.never")]
+    found = nodes.walk("<div class='x'><p>1</p><a href='/y'>2</a></div>", nodes.plain_rules(many), ("script", "style"))
+    assert [e["field"] for e in found] == [f"f{i}" for i in range(30)] and len(tested) == 2
+
+
+def test_elements_are_made_in_slices(spark):
+    assert [len(s) for s in nodes.slices(pa.array(range(150)))] == [64, 64, 22]
+    htmls = [None, *[f"<p>{i}</p>" for i in range(1, 150)]]
+    made = nodes._walked(lambda page: nodes.walk(page, (("p", "p", 0, None, 0),), ()), pa.array(htmls))
+    assert [[e["text"] for e in page] for page in made.to_pylist()] == [[], *[[str(i)] for i in range(1, 150)]]
+    assert nodes._walked(lambda page: [], pa.array([], pa.string())).to_pylist() == []
+    found = pages(spark, *htmls).select("page_id", nodes.find_elements(F.col("html"), [Rule("p", "p")])["text"].alias("t"))
+    assert {r["page_id"]: r["t"] for r in found.collect()} == {0: [], **{i: [str(i)] for i in range(1, 150)}}
+
+
+def test_short_rows_of_much_work_are_spread(spark, tmp_path):
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    spread = Tables(spark, str(tmp_path)).spread("customer", "id")
+    assert spread.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism and spread.count() == 100
+
+
 READER = """<html><body class="single postid-77"><div class="post-title"><h1> A  Title </h1></div>
 <div class="post-content_item"><div class="summary-heading"><h3>Tác giả</h3></div><div class="summary-content"><div>Nobody</div></div></div>
 <div class="post-content_item"><div class="summary-heading"><h3> Trạng thái </h3></div><div class="summary-content"><div>Hoàn <b>thành</b></div></div></div>
