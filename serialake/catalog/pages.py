@@ -7,11 +7,10 @@ import html as html_lib
 import re
 import zlib
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 from serialake import rules
 from serialake.catalog.registry import Catalog
@@ -81,12 +80,12 @@ _CARDS = "(select *, unnest([c_custkey, c_custkey + 7]) as k from customer)"
 @q("b3_card_listing", f"""select c_custkey as page_id, 'Work ' || k as title, 'https://l.example/doc-truyen/' || k as url, 'Part ' || c_nationkey as latest_part,
     'https://l.example/doc-truyen/' || k || '/chuong-' || c_nationkey as latest_part_url, c_mktsegment as author from {_CARDS} where c_custkey % 3 <> 0""")
 def _(t):
-    return extract.listing_rows(card_pages(t.customer).where("page_id % 3 <> 0"), rules.CATALOG_LISTING).drop("pos")
+    return extract.listing_rows(card_pages(t.spread("customer", "c_custkey")).where("page_id % 3 <> 0"), rules.CATALOG_LISTING).drop("pos")
 
 
 @q("b3_schema_listing", f"select c_custkey as page_id, 'Work ' || k as title, 'https://l.example/w/' || k as url, c_mktsegment as author from {_CARDS} where c_custkey % 3 = 0")
 def _(t):
-    return extract.listing_rows(card_pages(t.customer), rules.SCHEMA_LISTING).select("page_id", "title", "url", "author")
+    return extract.listing_rows(card_pages(t.spread("customer", "c_custkey")), rules.SCHEMA_LISTING).select("page_id", "title", "url", "author")
 
 
 @q("b13_page_identifiers", """select c_custkey as page_id, 'n' || c_custkey as nonce, case c_custkey % 3 when 0 then cast(c_custkey as varchar) when 1 then 'r' || c_custkey else 'p' || c_custkey end as work_id from customer""")
@@ -157,7 +156,7 @@ def reader_pages(customer):
     case c_custkey % 3 when 0 then c_custkey when 1 then greatest(10, 11, c_custkey * 10 + 1) else 2 end as total_parts, cast(c_custkey as varchar) as work_id, null::varchar as work_path,
     cast(c_nationkey as varchar) as rating_value, nullif(cast(c_custkey as varchar), '0') as rating_count, '{}' as stats, 'reader' as source from customer""")
 def _(t):
-    detail = extract.work_detail(reader_pages(t.customer), rules.READER_DETAIL, status_heading=rules.READER_STATUS_HEADING, description_separator="\n", source=F.lit("reader"))
+    detail = extract.work_detail(reader_pages(t.spread("customer", "c_custkey")), rules.READER_DETAIL, status_heading=rules.READER_STATUS_HEADING, description_separator="\n", source=F.lit("reader"))
     pairs = F.transform("categories", lambda c: F.concat(c["name"], F.lit("="), c["url"]))
     return detail.withColumns({"categories": F.array_join(pairs, ","), "tags": F.array_join("tags", ","), "stats": F.to_json("stats")})
 
@@ -165,7 +164,7 @@ def _(t):
 @q("b12_page_ranges", """select c_custkey as page_id, 0 as pos, 1::bigint as "from", 10::bigint as "to" from customer where c_custkey % 3 = 1 union all
     select c_custkey, 1, least(11, c_custkey * 10 + 1), greatest(11, c_custkey * 10 + 1) from customer where c_custkey % 3 = 1""")
 def _(t):
-    return extract.page_ranges(reader_pages(t.customer), rules.READER_RANGES)
+    return extract.page_ranges(reader_pages(t.spread("customer", "c_custkey")), rules.READER_RANGES)
 
 
 @q("b6_part_list", rf"""select page_id, title, url from (select page_id, name as title, {ORIGIN} || href as url,
@@ -194,9 +193,10 @@ def _(t):
     return found.select("page_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
-@pandas_udf(T.StringType())
-def _deflate(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: base64.b64encode(zlib.compress(v.encode())).decode())
+@arrow_udf(T.StringType())
+def _deflate(values: pa.Array) -> pa.Array:
+    made = [pa.array([base64.b64encode(zlib.compress(v.encode())).decode() for v in some.to_pylist()], pa.string()) for some in nodes.slices(values)]
+    return pa.concat_arrays(made) if made else pa.array([], pa.string())
 
 
 @q("b8_embedded_payload", "select doc_id, text as payload from documents")

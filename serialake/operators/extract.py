@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -179,20 +179,23 @@ def reader_content(pages: DataFrame, rules: Sequence[Rule], *, page_id: str = "p
     """
     plain = nodes.plain_rules(rules)
     key = pages.schema[page_id].dataType.simpleString()
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for page in pdf["html"]:
-                found = nodes.walk(page, plain, ())
-                titles = sorted((e["rank"], e["pos"], e["text"]) for e in found if e["field"] == "title" and e["text"])
-                held = [(e["rank"], e["text"]) for e in found if e["field"] == "content" and e["text"]]
-                best = min((rank for rank, _ in held), default=None)
-                rows.append((titles[0][2] if titles else None, payload.fragment_of([e for e in found if e["field"] == "script"]), "\n".join(t for rank, t in held if rank == best) or None))
-            titles, fragments, texts = zip(*rows) if rows else ((), (), ())
-            yield pd.DataFrame({"page": pdf["page"], **{n: pd.Series(list(v), dtype=object) for n, v in (("title", titles), ("fragment", fragments), ("held", texts))}})
-
-    found = pages.select(F.col(page_id).alias("page"), F.col(html).alias("html")).mapInPandas(read, f"page {key}, title string, fragment string, held string")
+    names = ("title", "fragment", "held")
+
+    def one(page: str | None) -> tuple:
+        found = nodes.walk(page, plain, ())
+        titles = sorted((e["rank"], e["pos"], e["text"]) for e in found if e["field"] == "title" and e["text"])
+        held = [(e["rank"], e["text"]) for e in found if e["field"] == "content" and e["text"]]
+        best = min((rank for rank, _ in held), default=None)
+        return titles[0][2] if titles else None, payload.fragment_of([e for e in found if e["field"] == "script"]), "\n".join(t for rank, t in held if rank == best) or None
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A slice at a time: an inflated page is many times as large as its payload.
+        for batch in batches:
+            for some in nodes.slices(batch):
+                columns = zip(*[one(page) for page in some.column("html").to_pylist()])
+                yield pa.RecordBatch.from_arrays([some.column("page"), *[pa.array(c, pa.string()) for c in columns]], ["page", *names])
+
+    found = pages.select(F.col(page_id).alias("page"), F.col(html).alias("html")).mapInArrow(read, f"page {key}, title string, fragment string, held string")
     part = found.select(F.col("page").alias(page_id), "title", "held", F.trim(markup.squeeze_breaks("fragment")).alias("fragment"))
     pieces = F.filter(F.transform(F.split("fragment", r"(?i)<br\s*/?>"), lambda x: text.uni_trim(x)), lambda x: x != "")
     wrapped = F.array_join(F.transform(pieces, lambda x: F.concat(F.lit("<p>"), x, F.lit("</p>"))), "")
