@@ -100,12 +100,15 @@ def trailing_counts(rows: DataFrame, *, time: str, seconds: int, pool: str | Non
     """J6 twin: for each row the rows of its pool less than ``seconds`` old, itself included (no reset).
 
     Time is cut into blocks as wide as the look-back; every row also visits the next block as context,
-    so a window never spans more than two blocks.
+    so a window never spans more than two blocks. Within a block the count is a running sum: rows of the block come in
+    at their time, those of the block before are there from the start and go when they are ``seconds`` old.
     """
     width = seconds * 1_000_000
     at = F.unix_micros(F.col(time).cast("timestamp"))
     own = F.floor(at / width)
     spread = rows.withColumn("__at", at).withColumn("__own", own).withColumn("__block", F.explode(F.array(own, own + 1)))
-    window = W.partitionBy(*([pool] if pool else []), "__block").orderBy("__at").rangeBetween(-(width - 1), 0)
-    counted = spread.withColumn("recent", F.count("*").over(window))
+    context = F.col("__own") < F.col("__block")
+    block = W.partitionBy(*([pool] if pool else []), "__block")
+    so_far = block.orderBy(F.col("__at") + F.when(context, width).otherwise(0)).rangeBetween(W.unboundedPreceding, 0)
+    counted = spread.withColumn("recent", F.sum(F.when(context, -1).otherwise(1)).over(so_far) + F.count(F.when(context, 1)).over(block))
     return counted.where(F.col("__own") == F.col("__block")).drop("__at", "__own", "__block")

@@ -154,6 +154,22 @@ def test_trailing_count_excludes_the_edge(spark):
     assert [r["recent"] for r in got] == [1, 2, 2, 1]
 
 
+def test_trailing_counts_against_brute_force(spark):
+    rng = random.Random(7)
+    rows = [(rng.choice(["p", "q", None]), at(rng.choice([0, 60, 61, 120, rng.randrange(400)])), i) for i in range(300)] + [("p", None, 300)]
+    got = stateful.trailing_counts(spark.createDataFrame(rows, "pool string, ts timestamp, i int"), time="ts", seconds=60, pool="pool").collect()
+    timed = [r for r in rows if r[1] is not None]
+    assert {r["i"]: r["recent"] for r in got} == {i: sum(p == q and dt.timedelta(0) <= t - u < dt.timedelta(seconds=60) for q, u, _ in timed) for p, t, i in timed}
+
+
+def test_trailing_counts_of_a_full_block_are_a_running_sum(spark):
+    # A frame that moves at both ends is read again for every row: 120,000 rows of one block would be billions of steps.
+    rows = spark.range(120_000).select(F.timestamp_micros(F.col("id") * 300).alias("ts"), "id")
+    got = stateful.trailing_counts(rows, time="ts", seconds=60)
+    assert "unboundedpreceding" in got._jdf.queryExecution().analyzed().toString().lower()
+    assert got.agg(F.sum("recent")).first()[0] == 120_000 * 120_001 // 2
+
+
 def test_ban_exemptions(spark):
     df = spark.createDataFrame([("a", at(i), i, "p") for i in range(4)] + [("b", at(i), i, "p") for i in range(2)] + [("x", at(i), i, "p") for i in range(3)] + [("y", at(9 + i), i, "p") for i in range(3)]
                                + [("one", at(i), i, "q") for i in range(3)], "k string, ts timestamp, i int, pool string")
