@@ -2,6 +2,8 @@ import random
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
+
 from serialake.operators import filters, merging, ordering, registries, running, stats
 
 
@@ -90,6 +92,14 @@ def test_request_ranges(spark):
     assert len(many) == 120 and (many[-1]["from"], many[-1]["to"]) == (11_901, 12_000)
 
 
+def test_request_ranges_of_one_file_are_made_in_many_tasks(spark, tmp_path):
+    totals = spark.range(200).select(F.col("id").alias("o_orderkey"), (F.col("id") % 50).alias("o_custkey"))
+    totals.coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    made = entry.queries()["g8_request_ranges"](spark, str(tmp_path))
+    assert made.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+    assert made.count() == 4 * sum(max(1, -(-k * 5 // 100)) for k in range(50))
+
+
 def test_keep_largest_renames(spark):
     files = spark.createDataFrame([("w", 1, "0001_b.txt", 5), ("w", 1, "0001_a.txt", 9), ("w", 2, "0002_c.txt", 1)], "w string, i int, file string, size int")
     got = ordering.keep_largest(files, key=["w", "i"], size=F.col("size"), name="file", requested=F.format_string("%04d_new.txt", "i")).orderBy("i").collect()
