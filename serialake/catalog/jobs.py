@@ -246,5 +246,7 @@ def _(t):
     urls = t.pages.select("page_id", F.col("url").alias("chapter_url"))
     asked = retry_stream_jobs(event_stream(t)).join(urls, "page_id")
     store, labels = runs.work_folder(t.spark, "store"), runs.work_folder(t.spark, "labels")
-    runs.run_batches(jobs.retry_results(asked, t.pages), jobs.retry_sink(store, labels), name="j12")
+    sink, pages = jobs.retry_sink(store, labels), t.pages
+    # Equal jobs of a batch have one result.
+    runs.run_batches(asked, lambda batch, number: sink(jobs.retry_results(batch.distinct(), pages), number), name="j12")
     return t.spark.read.parquet(labels).select("filename", "label")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from serialake import fixed, schemas
 from serialake.functions import lines, markup, text
+from serialake.materialise import checkpointed
 from serialake.operators import filters
 from serialake.operators.ordering import keep_first
 
@@ -86,7 +87,8 @@ def retry_results(jobs: DataFrame, pages: DataFrame, *, page_id: str = "page_id"
 
     Invalid jobs are rejected before the join; the stored body is text, not markup. Of several landings the one with the greatest
     ``landed`` counts (ties and default: the greatest ``page_id``, which names a row). Urls meet jobs as hashes beside row ids; ``html``
-    is read afterwards, by row id, for the pages that are needed.
+    is read afterwards, by row id, for the pages that are needed, and becomes text once a page, however many jobs ask for it. A stream
+    of jobs cannot tell which pages it needs, so there a page is read per job: call this in ``foreachBatch`` instead.
     """
     site = F.coalesce(F.nullif("site", F.lit("")), "site_key")
     valid = jobs.withColumn("site", site).where(filters.is_valid_job(["site", "chapter_url", "chapter_title", "story_title", "filename"]))
@@ -94,12 +96,18 @@ def retry_results(jobs: DataFrame, pages: DataFrame, *, page_id: str = "page_id"
     newest = pages.where("url is not null").groupBy(F.xxhash64("url").alias("__hash"), F.sha1(F.col("url").cast("binary")).alias("__digest")).agg(F.max_by(F.col(page_id), order).alias("__row"))
     hashed = valid.withColumns({"__hash": F.xxhash64("chapter_url"), "__digest": F.sha1(F.col("chapter_url").cast("binary"))})
     placed = hashed.join(newest, ["__hash", "__digest"], "left")
-    joined = placed.join(pages.select(F.col(page_id).alias("__row"), "html"), "__row", "left")
+    landings = pages.select(F.col(page_id).alias("__row"), "html")
     body = markup.fragment_to_text(F.coalesce(markup.container(markup.strip_code("html")), markup.strip_code("html")))
-    keep = ["filename", "chapter_url", "chapter_title", "story_title", "site"]
     # Steps, so that each expensive expression is evaluated once per row.
-    read = joined.select(*keep, (F.lit("") if category is None else category).alias("__category"), (F.coalesce("html", F.lit("")) == "").alias("__absent"),
-                         lines.is_block_page("html").alias("__blocked"), body.alias("__body"))
+    facts = [(F.coalesce("html", F.lit("")) == "").alias("__empty"), lines.is_block_page("html").alias("__blocked"), body.alias("__body")]
+    if jobs.isStreaming:
+        joined = placed.join(landings, "__row", "left").select(*placed.columns, *facts)
+    else:
+        needed = landings.join(placed.select("__row").distinct(), "__row", "left_semi")
+        joined = placed.join(needed.select("__row", *facts), "__row", "left")
+    keep = ["filename", "chapter_url", "chapter_title", "story_title", "site"]
+    read = joined.select(*keep, (F.lit("") if category is None else category).alias("__category"), F.coalesce("__empty", F.lit(True)).alias("__absent"),
+                         "__blocked", "__body")
     outcome = F.when(F.col("__absent"), "not_landed").when(F.col("__blocked"), "anti_bot").when(F.col("__body") == "", "empty").otherwise("ok")
     stored = text.stored_body("chapter_url", "story_title", "__category", "chapter_title", "__body")
     return read.select("*", outcome.alias("outcome")).select(*keep, "outcome", F.when(F.col("outcome") == "ok", stored).alias("text"))
@@ -124,7 +132,7 @@ def retry_sink(store: str, label_path: str):
             earlier = spark.read.schema("filename string, hash string, batch bigint").parquet(register).where(F.col("batch") < batch_id)
             known = latest_versions(earlier, key=["filename"], version="batch").select("filename", F.col("hash").alias("__old"))
         label = F.when(F.col("__old").isNull(), "new").when(F.col("__old") == F.col("hash"), "unchanged").otherwise("updated")
-        labelled = good.join(known, "filename", "left").withColumn("label", label).drop("__old")
+        labelled = checkpointed(good.join(known, "filename", "left").withColumn("label", label).drop("__old"))  # three writers read it
         changed = labelled.where("label <> 'unchanged'")
         labelled.select("filename", "hash", "label").write.mode("overwrite").parquet(f"{label_path}/batch={batch_id}")
         changed.select("filename", "text").write.mode("overwrite").parquet(f"{store}/batch={batch_id}")

@@ -170,6 +170,16 @@ def test_trailing_counts_of_a_full_block_are_a_running_sum(spark):
     assert got.agg(F.sum("recent")).first()[0] == 120_000 * 120_001 // 2
 
 
+def test_a_page_becomes_text_once_for_all_its_jobs(spark):
+    asked = spark.createDataFrame([(f"{n}.txt", f"u{n % 3}", "c", "s", "x", None) for n in range(30)], "filename string, chapter_url string, chapter_title string, story_title string, site string, site_key string")
+    landed = spark.createDataFrame([(i, f"u{i}", html) for i, html in enumerate(["<article>one</article>", None])], "page_id bigint, url string, html string")
+    results = jobs.retry_results(asked, landed)
+    plan = results._jdf.queryExecution().analyzed().toString()
+    assert 0 < plan.index("Join LeftOuter") < plan.index("AS __body")
+    assert {(r["chapter_url"], r["outcome"], (r["text"] or "")[-3:]) for r in results.collect()} == {("u0", "ok", "one"), ("u1", "not_landed", ""), ("u2", "not_landed", "")}
+    assert results.count() == 30
+
+
 def test_ban_exemptions(spark):
     df = spark.createDataFrame([("a", at(i), i, "p") for i in range(4)] + [("b", at(i), i, "p") for i in range(2)] + [("x", at(i), i, "p") for i in range(3)] + [("y", at(9 + i), i, "p") for i in range(3)]
                                + [("one", at(i), i, "q") for i in range(3)], "k string, ts timestamp, i int, pool string")
