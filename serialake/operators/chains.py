@@ -1,7 +1,7 @@
 """Listings as chains of landed pages: the next page of every page, and its place in the chain.
 
 Places come from list ranking by pointer doubling: after r rounds a page knows the page 2^r before it, so a chain of n pages takes
-log2(n) joins, each on the page, whatever chain it is in; no task follows a chain. Cycles are cut before their smallest page.
+log2(n) joins, each on the page, whatever chain it is in; no task follows a chain. A cycle is known after as many rounds and cut before its smallest page.
 """
 
 from __future__ import annotations
@@ -39,16 +39,24 @@ def next_urls(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", h
 def _ranked(before: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pointer doubling on (id, at), a first page pointing at itself: (id, head, place), and (id, low) of the pages in cycles.
 
-    ``low`` is the smallest page of the cycle: it travels along with the pointers.
+    ``low`` is the smallest id of the pages passed so far: it travels along with the pointers. A page that finds itself there has
+    passed its whole cycle, as has every page of it in the same round, so cycles leave after log2 of their own length.
     """
-    state = checkpointed(before.select("id", "at", (F.col("at") != F.col("id")).cast("bigint").alias("steps"), F.least("id", "at").alias("low"), (F.col("at") == F.col("id")).alias("done")))
-    pages, reach = state.count(), 1
-    while reach < 2 * pages and not state.where("not done").isEmpty():
+    state = checkpointed(before.select("id", "at", (F.col("at") != F.col("id")).cast("bigint").alias("steps"), F.col("at").alias("low"), (F.col("at") == F.col("id")).alias("done")))
+    cyclic = state.where("false").select("id", "low")
+    while True:
+        left, closed = state.agg(F.count_if(~F.col("done")), F.count_if(~F.col("done") & (F.col("low") == F.col("id")))).first()
+        if closed:
+            turning, lows = state.where("not done"), state.where("not done and low = id").select("low")
+            cyclic = cyclic.unionByName(turning.join(lows, "low", "left_semi").select("id", "low"))
+            state = checkpointed(state.where("done").unionByName(turning.join(lows, "low", "left_anti")))
+            left = state.where("not done").count()
+        if not left:
+            return state.select("id", F.col("at").alias("head"), F.col("steps").alias("place")), cyclic
         there = state.where("not done").select(F.col("at").alias("id")).distinct().join(state, "id") \
                      .select(F.col("id").alias("at"), F.col("at").alias("beyond"), F.col("steps").alias("more"), F.col("low").alias("lower"), F.col("done").alias("first"))
         moved = state.where("not done").join(there, "at").select("id", F.col("beyond").alias("at"), (F.col("steps") + F.col("more")).alias("steps"), F.least("low", "lower").alias("low"), F.col("first").alias("done"))
-        state, reach = checkpointed(state.where("done").unionByName(moved)), 2 * reach
-    return state.where("done").select("id", F.col("at").alias("head"), F.col("steps").alias("place")), state.where("not done").select("id", "low")
+        state = checkpointed(state.where("done").unionByName(moved))
 
 
 def ranked_pages(links: DataFrame, *, page_id: str = "page_id") -> DataFrame:

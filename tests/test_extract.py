@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from serialake import rules
 from serialake.catalog.registry import Tables
+from serialake.materialise import checkpointed as chains_checkpointed
 from serialake.operators import chains, extract, nodes
 from serialake.plans import cleaning
 from serialake.rules import Rule
@@ -206,6 +207,15 @@ def test_reader_content(spark):
     assert got[0]["content"] == "<p>One &amp; two</p><p>three</p>" and got[1]["content"] == "<p>a</p><p>b</p>" and got[3]["content"] == "<p>kept</p><p>too</p>"
 
 
+def test_rounds_follow_the_longest_chain_or_cycle(spark, monkeypatch):
+    cuts = []
+    monkeypatch.setattr(chains, "checkpointed", lambda df: cuts.append(1) or chains_checkpointed(df))
+    rows = [(n * 4 + k, f"u{n}-{k}", f"u{n}-{(k + 1) % 4}") for n in range(500) for k in range(4)]
+    got = chains.ranked_pages(spark.createDataFrame(rows, "page_id bigint, url string, next_url string"))
+    assert {(r["page_id"], r["listing"], r["place"], r["cyclic"]) for r in got.collect()} == {(n * 4 + k, f"u{n}-0", k, True) for n in range(500) for k in range(4)}
+    assert len(cuts) <= 10
+
+
 def test_ranked_pages_against_walks(spark):
     """Random links: chains of any length, cycles, self links, shared next pages, repeated urls, pages never landed."""
     import random
