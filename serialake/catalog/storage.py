@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from serialake.catalog.jobs import event_stream, messages
-from serialake.catalog.registry import Catalog
+from serialake.catalog.registry import TASKS_A_CORE, Catalog
 from serialake.catalog.scalars import FIRST_LINE, SLUG, STRIP_PREFIX
 from serialake.functions import text
 from serialake.rules import read_split_patterns
@@ -20,6 +23,35 @@ catalog = Catalog()
 q = catalog.query
 
 
+# Characters that a partition folder holds as %XX, as Spark's own writer has them, and its name for a null.
+_ESCAPED = re.compile("[\x01-\x1f\"#%'*/:=?\\\\\x7f{\\[\\]^]")
+_NULL_FOLDER = "__HIVE_DEFAULT_PARTITION__"
+
+
+def write_tree(rows: DataFrame, root: str, folders: list[str], *, line: str, suffix: str) -> None:
+    """One file per partition folder, ``a=1/b=x/part<suffix>``, as ``partitionBy`` lays them out, from many tasks and without a commit that
+    moves every folder in turn; a repeated task writes the same files again."""
+    def write(batches):
+        store, top = growing._open(root)
+        current, out, n = None, None, 0
+        for batch in batches:
+            for *values, value in zip(*[c.to_pylist() for c in batch.columns]):
+                if values != current:
+                    if out is not None:
+                        out.close()
+                    folder = "/".join([top, *[f"{f}={_ESCAPED.sub(lambda c: f'%{ord(c[0]):02X}', v) if v else _NULL_FOLDER}" for f, v in zip(folders, values)]])
+                    store.create_dir(folder, recursive=True)
+                    current, out, n = values, store.open_output_stream(f"{folder}/part{suffix}"), n + 1
+                out.write(f"{value or ''}\n".encode())
+        if out is not None:
+            out.close()
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["files"])
+
+    tasks = TASKS_A_CORE * rows.sparkSession.sparkContext.defaultParallelism
+    named = rows.select(*[F.col(f).cast("string").alias(f) for f in folders], line).repartition(tasks, *folders).sortWithinPartitions(*folders)
+    named.mapInArrow(write, "files bigint").agg(F.sum("files")).collect()
+
+
 @q("a1_metadata_tree", """select 'w-' || s_suppkey as slug, s_name as title, case when s_acctbal > 5000 then 'genre ' || s_nationkey when s_nationkey > 10 then 'n' || s_nationkey else 'Unknown' end as genre,
     case when s_acctbal > 5000 then 'completed' else 'ongoing' end as state from supplier""")
 def _(t):
@@ -27,8 +59,9 @@ def _(t):
     cats = F.when(F.col("s_nationkey") > 10, F.array(F.struct(F.concat(F.lit("n"), "s_nationkey").alias("name"), F.lit(None).cast("string").alias("url"))))
     works = t.supplier.select(F.concat(F.lit("w-"), "s_suppkey").alias("slug"), F.col("s_name").alias("title"), cats.alias("categories"), "s_acctbal",
                               F.concat(F.lit("genre "), "s_nationkey").alias("genre"))
-    works.drop("s_acctbal", "genre").write.partitionBy("slug").json(f"{root}/open")
-    works.where("s_acctbal > 5000").drop("s_acctbal").write.partitionBy("genre", "slug").json(f"{root}/done")
+    stored = works.withColumn("json", F.to_json(F.struct("title", "categories")))
+    write_tree(stored, f"{root}/open", ["slug"], line="json", suffix=".json")
+    write_tree(stored.where("s_acctbal > 5000"), f"{root}/done", ["genre", "slug"], line="json", suffix=".json")
     found = tree.read_works(t.spark, f"{root}/open", f"{root}/done", file_glob="*.json")
     return found.select("slug", "title", "genre", "state")
 
@@ -41,7 +74,7 @@ _FILE_SQL = f"printf('%04d', turn + 1) || '_' || coalesce(nullif({SLUG.format(FI
 def _(t):
     root = runs.work_folder(t.spark, "parts")
     name = F.concat(F.format_string("%04d", F.col("turn") + 1), F.lit("_part-"), "role", F.lit("-"), F.col("turn").cast("string"), F.lit(".txt"))
-    t.conversations.select(F.col("conv_id").alias("work"), name.alias("file"), "text").write.partitionBy("work", "file").text(root)
+    write_tree(t.conversations.select(F.col("conv_id").alias("work"), name.alias("file"), "text"), root, ["work", "file"], line="text", suffix=".txt")
     return tree.read_parts(t.spark, root, pattern=r"work=([^/]+)/file=([^/]+)/").select("work", "file", "index", "title", "text")
 
 

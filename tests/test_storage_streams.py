@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from serialake.catalog import storage
 from serialake.sources import jobs as job_io
 from serialake.operators import plugins
 from serialake.sources import growing, tree, writers
@@ -30,6 +31,17 @@ def test_metadata_tree(spark, tmp_path):
         ("a-work", "A", "G", "ongoing", None), ("b-work", "B", "Unknown", "ongoing", "4.5"), ("c-work", "C done", "Tiên Hiệp", "completed", None)]
 
 
+def test_trees_are_laid_out_as_by_partition(spark, tmp_path):
+    rows = spark.createDataFrame([("a b", "1%/x", "one"), ("a b", "1%/x", "two"), (None, "y=é", None), ("c", "", "z")], "w string, f string, text string").repartition(1)
+    rows.write.partitionBy("w", "f").text(str(tmp_path / "spark"))
+    storage.write_tree(rows, str(tmp_path / "own"), ["w", "f"], line="text", suffix=".txt")
+
+    def tree_of(root):
+        return {str(f.parent.relative_to(root)): sorted(f.read_text(encoding="utf-8").splitlines()) for f in root.rglob("*.txt")}
+
+    assert tree_of(tmp_path / "own") == tree_of(tmp_path / "spark")
+
+
 def test_part_files(spark, tmp_path):
     folder = tmp_path / "w1"
     folder.mkdir()
