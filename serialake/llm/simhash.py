@@ -44,6 +44,7 @@ LEADERS = 3                   # members of a bucket whose neighbours are joined
 BLOCK, BLOCK_SHINGLES = 500, 500_000  # members and shingles of a block, on average
 REDEALS = 2                   # times the members of a group of several blocks are dealt anew
 PART_ROWS, PART_SHINGLES = 200_000, 4_000_000  # rows of ids, and shingles, of a partition of the tables that are written between steps
+LAST_LINKS = 1_000_000        # links that one task joins at the end of a contraction (16 MB of ids)
 
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -253,17 +254,27 @@ def _written(df: DataFrame, rows: int, most: int = PART_ROWS) -> DataFrame:
     return checkpointed(df.coalesce(max(1, math.ceil(rows / most))))
 
 
+def _ends(batches):
+    """(fp, root) for every linked value like ``components``, of links that one task holds."""
+    held = [np.stack([np.asarray(batch.column(i), dtype=np.int64) for i in range(2)]) for batch in batches if batch.num_rows]
+    if held:
+        values, place = np.unique(np.concatenate(held, axis=1), return_inverse=True)
+        root = _find(_hook(np.arange(len(values)), *place.reshape(2, -1)))
+        yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(values[root])], ["fp", "root"])
+
+
 def contracted(links: DataFrame) -> DataFrame:
     """(fp, root) for every linked value like ``components``, for many links between few values.
 
     Each round hangs every value below its smallest neighbour, doubles these steps until they end, and replaces both ends of the links by
-    where they end. Only values smaller than all their neighbours are left, at most half of them; links whose ends have met and repeated
-    links go. So there are at most log2(values) rounds, and a hot group's links are read once.
+    where they end. Only values smaller than all their neighbours are left; links whose ends have met and repeated links go. Every round
+    is dozens of jobs, whose plans, threads and statuses the driver holds for a while. So rounds end as soon as no more than
+    ``LAST_LINKS`` links are left, however many there were: one task joins these.
     """
     edges = checkpointed(links.where("a <> b").select("a", "b"))
     left, label, values = edges.count(), None, 0
     edges = edges.coalesce(max(1, math.ceil(left / PART_ROWS)))
-    while left:
+    while left > LAST_LINKS:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hung = _written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("root")), 2 * left)
         moved = True
@@ -274,13 +285,22 @@ def contracted(links: DataFrame) -> DataFrame:
         if label is None:
             label, values = hung.select(F.col("v").alias("fp"), "root"), hung.count()
         else:
-            label = _written(label.join(hung.select(F.col("v").alias("root"), F.col("root").alias("next")), "root", "left").select("fp", F.coalesce("next", "root").alias("root")), values)
+            label = _further(label, hung.withColumnRenamed("v", "fp"), values)
         one = hung.select(F.col("v").alias("a"), F.col("root").alias("x"))
         other = hung.select(F.col("v").alias("b"), F.col("root").alias("y"))
         met = edges.join(one, "a").select("x", "b").where("x <> b").join(other, "b").where("x <> y")
         edges = _written(met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), left)
         left = edges.count()
-    return label if label is not None else edges.select(F.col("a").alias("fp"), F.col("b").alias("root"))
+    if label is not None and not left:
+        return label
+    ends = checkpointed(edges.coalesce(1).mapInArrow(_ends, "fp bigint, root bigint"))
+    return ends if label is None else _further(label, ends, values)
+
+
+def _further(label: DataFrame, ends: DataFrame, values: int) -> DataFrame:
+    """``label`` (fp, root; ``values`` rows) with roots replaced by where ``ends`` (fp, root) says that they end."""
+    over = ends.select(F.col("fp").alias("root"), F.col("root").alias("next"))
+    return _written(label.join(over, "root", "left").select("fp", F.coalesce("next", "root").alias("root")), values)
 
 
 # -- near copies by overlap ------------------------------------------------------------------------------------------

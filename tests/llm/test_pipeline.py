@@ -177,6 +177,34 @@ def test_contracted_links_are_components(spark):
     assert simhash.contracted(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("most", [0, 20, 10**6])
+def test_contracted_links_by_rounds_and_in_one_task(spark, monkeypatch, most):
+    """The rounds alone, a few rounds before the last task, the last task alone."""
+    monkeypatch.setattr(simhash, "LAST_LINKS", most)
+    rng = np.random.default_rng(5)
+    links = rng.integers(-60, 60, (70, 2)).tolist()
+    parent = {v: v for link in links for v in link if link[0] != link[1]}
+    for _ in links:
+        for a, b in links:
+            if a != b:
+                parent[a] = parent[b] = min(parent[a], parent[b])
+    found = [tuple(r) for r in simhash.contracted(spark.createDataFrame(links, "a long, b long")).collect()]
+    assert sorted(found) == sorted(parent.items()) and len(set(parent.values())) > 5
+
+
+def test_contracting_few_links_takes_few_jobs(spark):
+    """A chain in random order, which rounds of joins shorten step by step: each is jobs that the driver holds."""
+    order = np.random.default_rng(6).permutation(300).tolist()
+    links = spark.createDataFrame(list(zip(order, order[1:])), "a long, b long")
+    spark.sparkContext.setJobGroup("contracted", "")
+    try:
+        found = simhash.contracted(links).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {r.fp: r.root for r in found} == dict.fromkeys(range(300), 0)
+    assert 1 <= len(spark.sparkContext.statusTracker().getJobIdsForGroup("contracted")) <= 8
+
+
 def test_bucket_stars_are_the_components_of_all_pairs():
     rng = np.random.default_rng(4)
     buckets, fps = [], []
